@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import bpe_vocab
+from wayfind.llm.common import tune
 
 #: Words of the lexicon at most, distinct pieces counted before a flush, and pieces a worker remembers.
 WORDS, FLUSH, REMEMBER = 50_000, 200_000, 200_000
@@ -279,5 +280,6 @@ def encode_decode(docs: DataFrame, vocab: str = "byte_bpe_50k.json", words: int
             columns = list(zip(*done)) or [[]] * (len(schema) - 1)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k.type) for c, k in zip(columns, list(schema)[1:]))], schema=schema)
 
+    tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.llm.common import tune
+
 #: Bounds of the sample: rows and symbols of each language, and letters of the alphabet.
 ROWS, SYMBOLS, LETTERS = 400, 30_000, 60
 #: Longer texts aren't drawn into the sample.
@@ -192,6 +194,7 @@ def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col:
     learned. Repeated rows give repeated rows; other columns are not read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
+    tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     samples = docs.sparkSession.sparkContext.broadcast(draw_sample(rows.where(F.col("doc_id").isNotNull() & ~held)))
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.llm.common import tune
+
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Label, text of a notice, phrases that must stand in a file.
@@ -115,6 +117,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     frequencies are counted over all texts first; both passes are narrow.
     """
     vocabulary = frozenset(w for _, text, _ in templates for w in words_of(text))
+    tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import bpe_codec, language_id, license_scan, token_count
+from wayfind.llm import bpe_codec, embedding_dedup, language_id, license_scan, minhash_dedup, substring_dedup, token_count
 from wayfind.llm.common import tune
 
 
@@ -28,5 +28,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_token_count, op6_bpe_codec, op7_license_scan)}
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (op3_language_id, op5_token_count, op6_bpe_codec, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_embedding_near_dedup)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import bpe_vocab
+from wayfind.llm.common import tune
 
 CHUNK, OVERLAP, LIMIT = 1 << 16, 256, 512
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -87,5 +88,6 @@ def count_tokens(docs: DataFrame, vocab: str = "byte_bpe_50k.json", limit: int =
                 n_tokens.append(len(bpe.encode(text)) if len(text) <= chunk else sum(map(len, spliced(bpe.encode, size, text, chunk, overlap))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], schema=SCHEMA)
 
+    tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
