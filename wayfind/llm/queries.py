@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfind.llm import bpe_codec, embedding_dedup, language_id, license_scan, minhash_dedup, substring_dedup, token_count
+from wayfind.llm import bpe_codec, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, substring_dedup, token_count, url_filter
 from wayfind.llm.common import tune
 
 
@@ -12,6 +13,107 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a dated list that is itself drawn from the pages.
+
+    A page is fetched on a day that follows from its id. A page with the junk mark %%%
+    lists its host from that day on, one with *** its host's first path segment; either
+    is delisted 45 days later, unless listed again that day.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id * 37, 366) as int))").alias("fetched"), F.col("html").contains("%%%").alias("a"), F.col("html").contains("***").alias("b"))
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    marked = pages.where("a or b").select("fetched", F.explode(F.array(F.when(F.col("a"), host), F.when(F.col("b"), F.concat_ws("/", host, F.regexp_extract(path, "^/([^/]+)", 1))))).alias("pattern")).where("pattern is not null").distinct()
+    on = marked.select("pattern", F.lit(True).alias("listed"), F.col("fetched").alias("as_of"))
+    off = marked.select("pattern", F.lit(False).alias("listed"), F.date_add("fetched", 45).alias("as_of"))
+    return url_filter.filter_captures(pages, on.unionByName(off))
+
+
+OP1_SQL = r"""
+with pages2 as (
+  select page_id, html, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path,
+    cast(date '2024-01-01' + cast((page_id * 37) % 366 as int) as date) as fetched
+  from pages),
+marked as (
+  select distinct host as pattern, fetched from pages2 where contains(html, '%%%')
+  union
+  select distinct host || '/' || regexp_extract(path, '^/([^/]+)', 1), fetched from pages2 where contains(html, '***')),
+days as (
+  select pattern, as_of, bool_or(listed) as listed
+  from (select pattern, fetched as as_of, true as listed from marked union all select pattern, cast(fetched + 45 as date), false from marked)
+  group by pattern, as_of),
+spans as (
+  select pattern, as_of as valid_from, lead(as_of) over (partition by pattern order by as_of) as valid_to, listed from days),
+keys as (
+  select distinct page_id, pattern from (
+    select page_id, array_to_string(list_slice(labels, i, len(labels)), '.') as pattern
+    from (select page_id, string_split(host, '.') as labels, unnest(range(1, len(string_split(host, '.')) + 1)) as i from pages2)
+    union all
+    select page_id, host || '/' || array_to_string(list_slice(segments, 1, i), '/')
+    from (select page_id, host, segments, unnest(range(1, len(segments) + 1)) as i
+          from (select page_id, host, list_filter(string_split(path, '/'), lambda s: s <> '') as segments from pages2)))),
+active as (
+  select p.page_id, s.pattern from pages2 p join keys k using (page_id) join spans s on s.pattern = k.pattern
+  where s.listed and s.valid_from <= p.fetched and (s.valid_to is null or p.fetched < s.valid_to)),
+best as (
+  select page_id, count(*) as n_active, (list(pattern order by length(pattern) desc, pattern))[1] as pattern from active group by page_id)
+select p.page_id, p.host, p.fetched, coalesce(b.n_active > 0, false) as blocked, coalesce(b.n_active, 0) as n_active, b.pattern
+from pages2 p left join best b using (page_id)
+"""
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_repeated_runs(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
+  from documents where text is not null),
+runs as (
+  select doc_id, pos, line as a, lead(line) over (partition by doc_id order by pos) as b from lines),
+later as (
+  select doc_id, pos from (select doc_id, pos, row_number() over (partition by a, b order by doc_id, pos) as nth from runs where b is not null) where nth > 1),
+gone as (select doc_id, pos from later union select doc_id, pos + 1 from later),
+kept as (
+  select l.doc_id, count(*) as n_lines, count(g.pos) as n_removed, string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null) as text
+  from lines l left join gone g using (doc_id, pos) group by l.doc_id)
+select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed,
+  case when d.text is null then null else sha256(coalesce(k.text, '')) end as kept_sha256
+from documents d left join kept k using (doc_id)
+"""
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+with items as (
+  select item_id, w, len(w) as n from (
+    select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark) where len(w) >= 5),
+item_grams as (
+  select item_id, n, q, array_to_string(list_slice(w, q + 1, q + 5), ' ') as gram from (select *, unnest(range(n - 4)) as q from items)),
+weights as (
+  select item_id, n, gram, 1.0 / count(distinct item_id) over (partition by gram) as weight from (select distinct item_id, n, gram from item_grams)),
+totals as (select item_id, sum(weight) as total from weights group by item_id),
+doc_grams as (
+  select doc_id, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') as gram
+  from (select doc_id, w, unnest(range(len(w) - 4)) as p
+        from (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents where text is not null))),
+hits as (select d.doc_id, d.p, g.item_id, g.n, g.q, g.gram from doc_grams d join item_grams g using (gram)),
+starts as (select distinct doc_id, item_id, n, greatest(p - q, 0) as s from hits),
+inside as (
+  select distinct s.doc_id, s.item_id, s.s, h.gram from starts s join hits h on h.doc_id = s.doc_id and h.item_id = s.item_id and h.p between s.s and s.s + s.n - 5),
+scored as (
+  select i.doc_id, i.item_id, i.s, round(sum(w.weight) / any_value(t.total), 6) as similarity
+  from inside i join weights w using (item_id, gram) join totals t using (item_id) group by i.doc_id, i.item_id, i.s)
+select doc_id, item_id, max(similarity) as similarity, cast(arg_max(s, (similarity, -s)) as int) as start_word
+from scored where similarity >= 0.8 group by doc_id, item_id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -40,6 +142,6 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
-OPERATORS = (op3_language_id, op5_token_count, op6_bpe_codec, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_embedding_near_dedup)
+OPERATORS = (op1_url_filter, op2_line_dedup, op3_language_id, op4_decontaminate, op5_token_count, op6_bpe_codec, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_embedding_near_dedup)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL}
