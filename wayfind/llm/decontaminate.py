@@ -9,8 +9,8 @@ side also has each block with one bit flipped, which guarantees all fingerprints
 2 * BLOCKS - 1 bits. A hit tells where the item would begin; there, the share of the
 item's weighted shingles in as many words is computed exactly.
 
-The majority over a window is computed for all windows at once, by adding bit-sliced
-counters: a counter is a struct of planes, its k-th plane holding bit k of 64 counts.
+The majority over a window is computed by adding bit-sliced counters: the k-th plane of
+a counter is a number that holds bit k of 64 counts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from wayfind.llm.common import broadcast_if_small, cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BITS = 4, 64
+#: Windows of up to that many words are summed in generated code.
+UNROLLED = 64
 #: Entries of the item side that are broadcast at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Documents with candidates that are joined with their texts by broadcast.
@@ -35,19 +37,40 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _add(x: Column, y: Column, planes: int) -> Column:
-    """The sum of two counters of so many planes: one plane more."""
+def _sum(x: list[Column], y: list[Column]) -> list[Column]:
+    """The planes of the sum of two counters: one plane more."""
     out, carry = [], None
-    for k in range(planes):
-        a, b = x.getField(f"p{k}"), y.getField(f"p{k}")
+    for a, b in zip(x, y):
         half, both = a.bitwiseXOR(b), a.bitwiseAND(b)
         out.append(half if carry is None else half.bitwiseXOR(carry))
         carry = both if carry is None else both.bitwiseOR(half.bitwiseAND(carry))
-    return F.struct(*(c.alias(f"p{k}") for k, c in enumerate([*out, carry])))
+    return [*out, carry]
+
+
+def _majorities(windows: DataFrame, ids: list[str], largest: int) -> DataFrame:
+    """ids, size, at, f of rows (ids, size, at, w): the SimHash of the words w of each, up to `largest`, in generated code.
+
+    One projection for each level of the sum, so that no plane is computed twice; missing
+    words of smaller windows add nothing.
+    """
+    keep, counters = [*ids, "size", "at"], [[f"c{k}"] for k in range(largest)]
+    df = windows.select(*keep, *(F.coalesce(F.get("w", F.lit(k)), F.lit(0).cast("long")).alias(f"c{k}") for k in range(largest)))
+    while len(counters) > 1:
+        made = [_sum([F.col(c) for c in x], [F.col(c) for c in y]) for x, y in zip(counters[::2], counters[1::2])]
+        level = len(made[0])
+        df = df.select(*keep, *(c.alias(f"l{level}_{i}_{k}") for i, sums in enumerate(made) for k, c in enumerate(sums)))
+        counters = [[f"l{level}_{i}_{k}" for k in range(level)] for i in range(len(made))]
+    planes, f = counters[0], F.lit(0).cast("long")  # never null: else a filter on it would be pushed down and unfold all levels
+    for k in range(1, len(planes)):  # at least half of 2 ** k words: one of two planes; the higher ones are 0
+        f = F.when(F.col("size") == 1 << k, F.col(planes[k]).bitwiseOR(F.col(planes[k - 1]))).otherwise(f)
+    return df.select(*keep, f.alias("f"))
 
 
 def _adder(planes: int):
-    return lambda x, y: _add(x, y, planes)
+    def add(x, y):
+        return F.struct(*(c.alias(f"p{k}") for k, c in enumerate(_sum(*([v.getField(f"p{k}") for k in range(planes)] for v in (x, y))))))
+
+    return add
 
 
 def _majority(planes: int):
@@ -55,28 +78,45 @@ def _majority(planes: int):
     return lambda s: s.getField(f"p{planes}").bitwiseOR(s.getField(f"p{planes - 1}"))
 
 
-def with_simhashes(df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Adds f<W> to df with h (array of word hashes): SimHashes of its windows of W words at half a window's stride.
+def _window(size: int):
+    return lambda f, i: F.struct(F.lit(size).alias("size"), i.alias("at"), f.alias("f"))
 
-    Only powers of two from 2 on. Ties of the majority count as ones.
-    """
-    kept = [c for c in df.columns]
-    df = df.withColumn("tiles", F.transform("h", lambda x: F.struct(x.alias("p0"))))
+
+def _large_windows(df: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
+    """ids, size, at, f of the windows of large sizes: sums of neighbouring halves, over arrays of counters."""
+    df = df.select(*ids, F.transform("h", lambda x: F.struct(x.alias("p0"))).alias("tiles"))
     made, size, planes = [], 2, 1
-    while size <= max(sizes, default=0):
+    while size <= max(sizes):
         # sums of neighbouring tiles: windows of `size` at half of it; every second is a tile of `size`
         n = F.greatest(F.size("tiles") - 1, F.lit(0))
         df = df.withColumn("sums", F.zip_with(F.slice("tiles", F.lit(1), n), F.slice("tiles", F.lit(2), n), _adder(planes)))
         if size in sizes:
             df = df.withColumn(f"f{size}", F.transform("sums", _majority(planes)))
-            made.append(f"f{size}")
+            made.append(F.transform(f"f{size}", _window(size)))
         df = df.withColumn("tiles", F.filter("sums", lambda x, i: i % 2 == 0))
         size, planes = size * 2, planes + 1
-    return df.select(*kept, *made)
+    return df.select(*ids, F.inline(F.concat(*made)))
 
 
-def _window(size: int):
-    return lambda f, i: F.struct(F.lit(size).alias("size"), i.alias("at"), f.alias("f"))
+def _cut_at(size: int):
+    half = size // 2
+    return lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.slice("h", i * half + 1, size).alias("w"))
+
+
+def simhashes(df: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
+    """ids, size, at, f of df (ids, h: array of word hashes): SimHashes of its windows of each size at half its stride.
+
+    at counts half windows. Sizes are powers of two from 2 on. Ties of the majority count as ones.
+    """
+    small, large = [s for s in sizes if s <= UNROLLED], [s for s in sizes if s > UNROLLED]
+    parts = []
+    if small:
+        none = F.array().cast("array<struct<size int, at int, w array<bigint>>>")
+        cuts = [F.when(F.size("h") >= s, F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - s) / (s // 2)).cast("int")), _cut_at(s))).otherwise(none) for s in small]
+        parts.append(_majorities(df.select(*ids, F.inline(F.concat(*cuts))), ids, max(small)))
+    if large:
+        parts.append(_large_windows(df, ids, large))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def window_size(n: int) -> int:
@@ -127,22 +167,17 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
     if not n_items:
         return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word")).limit(0)
 
-    def flat(df: DataFrame, *ids: str) -> DataFrame:
-        """ids, size, at (of the window, by half its stride), f of all windows."""
-        every = [F.transform(f"f{s}", _window(s)) for s in sizes]
-        return with_simhashes(df, sizes).select(*ids, F.inline(F.concat(*every)))
-
     # every window of an item of its own size, at any word: the item from each of its words on, first windows only
     size_of = reduce(lambda c, s: c.when(F.col("n") >= F.floor(F.lit(3 * s / 2)) - 1, F.lit(s)), sizes[::-1][1:], F.when(F.col("n") >= 3 * sizes[-1] // 2 - 1, F.lit(sizes[-1])))
     sized = known.withColumn("own", size_of)
     shifted = sized.select("item_id", "key", "own", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("own") + 1)).alias("from"), "h")
     parts = shifted.select("item_id", "key", "own", (F.col("from") - 1).alias("offset"), F.slice("h", F.col("from"), F.col("own")).alias("h"))
-    prints = flat(parts, "item_id", "key", "own", "offset").where("size = own and at = 0").select("item_id", "key", "size", "offset", F.col("f").alias("g")).distinct()
+    prints = simhashes(parts, ["item_id", "key", "own", "offset"], sizes).where("size = own and at = 0").select("item_id", "key", "size", "offset", F.col("f").alias("g")).distinct()
     flips = F.array(*(F.lit(x) for x in [0, *(1 << b for b in range(BITS // BLOCKS))]))
     entries = prints.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block("g", k).alias("value")) for k in range(BLOCKS)))).alias("b"))
     entries = cut(entries.select("item_id", "key", "size", "offset", "g", "b.block", F.explode(F.transform(flips, lambda x: F.col("b.value").bitwiseXOR(x))).alias("value")))
 
-    windows = flat(hashed, "doc_id")
+    windows = simhashes(hashed, ["doc_id"], sizes)
     probes = windows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block("f", k).alias("value")) for k in range(BLOCKS)))).alias("b")).select("doc_id", "size", "at", "f", "b.block", "b.value")
     met = probes.join(broadcast_if_small(entries, entries.count(), BROADCAST_ROWS), ["size", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= 2 * BLOCKS - 1)
     places = cut(met.select("doc_id", "item_id", "key", F.greatest(F.lit(0), F.expr("cast(at * (size / 2) as int)") - F.col("offset")).alias("start")).distinct())
