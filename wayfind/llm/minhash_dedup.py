@@ -7,8 +7,8 @@ By the pigeonhole principle that finds all pairs whose signatures differ in fewe
 2 * CHUNKS values (27 of 70; at a similarity of 0.8, 14 are expected), and far more
 often than not those beyond. All links are confirmed on the full sets.
 
-A bucket of up to SMALL classes gives all its pairs. A larger one first links each
-class to one central class (linear in its size). Where its classes then still fall
+A bucket of up to SMALL classes gives all its pairs. In larger ones each class is
+first compared with the nearest of their central classes (linear in their sizes). Where its classes then still fall
 into several components, those outside its main component are compared, in blocks, with
 all members of that component and with each other, so that no link between components
 is lost, and no group is ever paired within itself or gathered in one task.
@@ -20,7 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import connected_components, cut, tune
@@ -32,6 +32,8 @@ CHUNKS, WIDTH = 14, 5
 FAR = 35
 #: Classes of a bucket of which all pairs are taken, and classes of a block.
 SMALL, BLOCK = 8, 128
+#: Central classes that a class of large buckets is first compared with: those nearest by signature.
+PIVOTS = 2
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2**32, CHUNKS * WIDTH, dtype=np.uint32) | np.uint32(1)
@@ -123,18 +125,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in FAR values at most."""
+    """The pairs (a, b) whose signatures differ in FAR values at most, and in how many (differ)."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
-                ok = pa.array((x != y).sum(1) <= FAR)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+                differ = (x != y).sum(1)
+                ok = pa.array(differ <= FAR)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(differ, pa.int32()).filter(ok)], names=["a", "b", "differ"])
 
     s = classes.select("node", "signature")
     full = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, differ int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,8 +200,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     large = shared.where(F.col("n") > SMALL)
     centre = large.groupBy("node").agg(F.sum("n").alias("weight"))
     pivots = large.join(centre, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("b"))
-    star = large.join(pivots, "key").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).where("a <> b")
-    pairs = cut(_near(small.unionByName(star).distinct(), linkable))
+    star = _near(large.join(pivots, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), linkable)
+    nearest = star.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("differ", "b"))).where(F.col("rank") <= PIVOTS)
+    both = _near(small.distinct(), linkable).select("a", "b").unionByName(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = cut(both.distinct())
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets(docs, classes.join(ends, "node", "left_semi"), shingle)
