@@ -23,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import connected_components, cut, tune
+from wayfind.llm.common import broadcast_if_small, connected_components, cut, tune
 from wayfind.llm.wordhash import WordHash, mix, shingle_set
 
 CHUNKS, WIDTH = 14, 5
 #: Values in which the signatures of a pair may differ before its sets aren't compared: at a similarity
 #: of 0.8 the mean is 14 and the deviation 3.35, so that 35 is over six deviations away.
 FAR = 35
-#: Classes of a bucket of which all pairs are taken, and classes of a block.
-SMALL, BLOCK = 8, 128
+#: Classes of a bucket of which all pairs are taken; classes and bytes of a block.
+SMALL, BLOCK, BLOCK_BYTES = 8, 512, 1 << 19
+#: Documents whose texts are looked up by a broadcast of their ids at most; beyond it the join is shuffled.
+BROADCAST_IDS = 500_000
 #: Central classes that a class of large buckets is first compared with: those nearest by signature.
 PIVOTS = 2
 
@@ -109,7 +111,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             nodes = [int.from_bytes(blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), binary(sets)], names=["node", "shingles"])
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = cut(wanted.select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
     found = texts.select("text").mapInArrow(run, "node long, shingles binary")
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
@@ -155,35 +158,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Links between blocks: left and right have (home, node, component, signature, shingles).
 
-    Rows of a home are dealt into blocks of about BLOCK rows by hash; each left block meets
+    Rows of a home are dealt by hash into blocks of about BLOCK rows and BLOCK_BYTES at most; each left block meets
     each right block of its home, and only pairs of different components are compared.
     A left row gives one link for each other component it is linked with.
     """
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        size = df.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-        dealt = df.join(size, "home").withColumn("block", F.expr("pmod(xxhash64(node), n)"))
-        packed = F.collect_list(F.struct("node", "component", "signature", "shingles"))
-        return dealt.groupBy("home", "block").agg(packed.alias(name)).drop("block")
+    def blocks(df: DataFrame, side: str) -> DataFrame:
+        most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES))
+        size = df.groupBy("home").agg(most.alias("n"))
+        dealt = df.join(size, "home").withColumn(f"{side}_block", F.expr("pmod(xxhash64(node), n)"))
+        return cut(dealt.groupBy("home", f"{side}_block").agg(F.collect_list(F.struct("node", "component", "signature", "shingles")).alias(side)))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 sx, sy = (np.frombuffer(b"".join(r["signature"] for r in rows), np.uint16).reshape(len(rows), -1) for rows in (x, y))
-                sets = [np.frombuffer(r["shingles"], np.uint64) for r in y]
+                flat = np.frombuffer(b"".join(r["shingles"] for r in y), np.uint64)
+                sizes = np.array([len(r["shingles"]) // 8 for r in y])
+                starts = np.cumsum(sizes) - sizes
                 component = np.array([r["component"] for r in y])
                 found = []
                 for r, s in zip(x, sx):
-                    shingles, met = np.frombuffer(r["shingles"], np.uint64), {r["component"]}
-                    for j in np.flatnonzero(((sy != s).sum(1) <= FAR) & (component != r["component"])):
-                        if y[j]["component"] not in met and similar(shingles, sets[j], percent):
-                            met.add(y[j]["component"])
-                            found.append((r["node"], y[j]["node"]))
+                    open_ = np.flatnonzero(((sy != s).sum(1) <= FAR) & (component != r["component"]))
+                    if len(open_):
+                        own = np.frombuffer(r["shingles"], np.uint64)
+                        common = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, starts)[open_]
+                        linked = open_[100 * common >= percent * (len(own) + sizes[open_] - common)]
+                        _, one = np.unique(component[linked], return_index=True)
+                        found += [(r["node"], y[j]["node"]) for j in linked[one]]
                 yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    met = blocks(left, "x").join(blocks(right, "y"), "home").select("x", "y")
-    return met.repartition(met.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(run, "a long, b long")
+    xs, ys = blocks(left, "x"), blocks(right, "y")
+    meet = xs.select("home", "x_block").join(ys.select("home", "y_block"), "home")
+    met = meet.join(xs, ["home", "x_block"]).join(ys, ["home", "y_block"])
+    return met.select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
