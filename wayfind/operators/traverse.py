@@ -52,8 +52,8 @@ def fold(candidates: Column, ids: Column, quota: Column, most: int, per_kind: in
 def advance(state: DataFrame, candidates: DataFrame, hop: int, most: int, per_kind: int, exempt: list[str]) -> DataFrame:
     """State after a hop. candidates: qid, at (order), src, target, kind, via."""
     listed = candidates.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("at", "src", "target", "kind", "via"))).alias("cands"))
-    met = state.join(listed, "qid", "left").withColumn("cands", F.when(F.size("ids") < most, F.col("cands")))
-    folded = met.withColumn("f", fold(F.coalesce("cands", F.expr("filter(cands, x -> false)"), F.array().cast(listed.schema["cands"].dataType)), F.col("ids"), F.col("quota"), most, per_kind, exempt))
+    met = state.join(listed, "qid", "left")
+    folded = met.withColumn("f", fold(F.coalesce("cands", F.array().cast(listed.schema["cands"].dataType)), F.col("ids"), F.col("quota"), most, per_kind, exempt))
 
     def grown(i: Column) -> Column:
         c = F.get("cands", i)
@@ -67,9 +67,9 @@ def advance(state: DataFrame, candidates: DataFrame, hop: int, most: int, per_ki
     )
 
 
-def frontier(state: DataFrame, hop: int) -> DataFrame:
-    """qid, fpos, src: what was taken in the last hop, in order."""
-    return state.select("qid", F.posexplode(F.filter("taken", lambda t: t["hop"] == hop - 1)).alias("fpos", "t")).select("qid", "fpos", F.col("t.id").alias("src"))
+def frontier(state: DataFrame, hop: int, most: int) -> DataFrame:
+    """qid, fpos, src: what was taken in the last hop, in order, by questions that aren't full."""
+    return state.where(F.size("ids") < most).select("qid", F.posexplode(F.filter("taken", lambda t: t["hop"] == hop - 1)).alias("fpos", "t")).select("qid", "fpos", F.col("t.id").alias("src"))
 
 
 def expand_through_people(seeds: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, kinds: list[str], exempt: list[str], max_films: int = 10, per_relation: int = 4, max_hops: int = 2, people_per_film: int = 5) -> DataFrame:
@@ -83,7 +83,7 @@ def expand_through_people(seeds: DataFrame, films: DataFrame, edges: DataFrame,
     via = top_credits(used, people_per_film, first={"DIRECTED": -1}).join(people.select(F.col("id").alias("src"), "name"), "src").select(F.col("dst").alias("film"), F.col("pos").alias("ppos"), F.col("src").alias("person"), "name")
     onward = used.select(F.col("src").alias("person"), F.col("dst").alias("target"), "kind", "seq")
     for hop in range(1, max_hops + 1):
-        cands = frontier(state, hop).join(via, F.col("film") == F.col("src")).join(onward, "person")
+        cands = frontier(state, hop, max_films).join(via, F.col("film") == F.col("src")).join(onward, "person")
         cands = cands.select("qid", F.struct("fpos", "ppos", "seq").alias("at"), "src", "target", "kind", F.col("name").alias("via"))
         state = advance(state, cands, hop, max_films, per_relation, exempt)
     return state
@@ -97,12 +97,11 @@ def expand_undirected(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hubs
     near = neighbors(edges).select(F.col("node").alias("src"), F.col("other").alias("target"), "kind", "dir", "seq")
     stop = F.broadcast(hubs.select(F.col("id").alias("src"), F.lit(True).alias("hub")))  # a fixed number of hubs
     for hop in range(1, max_hops + 1):
-        front = frontier(state, hop).join(stop, "src", "left")
+        front = frontier(state, hop, max_nodes).join(stop, "src", "left")
         open_ = front.where(F.col("hub").isNull() | F.lit(hop == 1))
         halted = front.where(F.col("hub").isNotNull() & F.lit(hop > 1)).groupBy("qid").agg(F.count("*").cast("int").alias("halted"))
         cands = open_.join(near, "src").select("qid", F.struct("fpos", (F.col("dir") == "in").alias("inward"), "seq").alias("at"), "src", "target", "kind", F.col("dir").alias("via"))
-        full = F.size("ids") >= max_nodes
-        state = state.join(halted, "qid", "left").withColumn("blocked", F.col("blocked") + F.when(full, 0).otherwise(F.coalesce("halted", F.lit(0)))).drop("halted")
+        state = state.join(halted, "qid", "left").withColumn("blocked", F.col("blocked") + F.coalesce("halted", F.lit(0))).drop("halted")
         state = advance(state, cands, hop, max_nodes, per_kind, [])
     return state
 
