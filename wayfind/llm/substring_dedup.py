@@ -46,6 +46,16 @@ def from_planes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_docs(docs: list[tuple[int, int]]) -> tuple[bytes, bytes]:
+    """Documents (id, text key), mostly in order of the id, as bytes that compress well."""
+    ids = np.array([d for d, _ in docs], np.int64)
+    return planes(np.diff(ids, prepend=np.int64(0))), planes(np.array([t for _, t in docs], np.uint16))
+
+
+def unpack_docs(docs: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(from_planes(docs, np.int64)), from_planes(keys, np.uint16).astype(np.int64)
+
+
 def to_spans(places: np.ndarray, width: int = 1) -> np.ndarray:
     """Sorted places (each the begin of `width` words) as begins and ends of maximal runs, interleaved."""
     if not len(places):
@@ -115,9 +125,7 @@ class Flush:
         if len(here):
             who, begin = np.unique(owner[here], return_index=True)
             local = [to_spans(x).tobytes() for x in np.split(p[here], begin[1:])]
-            size = np.array([len(x) for x in local], np.int64)
-            at = [docs[i] for i in who]
-            put(-1 - self.number % self.ranges, len(local), b"".join(local), planes(size), b"", np.array([d for d, _ in at], np.int64).tobytes(), np.array([t for _, t in at], np.int64).tobytes(), b"")
+            put(-1 - self.number % self.ranges, len(local), b"".join(local), planes(np.array([len(x) for x in local], np.int64)), b"", *pack_docs([docs[i] for i in who]), b"")
         part = (h[first] >> np.uint64(32)).astype(np.uint64) * np.uint64(self.ranges) >> np.uint64(32)
         edges = np.searchsorted(part, np.arange(self.ranges + 1))
         for k in range(self.ranges):
@@ -128,7 +136,7 @@ class Flush:
             at = first[a:b][e]
             who, own = np.unique(owner[at], return_inverse=True)
             values = h[at] if self.later_only else h[at].astype(np.uint32)
-            put(k, len(at), values.tobytes(), planes(p[at].astype(np.uint32)), planes(own.astype(np.uint32)), np.array([docs[i][0] for i in who], np.int64).tobytes(), np.array([docs[i][1] for i in who], np.int64).tobytes(), np.packbits(flag[a:b][e] > 0).tobytes())
+            put(k, len(at), values.tobytes(), planes(p[at].astype(np.uint32)), planes(np.diff(own.astype(np.int32), prepend=np.int32(0))), *pack_docs([docs[i] for i in who]), np.packbits(flag[a:b][e] > 0).tobytes())
             if len(rows[0]) >= 64:
                 yield _packed(rows)
                 rows = [[] for _ in range(8)]
@@ -139,28 +147,28 @@ def _packed(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(rows)], names=[x.split()[0] for x in PACKED.split(", ")])
 
 
-def _spans(ids, keys, spans) -> pa.Table:
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+GROUPED = "part long, docs binary, texts binary, sizes binary, spans binary"
 
 
-def _reduce(later_only: bool):
-    """One range of hashes: the spans of places whose hash is repeated across documents.
+def _reduce(later_only: bool, ranges: int):
+    """One range of hashes: the spans of places whose hash is repeated across documents, packed by group of documents.
 
     later_only: only those of documents that aren't the hash's smallest; else those of all
     documents, if one of the hash's places is that of an indexed block.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, keys, out, h, p, d, t, f = [], [], [], [], [], [], [], []
+        found: dict[int, list[tuple[int, int, bytes]]] = {}
+        put = lambda doc, key, spans: found.setdefault(doc * 0x9E3779B1 % (1 << 32) * ranges >> 32, []).append((doc, key, spans))
+        h, p, d, t, f = [], [], [], [], []
         for r in table.to_pylist():
-            docs, texts = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["texts"], np.int64)
+            docs, texts = unpack_docs(r["docs"], r["texts"])
             if r["part"] < 0:
-                ends = np.cumsum(from_planes(r["places"], np.int64))
-                ids.extend(docs.tolist())
-                keys.extend(texts.tolist())
-                out.extend(r["hashes"][a:b] for a, b in zip([0, *ends[:-1]], ends))
+                ends = np.cumsum(from_planes(r["places"], np.int64)).tolist()
+                for doc, key, a, b in zip(docs.tolist(), texts.tolist(), [0, *ends[:-1]], ends):
+                    put(doc, key, r["hashes"][a:b])
                 continue
-            own = from_planes(r["owners"], np.uint32)
+            own = np.cumsum(from_planes(r["owners"], np.int32))
             h.append(np.frombuffer(r["hashes"], np.uint64 if later_only else np.uint32))
             p.append(from_planes(r["places"], np.uint32))
             d.append(docs[own])
@@ -182,29 +190,38 @@ def _reduce(later_only: bool):
                 at = at[np.lexsort((p[at], t[at], d[at]))]
                 cut_at = np.flatnonzero((d[at][1:] != d[at][:-1]) | (t[at][1:] != t[at][:-1])) + 1
                 for x in np.split(at, cut_at):
-                    ids.append(int(d[x[0]]))
-                    keys.append(int(t[x[0]]))
-                    out.append(to_spans(p[x]).tobytes())
-        return _spans(ids, keys, out)
+                    put(int(d[x[0]]), int(t[x[0]]), to_spans(p[x]).tobytes())
+        rows = []
+        for part, own in sorted(found.items()):
+            own.sort()
+            rows.append((part, *pack_docs([r[:2] for r in own]), planes(np.array([len(r[2]) for r in own], np.int64)), b"".join(r[2] for r in own)))
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.table({name.split()[0]: pa.array(c, pa.binary() if i else pa.int64()) for i, (name, c) in enumerate(zip(GROUPED.split(", "), columns))})
 
     return run
 
 
-def _merged(spans: DataFrame) -> DataFrame:
-    """One row for each document: the spans of all its parts together."""
+def _merge(table: pa.Table) -> pa.Table:
+    """A group of documents: one row for each, with the spans of all ranges together."""
+    parts: dict[tuple[int, int], list[bytes]] = {}
+    for r in table.to_pylist():
+        docs, texts = unpack_docs(r["docs"], r["texts"])
+        ends = np.cumsum(from_planes(r["sizes"], np.int64)).tolist()
+        for doc, key, a, b in zip(docs.tolist(), texts.tolist(), [0, *ends[:-1]], ends):
+            parts.setdefault((doc, key), []).append(r["spans"][a:b])
+    merged = []
+    for own in parts.values():
+        pairs = np.frombuffer(b"".join(own), np.uint32).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(pairs[:, 1])
+        new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
+        merged.append(np.stack([pairs[new, 0], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(pairs) - 1]])]], 1).ravel().tobytes())
+    return pa.table({"doc_id": pa.array([k[0] for k in parts], pa.int64()), "text_key": pa.array([k[1] for k in parts], pa.int64()), "spans": pa.array(merged, pa.binary())})
 
-    def run(batches):
-        for batch in batches:
-            merged = []
-            for parts in batch.column(2).to_pylist():
-                pairs = np.frombuffer(b"".join(parts), np.uint32).reshape(-1, 2)
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(pairs[:, 1])
-                new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
-                merged.append(np.stack([pairs[new, 0], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(pairs) - 1]])]], 1).ravel().tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.binary())], names=["doc_id", "text_key", "spans"])
 
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")).mapInArrow(run, SPANS)
+def _spans_of(packed: DataFrame, later_only: bool, ranges: int) -> DataFrame:
+    """(doc_id, text_key, spans) from the packed windows of all map tasks."""
+    return packed.groupBy("part").applyInArrow(_reduce(later_only, ranges), GROUPED).groupBy("part").applyInArrow(_merge, SPANS)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -228,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     if 2 * block > window + 1:
         raise ValueError("a window must hold a whole block wherever it begins")
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
     usable = rows.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text")
     # upper bound of words: half the bytes; it only sets the number of ranges
     total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -247,8 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
                     flush = Flush(ranges, False, number)
         yield from flush.pack()
 
-    packed = usable.mapInArrow(probe, PACKED).groupBy("part").applyInArrow(_reduce(False), SPANS)
-    hits = cut(_merged(packed))
+    hits = cut(_spans_of(usable.mapInArrow(probe, PACKED), False, ranges))
 
     def extend(batches):
         known, flush, number = WordHash(), Flush(ranges, True, 0), 0
@@ -269,8 +285,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
                     flush = Flush(ranges, True, number)
         yield from flush.pack()
 
-    repeated = _with_spans(usable, hits, "inner").mapInArrow(extend, PACKED).groupBy("part").applyInArrow(_reduce(True), SPANS)
-    later = cut(_merged(repeated))
+    later = cut(_spans_of(_with_spans(usable, hits, "inner").mapInArrow(extend, PACKED), True, ranges))
 
     def shorten(batches):
         known = WordHash()
