@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm import bpe_vocab
-from wayfind.llm.common import tune
+from wayfind.llm.common import cut, tune
 
 #: Words of the lexicon at most, distinct pieces counted before a flush, and pieces a worker remembers.
 WORDS, FLUSH, REMEMBER = 50_000, 200_000, 200_000
@@ -188,7 +188,7 @@ def open_mapped(blob: bytes) -> Lexicon:
 
 
 def frequent_words(docs: DataFrame, vocab: str, words: int = WORDS, text_col: str = "text") -> list[str]:
-    """The most frequent pieces over all texts (ties: by the piece), counted in two steps on Spark."""
+    """The most frequent pieces over all texts: at most `words`, all that reach some count, which is over 1."""
 
     def count(batches):
         bpe, seen = bpe_vocab.load(vocab), Counter()
@@ -208,8 +208,16 @@ def frequent_words(docs: DataFrame, vocab: str, words: int = WORDS, text_col: st
         yield flush()
 
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "piece string, n long")
-    top = counts.where(F.length("piece") <= LONGEST).groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(words)
-    return [r.piece for r in top.collect()]  # at most `words` rows
+    totals = cut(counts.where(F.length("piece") <= LONGEST).groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
+    # the least count that at most `words` pieces reach, by steps of an eighth of a doubling
+    step = F.floor(F.log2("n") * 8)
+    room, least = words, None
+    for r in totals.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # some hundred steps
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    return [r.piece for r in totals.where(step >= least).orderBy("piece").collect()] if least is not None else []  # at most `words` rows
 
 
 class Codec:
