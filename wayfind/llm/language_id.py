@@ -172,12 +172,15 @@ def draw_sample(labelled: DataFrame, rows: int = ROWS, symbols: int = SYMBOLS, l
     The top rows of each language are taken before the shuffle, then again after it.
     """
     fit = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ids = fit.select("lang", "doc_id", F.col("text")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
-    running = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("rank"))
-    bounded = ids.withColumn("before", running - F.length("text")).where(F.col("before") < symbols)
+    # ranked by keys and lengths alone; the texts of the few rows drawn come after
+    first = Window.partitionBy("lang").orderBy("order", "doc_id", "text_key")
+    keys = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("text_key"), F.length("text").alias("size"))
+    ranked = keys.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("rank")) - F.col("size")
+    drawn = ranked.withColumn("before", before).where(F.col("before") < symbols).select("lang", "doc_id", "text_key", "rank")
+    bounded = fit.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(drawn), ["lang", "doc_id", "text_key"])  # rows of `drawn`: at most `rows` a language
     out: dict[str, list[str]] = {}
-    for r in bounded.orderBy("lang", "rank").select("lang", "text").collect():  # bounded by rows and symbols of each language
+    for r in bounded.dropDuplicates(["lang", "rank"]).orderBy("lang", "rank").select("lang", "text").collect():  # bounded by rows and symbols of each language
         out.setdefault(r.lang, []).append(r.text)
     return out
 
