@@ -27,9 +27,9 @@ BLOCKS, BITS = 4, 64
 #: Windows of up to that many words are summed in generated code.
 UNROLLED = 64
 #: Entries of the item side that are broadcast at most; beyond it the join is shuffled.
-BROADCAST_ROWS = 2_000_000
-#: Documents with candidates that are joined with their texts by broadcast.
-BROADCAST_DOCS = 50_000
+BROADCAST_ROWS = 500_000
+#: Bytes of candidate places, and of the items' weights, that are broadcast at most.
+BROADCAST_BYTES = 96 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -37,6 +37,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
 def _sum(x: list[Column], y: list[Column]) -> list[Column]:
     """The planes of the sum of two counters: one plane more."""
     out, carry = [], None
@@ -133,7 +137,7 @@ def item_table(items: DataFrame, shingle: int) -> DataFrame:
     A shingle's weight is 1 / the number of items that hold it. Of rows of one id, one is
     taken for each text.
     """
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.transform(words_of(F.col("text").cast("string")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= shingle).dropna(subset=["item_id"]).distinct()
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), _hashes(F.col("text").cast("string")).alias("h")).where(F.size("h") >= shingle).dropna(subset=["item_id"]).distinct()
     rows = rows.withColumn("n", F.size("h")).withColumn("key", F.xxhash64("h"))
     listed = rows.select("item_id", "key", F.explode(shingles_of(F.col("h"), shingle)).alias("s"))
     weight = listed.groupBy("s").agg((1.0 / F.countDistinct("key")).alias("w"))
@@ -163,29 +167,34 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
     n_items = known.count()
     sizes = sorted({window_size(r.n) for r in known.select("n").distinct().collect()})  # lengths of items: few
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    hashed = rows.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = rows.select("doc_id", _hashes(F.col("text")).alias("h"))
     if not n_items:
         return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word")).limit(0)
 
     # every window of an item of its own size, at any word: the item from each of its words on, first windows only
     size_of = reduce(lambda c, s: c.when(F.col("n") >= F.floor(F.lit(3 * s / 2)) - 1, F.lit(s)), sizes[::-1][1:], F.when(F.col("n") >= 3 * sizes[-1] // 2 - 1, F.lit(sizes[-1])))
     sized = known.withColumn("own", size_of)
-    shifted = sized.select("item_id", "key", "own", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("own") + 1)).alias("from"), "h")
-    parts = shifted.select("item_id", "key", "own", (F.col("from") - 1).alias("offset"), F.slice("h", F.col("from"), F.col("own")).alias("h"))
-    prints = simhashes(parts, ["item_id", "key", "own", "offset"], sizes).where("size = own and at = 0").select("item_id", "key", "size", "offset", F.col("f").alias("g")).distinct()
+    shifted = sized.select("item_id", "key", "n", "own", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("own") + 1)).alias("from"), "h")
+    parts = shifted.select("item_id", "key", "n", "own", (F.col("from") - 1).alias("offset"), F.slice("h", F.col("from"), F.col("own")).alias("h"))
+    prints = simhashes(parts, ["item_id", "key", "n", "own", "offset"], sizes).where("size = own and at = 0").select("item_id", "key", "n", "size", "offset", F.col("f").alias("g")).distinct()
     flips = F.array(*(F.lit(x) for x in [0, *(1 << b for b in range(BITS // BLOCKS))]))
     entries = prints.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block("g", k).alias("value")) for k in range(BLOCKS)))).alias("b"))
-    entries = cut(entries.select("item_id", "key", "size", "offset", "g", "b.block", F.explode(F.transform(flips, lambda x: F.col("b.value").bitwiseXOR(x))).alias("value")))
+    entries = cut(entries.select("item_id", "key", "n", "size", "offset", "g", "b.block", F.explode(F.transform(flips, lambda x: F.col("b.value").bitwiseXOR(x))).alias("value")))
 
     windows = simhashes(hashed, ["doc_id"], sizes)
     probes = windows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block("f", k).alias("value")) for k in range(BLOCKS)))).alias("b")).select("doc_id", "size", "at", "f", "b.block", "b.value")
     met = probes.join(broadcast_if_small(entries, entries.count(), BROADCAST_ROWS), ["size", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= 2 * BLOCKS - 1)
-    places = cut(met.select("doc_id", "item_id", "key", F.greatest(F.lit(0), F.expr("cast(at * (size / 2) as int)") - F.col("offset")).alias("start")).distinct())
-
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "key", "start")).alias("places"))
-    found = hashed.join(broadcast_if_small(by_doc, by_doc.count(), BROADCAST_DOCS), "doc_id").select("doc_id", "h", F.inline("places"))
-    found = found.join(broadcast_if_small(known.select("item_id", "key", "n", "weights", "total"), n_items, BROADCAST_DOCS), ["item_id", "key"])
-    here = found.select("doc_id", "item_id", "start", "weights", "total", shingles_of(F.slice("h", F.col("start") + 1, F.col("n")), shingle).alias("here"))
+    places = cut(met.select("doc_id", "item_id", "key", "n", F.greatest(F.lit(0), F.expr("cast(at * (size / 2) as int)") - F.col("offset")).alias("start")).distinct())
+
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "key", "n", "start")).alias("places"))
+    # only the words of a place leave the document's row
+    words = F.transform("places", lambda p: F.struct(p["item_id"].alias("item_id"), p["key"].alias("key"), p["start"].alias("start"), F.slice("h", p["start"] + 1, p["n"]).alias("words")))
+    # texts are joined, not their hashes: those of documents without a place are never needed, and a shuffle would carry more
+    texts = rows.join(broadcast_if_small(by_doc, places.count() * 48, BROADCAST_BYTES), "doc_id")
+    found = texts.select("doc_id", _hashes(F.col("text")).alias("h"), "places").select("doc_id", F.inline(words))
+    cut_out = found.join(broadcast_if_small(known.select("item_id", "key", "weights", "total", F.transform("weights", lambda x: x["s"]).alias("grams")), known.agg(F.sum(F.size("weights") * 32 + 32)).first()[0], BROADCAST_BYTES), ["item_id", "key"])
+    # a generator keeps the array from being computed again for every element it is compared with
+    here = cut_out.select("doc_id", "item_id", "start", "weights", "total", "grams", F.explode(F.array(shingles_of(F.col("words"), shingle))).alias("here")).where(F.arrays_overlap("grams", "here"))
     share = F.aggregate(F.filter("weights", lambda x: F.array_contains("here", x.s)), F.lit(0.0), lambda a, x: a + x.w) / F.col("total")
     scored = here.select("doc_id", "item_id", "start", F.round(share, 6).alias("similarity")).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
