@@ -113,7 +113,7 @@ def test_repeats(spark, corpus):
 
 def test_repeats_in_small_flushes(spark, corpus, monkeypatch):
     rows = corpus
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
     got = substring_dedup.remove_repeats(frame(spark, rows).repartition(13)).collect()
     assert sorted(map(tuple, got)) == repeats_brute(rows)
 

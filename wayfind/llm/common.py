@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from pathlib import Path
@@ -39,12 +40,24 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, dropping its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hint a broadcast only where the counted rows are within the limit; a shuffle join otherwise."""
-    return F.broadcast(df) if rows <= limit else df
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of plans that nobody holds any more.
+
+    It does so when the driver's JVM collects them, which a driver with little to do may not
+    do for hours; a loop of many shuffles would keep all their files until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def broadcast_if_small(df: DataFrame, size: int | None, limit: int) -> DataFrame:
+    """Hint a broadcast only where the measured size (rows or bytes) is within the limit; a shuffle join otherwise."""
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from wayfind.llm.common import broadcast_if_small, cut
 
 RUN = 2
-#: Documents to shorten that are broadcast at most; beyond it the join is shuffled.
-BROADCAST_ROWS = 100_000
+#: Bytes of runs to remove that are broadcast at most; beyond it the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def fingerprints(docs: DataFrame, run: int) -> DataFrame:
@@ -50,7 +50,7 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     usable = rows.where("doc_id is not null and text is not null")
     later = cut(repeated_runs(usable, run).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts")))
-    out = rows.join(broadcast_if_small(later, later.count(), BROADCAST_ROWS), ["doc_id", "text_key"], "left")
+    out = rows.join(broadcast_if_small(later, later.agg(F.sum(F.size("starts") * 4 + 32)).first()[0], BROADCAST_BYTES), ["doc_id", "text_key"], "left")
     lines = F.split("text", "\n")
     # what lies before the first run, and between the end of each and the next
     between = F.transform("starts", lambda s, j: F.slice(lines, s + run + 1, F.greatest(F.lit(0), F.coalesce(F.get("starts", j + 1), F.size(lines)) - s - run)))

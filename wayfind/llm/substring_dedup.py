@@ -29,8 +29,8 @@ from wayfind.llm.wordhash import WordHash, windows
 WINDOW, BLOCK = 13, 7
 #: Words that a map task sorts at once, and entries of a range.
 FLUSH, RANGE = 1_500_000, 1_500_000
-#: Documents with hits that are broadcast at most; beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of spans that are broadcast at most; beyond it the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 PACKED = "part long, n long, hashes binary, places binary, owners binary, docs binary, texts binary, flags binary"
 SPANS = "doc_id long, text_key long, spans binary"
@@ -225,7 +225,7 @@ def _spans_of(packed: DataFrame, later_only: bool, ranges: int) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    return docs.join(broadcast_if_small(spans, spans.count(), BROADCAST_ROWS), ["doc_id", "text_key"], how).select("doc_id", "text_key", "text", "spans")
+    return docs.join(broadcast_if_small(spans, spans.agg(F.sum(F.octet_length("spans") + 32)).first()[0], BROADCAST_BYTES), ["doc_id", "text_key"], how).select("doc_id", "text_key", "text", "spans")
 
 
 def _grow(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
