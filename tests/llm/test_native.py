@@ -109,6 +109,51 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(df.limit(0), bench).collect() == [] == decontaminate.contaminated(df, bench.limit(0)).collect()
 
 
+def test_near_copies_of_items(spark):
+    """Passages edited in every way that leaves about 0.8 of the shingles, against OP4_SQL."""
+    rnd = random.Random(8)
+    say = lambda n, of=5000: [f"w{rnd.randrange(of)}" for _ in range(n)]
+    items = {n: say(n) for n in (5, 7, 10, 11, 12, 16, 24, 29, 47, 50, 55, 59, 96, 120)}
+    common = say(30)
+    items |= {200 + k: common + say(12) for k in range(4)} | {300 + k: say(40, of) for k, of in enumerate((3, 6, 12, 30))}
+    docs = {}
+
+    def plant(words):
+        docs[1000 + len(docs)] = say(rnd.randrange(40)) + words + say(rnd.randrange(40))
+
+    for w in items.values():
+        n, lost = len(w), (len(w) - 4) // 5
+        for run in {1, max(1, lost - 4), max(1, lost - 3)}:  # one replaced run
+            for at in (0, n // 3, n // 2, n - run):
+                plant(w[:at] + say(run) + w[at + run :])
+        for k in {lost, lost + 1}:  # cut ends
+            plant(w[k:])
+            plant(w[: n - k])
+            plant(w[k // 2 : n - (k + 1) // 2])
+        for edits in range(1, lost // 4 + 2):  # even edits: words replaced, put in, left out; pieces in another order
+            marks = [n * (k + 1) // (edits + 1) for k in range(edits)]
+            plant([x for i, x in enumerate(w) for x in (say(1) if i in marks else [x])])
+            plant([x for i, x in enumerate(w) for x in (say(1) + [x] if i in marks else [x])])
+            plant([x for i, x in enumerate(w) if i not in marks])
+            pieces = [w[a:b] for a, b in zip([0, *marks], [*marks, n])]
+            plant([x for piece in pieces[::-1] for x in piece])
+    for k in range(4):
+        plant(items[200 + k][26:])  # the common part has little weight
+        plant(say(30) + items[200 + k][30:])
+    docs = {i: " ".join(w) for i, w in docs.items()}
+    bench = {i: " ".join(w) for i, w in items.items()}
+    db = duckdb.connect()
+    for name, col, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", bench)):
+        db.execute(f"create table {name} ({col} bigint, text varchar)")
+        db.executemany(f"insert into {name} values (?, ?)", list(rows.items()))
+    want = {(i, j): (float(x), s) for i, j, x, s in db.execute(queries.OP4_SQL).fetchall()}
+    got = decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()
+    assert len(want) > 200 and len(got) == len(want)
+    for r in got:
+        similarity, start = want[r.doc_id, r.item_id]
+        assert abs(r.similarity - similarity) < 2e-6 and r.start_word == start
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}

@@ -1,13 +1,15 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-Texts are cut into windows about the size of an item, at half a window's stride: the
-window size W is the largest power of two with n >= 3 W / 2 - 1 for an item of n words,
-so that any occurrence of the item holds a whole window. The windows' 64-bit SimHashes
+Texts are cut into windows at half a window's stride. An item's window size W is the
+largest power of two of which 3 W / 2 - 1 words in a row are left as they are by every
+passage of the wanted similarity, so that any such passage holds a whole window of the
+item (see sure_window). The windows' 64-bit SimHashes
 (the majority of their words' hashes, bit by bit) are looked up among those of all
 windows of the items of that size. Both sides are split into BLOCKS blocks; the item
 side also has each block with one bit flipped, which guarantees all fingerprints within
-2 * BLOCKS - 1 bits. A hit tells where the item would begin; there, the share of the
-item's weighted shingles in as many words is computed exactly.
+2 * BLOCKS - 1 bits. A hit tells about where the item would begin; around it, each start
+that a shared shingle names is tried, and the share of the item's weighted shingles in
+as many words is computed exactly.
 
 The majority over a window is computed by adding bit-sliced counters: the k-th plane of
 a counter is a number that holds bit k of 64 counts.
@@ -131,6 +133,34 @@ def window_size(n: int) -> int:
     return size
 
 
+def longest_repeat(h: Column, most: int) -> Column:
+    """The length of the longest run of words that stands in h twice, as far as `most`."""
+    return reduce(lambda c, k: F.when(F.size(shingles_of(h, k)) < F.size(h) - k + 1, F.lit(k)).otherwise(c), range(1, most + 1), F.lit(0))
+
+
+def sure_window(shingle: int, similarity: float, longest: int) -> Column:
+    """The window size of an item (n, repeat, weights, total): the largest that every passage of the similarity holds whole.
+
+    A passage has m = n - shingle + 1 places. If no 3 W / 2 - 1 of its words in a row are
+    the item's, its shared shingles stand in runs of up to c = 3 W / 2 - 1 - shingle
+    places, with shingle - 1 - repeat other places between two runs at least: closer
+    runs would have over `repeat` words in common, which stand in the item twice. So it
+    shares at most max over R of min(c R, m - gap (R - 1)) shingles. If as many of the
+    item's weightiest are less than the similarity, W is sure. One shared shingle is
+    always there, whatever stands between.
+    """
+    m, gap, size = F.col("n") - shingle + 1, F.greatest(F.lit(shingle - 1) - F.col("repeat"), F.lit(0)), window_size(shingle)
+    heavy, own = F.sort_array(F.transform("weights", lambda x: x["w"]), asc=False), F.lit(size)
+    while size * 2 <= window_size(longest):
+        size *= 2
+        run = 3 * size // 2 - 1 - shingle
+        runs = F.floor((m + gap) / (gap + run)).cast("int")
+        most = F.greatest(runs * run, m - gap * runs)
+        shared = F.aggregate(F.slice(heavy, F.lit(1), most), F.lit(0.0), lambda a, w: a + w)
+        own = F.when(shared < F.col("total") * (similarity - 1e-6), F.lit(size)).otherwise(own)  # shares are rounded to six digits
+    return own
+
+
 def item_table(items: DataFrame, shingle: int) -> DataFrame:
     """item_id, h, n, weights (shingle hash -> weight as structs), total of the items of at least `shingle` words.
 
@@ -145,9 +175,14 @@ def item_table(items: DataFrame, shingle: int) -> DataFrame:
     return rows.join(weights, ["item_id", "key"])
 
 
+def shingles_at(h: Column, shingle: int) -> Column:
+    """The shingles of an array of word hashes, by hash and in their order; none if it has fewer words."""
+    return F.when(F.size(h) >= shingle, F.transform(F.sequence(F.lit(1), F.size(h) - shingle + 1), lambda i: F.xxhash64(F.slice(h, i, shingle)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles_of(h: Column, shingle: int) -> Column:
-    """The distinct shingles of an array of word hashes, by hash; none if it has fewer words."""
-    return F.array_distinct(F.when(F.size(h) >= shingle, F.transform(F.sequence(F.lit(1), F.size(h) - shingle + 1), lambda i: F.xxhash64(F.slice(h, i, shingle)))).otherwise(F.array().cast("array<bigint>")))
+    """The distinct shingles."""
+    return F.array_distinct(shingles_at(h, shingle))
 
 
 def _block(f: Column | str, k: int) -> Column:
@@ -158,22 +193,20 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
     """doc_id, item_id, similarity, start_word: each document and item of at least the similarity.
 
     items: item_id, text. similarity is the best share of the item's weighted shingles in
-    as many words of the document, start_word (from 0) the first place that has it among
-    those that fingerprints led to. Items of fewer than `shingle` words match nothing, nor do null or
+    as many words of the document, start_word (from 0) the first place that has it. Items of fewer than `shingle` words match nothing, nor do null or
     shorter texts or rows without an id. Rows of one id count as one document. Other
     columns are not read.
     """
-    known = cut(item_table(items, shingle))
-    n_items = known.count()
-    sizes = sorted({window_size(r.n) for r in known.select("n").distinct().collect()})  # lengths of items: few
+    known = cut(item_table(items, shingle).withColumn("repeat", longest_repeat(F.col("h"), shingle - 1)))
+    n_items, longest = known.agg(F.count("*"), F.max("n")).first()
+    sized = known.withColumn("own", sure_window(shingle, similarity, longest or shingle))
+    sizes = sorted(r.own for r in sized.select("own").distinct().collect())  # powers of two: few
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     hashed = rows.select("doc_id", _hashes(F.col("text")).alias("h"))
     if not n_items:
         return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word")).limit(0)
 
     # every window of an item of its own size, at any word: the item from each of its words on, first windows only
-    size_of = reduce(lambda c, s: c.when(F.col("n") >= F.floor(F.lit(3 * s / 2)) - 1, F.lit(s)), sizes[::-1][1:], F.when(F.col("n") >= 3 * sizes[-1] // 2 - 1, F.lit(sizes[-1])))
-    sized = known.withColumn("own", size_of)
     shifted = sized.select("item_id", "key", "n", "own", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("own") + 1)).alias("from"), "h")
     parts = shifted.select("item_id", "key", "n", "own", (F.col("from") - 1).alias("offset"), F.slice("h", F.col("from"), F.col("own")).alias("h"))
     prints = simhashes(parts, ["item_id", "key", "n", "own", "offset"], sizes).where("size = own and at = 0").select("item_id", "key", "n", "size", "offset", F.col("f").alias("g")).distinct()
@@ -184,19 +217,34 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
     windows = simhashes(hashed, ["doc_id"], sizes)
     probes = windows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block("f", k).alias("value")) for k in range(BLOCKS)))).alias("b")).select("doc_id", "size", "at", "f", "b.block", "b.value")
     met = probes.join(broadcast_if_small(entries, entries.count(), BROADCAST_ROWS), ["size", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= 2 * BLOCKS - 1)
-    places = cut(met.select("doc_id", "item_id", "key", "n", F.greatest(F.lit(0), F.expr("cast(at * (size / 2) as int)") - F.col("offset")).alias("start")).distinct())
+    # a passage that holds the window begins up to n - own words before or after; beginnings are taken together by n words
+    cell = F.floor((F.col("at") * F.col("size") / 2 - F.col("offset")) / F.col("n")).cast("int")
+    places = cut(met.select("doc_id", "item_id", "key", "n", "size", cell.alias("cell")).distinct())
+
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "key", "n", "size", "cell")).alias("places"))
+
+    def words_at(p: Column) -> Column:
+        """The words of all passages that begin from `low` to `high`."""
+        low, high = p["cell"] * p["n"] - p["n"] + p["size"], p["cell"] * p["n"] + 2 * p["n"] - p["size"] - 1
+        base = F.greatest(low, F.lit(0))
+        return F.struct(p["item_id"].alias("item_id"), p["key"].alias("key"), p["n"].alias("n"), base.alias("base"), high.alias("high"), F.slice("h", base + 1, F.greatest(high + p["n"] - base, F.lit(0))).alias("words"))
 
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "key", "n", "start")).alias("places"))
     # only the words of a place leave the document's row
-    words = F.transform("places", lambda p: F.struct(p["item_id"].alias("item_id"), p["key"].alias("key"), p["start"].alias("start"), F.slice("h", p["start"] + 1, p["n"]).alias("words")))
+    words = F.transform("places", words_at)
     # texts are joined, not their hashes: those of documents without a place are never needed, and a shuffle would carry more
     texts = rows.join(broadcast_if_small(by_doc, places.count() * 48, BROADCAST_BYTES), "doc_id")
     found = texts.select("doc_id", _hashes(F.col("text")).alias("h"), "places").select("doc_id", F.inline(words))
-    cut_out = found.join(broadcast_if_small(known.select("item_id", "key", "weights", "total", F.transform("weights", lambda x: x["s"]).alias("grams")), known.agg(F.sum(F.size("weights") * 32 + 32)).first()[0], BROADCAST_BYTES), ["item_id", "key"])
+    grams = known.select("item_id", "key", "weights", "total", shingles_at(F.col("h"), shingle).alias("grams"))
+    cut_out = found.join(broadcast_if_small(grams, known.agg(F.sum(F.size("weights") * 24 + F.col("n") * 8 + 32)).first()[0], BROADCAST_BYTES), ["item_id", "key"])
     # a generator keeps the array from being computed again for every element it is compared with
-    here = cut_out.select("doc_id", "item_id", "start", "weights", "total", "grams", F.explode(F.array(shingles_of(F.col("words"), shingle))).alias("here")).where(F.arrays_overlap("grams", "here"))
-    share = F.aggregate(F.filter("weights", lambda x: F.array_contains("here", x.s)), F.lit(0.0), lambda a, x: a + x.w) / F.col("total")
-    scored = here.select("doc_id", "item_id", "start", F.round(share, 6).alias("similarity")).where(F.col("similarity") >= similarity)
+    here = cut_out.select("*", F.explode(F.array(shingles_at(F.col("words"), shingle))).alias("here")).where(F.arrays_overlap("grams", "here"))
+    share = F.round(F.aggregate(F.filter("weights", lambda x: F.array_contains("here", x.s)), F.lit(0.0), lambda a, x: a + x.w) / F.col("total"), 6)
+    near = here.where(share >= similarity)  # all words together have no less than one passage
+    shared = F.filter(F.transform("here", lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: F.array_contains("grams", x["g"]))
+    froms = F.transform(shared, lambda x: F.transform(F.filter(F.transform("grams", lambda g, q: F.struct(g.alias("g"), q.alias("q"))), lambda y: y["g"] == x["g"]), lambda y: F.greatest(F.col("base") + x["i"] - y["q"], F.lit(0))))
+    starts = near.select("*", F.explode(F.array_distinct(F.flatten(froms))).alias("start")).where("start between base and high")
+    passages = starts.select("doc_id", "item_id", "start", "weights", "total", F.explode(F.array(F.slice("here", F.col("start") - F.col("base") + 1, F.col("n") - shingle + 1))).alias("here"))
+    scored = passages.select("doc_id", "item_id", "start", share.alias("similarity")).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
     return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start_word"))
 
