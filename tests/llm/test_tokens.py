@@ -97,6 +97,32 @@ def test_license(spark, edge):
     assert license_scan.scan(edge.limit(0)).collect() == []
 
 
+def test_files_of_several_notices(spark):
+    """Against a plain scan: every template at every place."""
+    rnd = random.Random(5)
+    texts = [text for _, text, _ in license_scan.TEMPLATES]
+    files = [" ".join(texts), "\n".join(texts[::-1]), *(f"{a}\n\n{b}" for a in texts for b in texts)]
+    for _ in range(150):
+        words = " filler ".join(rnd.sample(texts, 4)).split()
+        files.append(" ".join(w if rnd.random() < 0.85 else rnd.choice(["changed", "license", "the", ""]) for w in words))
+    files += ["plain words of the day " * 50] * 20
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(files)), "doc_id long, text string")).collect()}
+    assert len(set("mit apache-2.0 gpl-2.0 gpl-3.0 bsd isc cc-by cc0".split()) & set(got[0].labels.split(","))) == 8
+    templates = [(label, license_scan.words_of(text), [license_scan.words_of(k) for k in keys]) for label, text, keys in license_scan.TEMPLATES]
+    for i, text in enumerate(files):
+        words, found, best = license_scan.words_of(text), set(), 0.0
+        for label, body, keys in templates:
+            for at in range(-len(body), len(words)):
+                share = sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(body)) / len(body)
+                near = words[max(0, at - len(body)) : max(0, at + 2 * len(body))]
+                if share >= license_scan.COVER and all(license_scan.places(near, k) for k in keys):
+                    found.add(label)
+                    best = max(best, share)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == found | base
+        assert got[i].score == max(best, 0.5 * bool(base))
+
+
 def phrases(text, sample, block=language_id.BLOCK):
     """Phrases of a plain parse by substring search."""
     n, i = 0, 0

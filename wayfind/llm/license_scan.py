@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index.
 
-Templates of license notices are indexed by word and place. A file looks up its
-licence words of the highest inverse document frequency, counts for each template the
-relative position at which they meet its postings, and keeps a template if enough of
-them agree on one position and its mandatory key phrases stand in the file. The phrases
+Templates of license notices are indexed by word and place, each by its places of the
+highest inverse document frequency: so many that some of them are met wherever enough of
+the template stands. A file looks up its words, counts for each template the relative
+position at which they meet its postings, and keeps a template if enough of its words
+stand at one position and its mandatory key phrases stand in the file. The phrases
 of BASE count at all places.
 """
 
@@ -38,8 +39,8 @@ TEMPLATES = [
     ("cc0", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.", ["cc0 1 0"]),
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
 ]
-#: Highest-IDF licence words that a file looks up.
-RAREST = 12
+#: Votes that a template's place needs, if it has so many words.
+VOTES = 3
 #: Share of a template's words that must stand at their relative position.
 COVER = 0.7
 
@@ -66,15 +67,23 @@ def places(words: list[bytes], phrase: list[bytes], lead: list[int] | None = Non
 
 
 class Index:
-    """Postings of the templates' words, and the words' inverse document frequency in the corpus."""
+    """Postings of the templates' rarest words, by their inverse document frequency in the corpus.
+
+    COVER of a template's L words leave out `missing` of them at most; of its missing +
+    VOTES rarest places (or all L), VOTES (or L - missing) at least are met.
+    """
 
     def __init__(self, templates, frequency: dict[bytes, int], n_docs: int):
         self.templates = [(label, words_of(text), [words_of(k) for k in keys]) for label, text, keys in templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.votes = []
+        idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for _, words, _ in self.templates for w in words}
         for i, (_, words, _) in enumerate(self.templates):
-            for p, w in enumerate(words):
-                self.postings.setdefault(w, []).append((i, p))
-        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
+            missing = next(k for k in range(len(words), -1, -1) if (len(words) - k) / len(words) >= COVER)
+            rare = sorted(range(len(words)), key=lambda p: (-idf[words[p]], words[p], p))[: missing + VOTES]
+            self.votes.append(len(rare) - missing)
+            for p in rare:
+                self.postings.setdefault(words[p], []).append((i, p))
         self.vocabulary = frozenset(self.postings)
         self.base = [(words_of(p), label) for p, label in BASE.items()]
 
@@ -83,9 +92,8 @@ class Index:
         present = self.vocabulary.intersection(words)
         if not present:
             return set(), 0.0
-        rare = sorted(present, key=lambda w: (-self.idf[w], w))[:RAREST]
         votes: Counter = Counter()
-        at: dict[bytes, list[int]] = {w: [] for w in rare}
+        at: dict[bytes, list[int]] = {w: [] for w in present}
         for p, w in enumerate(words):
             if w in at:
                 at[w].append(p)
@@ -95,7 +103,7 @@ class Index:
         labels, best = set(), 0.0
         for (t, shift), n in votes.items():
             label, body, keys = self.templates[t]
-            if n < min(3, len(body)):
+            if n < self.votes[t]:
                 continue
             share = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(body)) / len(body)
             near = words[max(0, shift - len(body)) : max(0, shift + 2 * len(body))]
