@@ -210,6 +210,19 @@ def test_stream(spark, tmp_path):
     assert {r.route for r in spark.read.json(str(tmp_path / "out")).collect()} == {"filmography", "out_of_scope"}
 
 
+def test_gate_fails_in_pieces(spark, monkeypatch):
+    ids = [(k, piece, i) for piece in "xy" for k, n in (("c", 10), ("o", 30), ("s", 30)) for i in range(n)]
+    nodes = spark.createDataFrame([(f"{k}{piece}{i}", "e" if k != "s" else None) for k, piece, i in ids], "id string, era string")
+    took = [(f"c{p}{i}", f"o{p}{j}", "PARTICIPATED_IN") for p in "xy" for i in range(10) for j in range(30)]
+    hit = [(f"o{p}{j}", f"s{p}{(j + k) % 30}", "AFFECTED") for p in "xy" for j in range(30) for k in range(5)]
+    monkeypatch.setattr(library, "history_nodes", lambda spark, sf: nodes)
+    for bridge, passes in (([], False), ([("cx0", "sy0", "MEMBER_OF")], True)):
+        edges = spark.createDataFrame(took + hit + bridge, "src string, dst string, kind string")
+        monkeypatch.setattr(library, "history_edges", lambda spark, sf, edges=edges: edges)
+        row = library.density_gate(spark, "").first()
+        assert row.mean_degree >= 5 and row.bridges >= 50 and row.within_era >= 50 and row.passes == passes
+
+
 def test_intersections(spark):
     hits = spark.createDataFrame([(1, "a", "abc", 1.0, 1), (1, "b", "abcd", 0.5, 2), (1, "c", "zz", 0.1, 3)], "qid int, id string, label string, popularity double, seq int")
     assert [r.id for r in resolve.longest_hits(hits).orderBy("rank").collect()] == ["b", "c"]

@@ -136,6 +136,12 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     return labels.withColumnRenamed("label", "component")
 
 
+def largest_share(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, largest: the share of all nodes that the largest component has."""
+    sizes = components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
+    return sizes.agg((F.max("n") / F.sum("n")).alias("largest"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the cluster's checkpoint folder; only a session without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext

@@ -512,12 +512,13 @@ def connected_components(spark, sf) -> DataFrame:
 w as (select min(n) as within_era from (select a.era, count(*) as n from hedges e join hnodes a on a.id = e.src join hnodes b on b.id = e.dst where kind = 'PARTICIPATED_IN' group by a.era))
 select round(mean_degree, 6) as mean_degree, bridges, within_era, mean_degree >= 5 and bridges >= 50 and within_era >= 50 as passes from d, s, w""")
 def density_gate(spark, sf) -> DataFrame:
+    """The SQL leaves out the share of the largest component, which counts here."""
     n, e = history_nodes(spark, sf), history_edges(spark, sf)
     mean = graph.degree(n, e).where("degree > 0").agg(F.avg("degree").alias("mean_degree"))
     bridges = e.where("kind = 'AFFECTED'").groupBy("dst").count().where("count >= 2").agg(F.count("*").alias("bridges"))
     within = e.where("kind = 'PARTICIPATED_IN'").join(n.select(F.col("id").alias("src"), "era"), "src").groupBy("era").count().agg(F.min("count").alias("within_era"))
-    one = mean.crossJoin(bridges).crossJoin(within)  # one row each
-    return one.select(F.round("mean_degree", 6).alias("mean_degree"), "bridges", "within_era", etl.gate(F.col("mean_degree"), F.lit(1.0), F.col("bridges"), F.col("within_era")).alias("passes"))
+    one = mean.crossJoin(bridges).crossJoin(within).crossJoin(etl.largest_share(n, e))  # one row each
+    return one.select(F.round("mean_degree", 6).alias("mean_degree"), "bridges", "within_era", etl.gate(F.col("mean_degree"), F.col("largest"), F.col("bridges"), F.col("within_era")).alias("passes"))
 
 
 @query(HISTORY_SQL + " select case when a.era is null and b.era is null then 'none' when a.era is null or b.era is null then 'half' when a.era = b.era then 'same' else 'cross' end as bucket, count(*) as n from hedges e join hnodes a on a.id = e.src join hnodes b on b.id = e.dst group by 1")
