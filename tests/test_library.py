@@ -210,6 +210,23 @@ def test_stream(spark, tmp_path):
     assert {r.route for r in spark.read.json(str(tmp_path / "out")).collect()} == {"filmography", "out_of_scope"}
 
 
+def test_history_components(spark):
+    """All nodes and edges, against union-find."""
+    root = {r.id: r.id for r in library.history_nodes(spark, SF).collect()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for r in library.history_edges(spark, SF).collect():
+        a, b = sorted((find(r.src), find(r.dst)))
+        root[b] = a
+    got = library.history_components(spark, SF).collect()
+    assert {r.id[0] for r in got} == set("cosn")
+    assert sorted((r.id, r.component) for r in got) == sorted((x, find(x)) for x in root)
+
+
 def test_gate_fails_in_pieces(spark, monkeypatch):
     ids = [(k, piece, i) for piece in "xy" for k, n in (("c", 10), ("o", 30), ("s", 30)) for i in range(n)]
     nodes = spark.createDataFrame([(f"{k}{piece}{i}", "e" if k != "s" else None) for k, piece, i in ids], "id string, era string")

@@ -504,10 +504,17 @@ reach(id, root) as (select id, id from hnodes where type <> 'Event' union select
 
 @query(COMPONENT_SQL + " select id, min(root) as component from reach group by id")
 def connected_components(spark, sf) -> DataFrame:
+    """Components of the membership edges alone, without events, as in the SQL; history_components has those of the whole graph."""
     n, e = history_nodes(spark, sf).where("type <> 'Event'"), history_edges(spark, sf).where("kind = 'MEMBER_OF'")
     return etl.components(n, e)
 
 
+@query()
+def history_components(spark, sf) -> DataFrame:
+    """Components of the whole history graph: all nodes, all kinds of edges."""
+    return etl.components(history_nodes(spark, sf), history_edges(spark, sf))
+
+
 @query(HISTORY_SQL + """, d as (select avg(degree) as mean_degree from hdegree), s as (select count(*) as bridges from (select dst from hedges where kind = 'AFFECTED' group by dst having count(*) >= 2)),
 w as (select min(n) as within_era from (select a.era, count(*) as n from hedges e join hnodes a on a.id = e.src join hnodes b on b.id = e.dst where kind = 'PARTICIPATED_IN' group by a.era))
 select round(mean_degree, 6) as mean_degree, bridges, within_era, mean_degree >= 5 and bridges >= 50 and within_era >= 50 as passes from d, s, w""")
