@@ -112,10 +112,10 @@ def test_repeats(spark, corpus):
 
 
 def test_repeats_in_small_flushes(spark, corpus, monkeypatch):
-    rows = corpus
-    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
-    got = substring_dedup.remove_repeats(frame(spark, rows).repartition(13)).collect()
-    assert sorted(map(tuple, got)) == repeats_brute(rows)
+    for limit, words, entries in ((-1, 1_500_000, 1_500_000), (1 << 20, 100, 7), (-1, 1, 1), (-1, 1000, 100)):
+        monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", limit)
+        got = substring_dedup.remove_repeats(frame(spark, corpus).repartition(13), flush_words=words, range_entries=max(entries, 50)).collect()
+        assert sorted(map(tuple, got)) == repeats_brute(corpus)
 
 
 def test_repeats_awkward(spark):
