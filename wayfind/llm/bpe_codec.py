@@ -217,7 +217,10 @@ def frequent_words(docs: DataFrame, vocab: str, words: int = WORDS, text_col: st
         if room < 0:
             break
         least = r.step
-    return [r.piece for r in totals.where(step >= least).orderBy("piece").collect()] if least is not None else []  # at most `words` rows
+    if least is not None:
+        return [r.piece for r in totals.where(step >= least).orderBy("piece").collect()]  # at most `words` rows
+    # the first step alone has more: the first by count and name
+    return [r.piece for r in totals.orderBy(F.desc("n"), "piece").limit(words).collect()]
 
 
 class Codec:

@@ -12,8 +12,12 @@ import tiktoken
 
 #: The letters, numbers below U+0250, by which the quick pattern equals the general one there.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+#: White space below U+0250 as the vocabulary's pattern has it; re's own class also takes U+001C to U+001F.
+SPACES = "\t-\r \x85\xa0"
+#: All white space of the pattern.
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 QUICK = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+"
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 BEYOND = re.compile("[^\x00-ɏ]")
 

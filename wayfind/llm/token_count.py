@@ -31,7 +31,7 @@ def common_boundary(text: str, at: int, to: int, left: tuple[int, list[int]], ri
     left and right: where a chunk begins in the text, and its ids. Returns the place,
     how many ids of the left chunk lie before it, and how many of the right one.
     """
-    places = [p for p in range(max(at, 1), to) if text[p].isspace() and not text[p - 1].isspace()]
+    places = [p for p in range(max(at, 1), to) if text[p] in bpe_vocab.WHITE and text[p - 1] not in bpe_vocab.WHITE]
     if not places:
         return None
     bounds = []
