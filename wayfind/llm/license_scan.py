@@ -18,27 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import tune
+from wayfind.llm.license_texts import TEMPLATES
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, text of a notice, phrases that must stand in a file.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("mit", "Released under the MIT License.", ["mit license"]),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0.", ["apache license", "version 2 0"]),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2.", ["gnu general public license", "version 2"]),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license", "version 3"]),
-    ("lgpl", "This library is licensed under the GNU Lesser General Public License.", ["lesser general public license"]),
-    ("agpl", "This work is licensed under the GNU Affero General Public License.", ["affero general public license"]),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license"]),
-    ("cc-by", "Licensed under CC BY 4.0.", ["cc by 4 0"]),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", ["cc by sa"]),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", ["cc by nc"]),
-    ("cc0", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.", ["cc0 1 0"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
-]
 #: Votes that a template's place needs, if it has so many words.
 VOTES = 3
 #: Share of a template's words that must stand at their relative position.
