@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wayfind.llm import bpe_codec, bpe_vocab, language_id, license_scan, token_count
@@ -169,4 +170,35 @@ def test_language(spark, edge):
     assert language_id.identify(edge.limit(0)).collect() == []
     assert {r.lang_pred for r in language_id.identify(edge.withColumn("lang", edge.lang.substr(9, 1)).where("1=1").replace("", None, "lang")).collect()} == {"und"}
     kept = language_id.keep_identified(docs)
-    assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
+    assert kept.schema.names == docs.columns and kept.count() >= 0.98 * docs.count()
+    # one id with a good and a bad text; a long text alone has its language learned; rows without an id are judged too
+    good = docs.where("lang is not null and length(text) > 300").first().text
+    odd = "".join(map(chr, range(0x4E00, 0x4E00 + 400)))
+    rows = [(4, good, "en", 1), (4, "123", "en", 2), (None, odd, None, 3), (None, good, None, 4), (7, "long letters here " * 40_000, "xx", 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, node int")
+    assert sorted(r.node for r in language_id.keep_identified(table).collect()) == [1, 4, 5]
+    assert sorted(language_id.draw_sample(table)) == ["en", "xx"] and len("".join(language_id.draw_sample(table)["xx"])) <= language_id.PIECE
+    none = table.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.node for r in language_id.keep_identified(none).collect()) == [1, 3, 4, 5]
+
+
+def test_sample_is_bounded_and_stable(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    drawn = language_id.draw_sample(docs)
+    assert drawn == language_id.draw_sample(docs.repartition(11)) and all(sum(map(len, t)) <= language_id.SYMBOLS for t in drawn.values())
+    few = language_id.draw_sample(docs, languages=2, rows=3, total=1000)
+    assert len(few) == 2 and all(len(t) <= 3 and sum(map(len, t)) <= 500 for t in few.values())
+
+
+def test_ids_of_control_characters_and_mixes(library):
+    """Random mixes of all code points below U+0250, with contractions and every white space."""
+    bpe, rnd = bpe_vocab.load("byte_bpe_50k.json"), random.Random(9)
+    codec = bpe_codec.Codec(bpe, bpe_codec.Lexicon(bpe_codec.compile_lexicon({b"a": bpe.merge("a")})))
+    size = {i: len(b) for i, b in bpe.token_bytes.items()}.__getitem__
+    spaces = sorted(bpe_vocab.WHITE)
+    for n in range(6000):
+        pool = [chr(rnd.randrange(0x250)) for _ in range(4)] + ["'s", "'re", " ", "a", "\x1c", "\x1f", "1"] + ["日", *rnd.sample(spaces, 2)] * (n % 3 == 0)
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randrange(3, 21)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode_decode([text])[0][1] == ",".join(map(str, want)), repr(text)
+        assert [i for part in token_count.spliced(bpe.encode, size, text, 8, 2) for i in part] == want, repr(text)

@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 
 from wayfind.llm.common import tune
 
-#: Bounds of the sample: rows and symbols of each language, and letters of the alphabet.
-ROWS, SYMBOLS, LETTERS = 400, 30_000, 60
-#: Longer texts aren't drawn into the sample.
-LONGEST = 20_000
+#: Bounds of the sample: languages (the most frequent), rows and characters of each, characters of one text
+#: (a piece of longer ones), characters over all languages; and letters of the alphabet.
+LANGUAGES, ROWS, SYMBOLS, PIECE, TOTAL, LETTERS = 200, 400, 30_000, 3_000, 1_200_000, 60
 BLOCK = 1024
 #: A text of that many symbols at least that needs more bits a symbol fits no language.
 FIT_SYMBOLS, FIT_BITS = 60, 5.0
@@ -37,6 +36,10 @@ def is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and bool(is_letter()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
 class Alphabet:
     """Symbols of a text: 0 for a run of non-letters, 1 for a letter outside the alphabet, others by letter."""
 
@@ -166,21 +169,31 @@ class Model:
         return out
 
 
-def draw_sample(labelled: DataFrame, rows: int = ROWS, symbols: int = SYMBOLS, longest: int = LONGEST) -> dict[str, list[str]]:
-    """Texts of each language of (doc_id, text, lang): at most `rows`, in the order of a hash, up to `symbols` characters.
+def draw_sample(labelled: DataFrame, languages: int = LANGUAGES, rows: int = ROWS, symbols: int = SYMBOLS, piece: int = PIECE, total: int = TOTAL) -> dict[str, list[str]]:
+    """Texts of each language of (doc_id, text, lang): at most `rows` different ones, in the order of a hash, up to `symbols` characters.
 
-    The top rows of each language are taken before the shuffle, then again after it.
+    Of a text longer than `piece`, a piece of that length counts, from a place that
+    follows from the hash. With many languages each has total / languages characters.
+    Rows are counted first, and only as many as are needed pass a threshold on their
+    hash, so that no task sees more than some times `rows` of a language.
     """
-    fit = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest))
-    # ranked by keys and lengths alone; the texts of the few rows drawn come after
-    first = Window.partitionBy("lang").orderBy("order", "doc_id", "text_key")
-    keys = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("text_key"), F.length("text").alias("size"))
-    ranked = keys.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
-    before = F.sum("size").over(Window.partitionBy("lang").orderBy("rank")) - F.col("size")
-    drawn = ranked.withColumn("before", before).where(F.col("before") < symbols).select("lang", "doc_id", "text_key", "rank")
-    bounded = fit.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(drawn), ["lang", "doc_id", "text_key"])  # rows of `drawn`: at most `rows` a language
+    order = F.xxhash64("doc_id", F.xxhash64("text"))
+    fit = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("order", order)
+    counts = fit.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("n"), F.count("*").alias("seen")).orderBy(F.desc("seen"), "lang").limit(languages).collect()  # at most `languages` rows
+    if not counts:
+        return {}
+    symbols = max(1, min(symbols, total // len(counts)))
+    # twice the rows that are wanted, and some: fewer are next to impossible
+    share = {r.lang: min(1.0, (2 * rows + 50) / max(1, r.n)) for r in counts}
+    low = F.create_map(*(x for lang, part in share.items() for x in (F.lit(lang), F.lit(min(int(part * 2.0**64) - (1 << 63), (1 << 63) - 1)))))
+    text = F.col("text")
+    begin = F.when(F.length(text) > piece, F.pmod(F.col("order"), F.length(text) - piece).cast("int")).otherwise(0) + 1
+    passed = fit.where(F.col("order") <= low[F.col("lang")]).select("lang", "order", F.substring(text, begin, F.lit(piece)).alias("text")).dropDuplicates(["lang", "order"])
+    ranked = passed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= rows)
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("rank")) - F.length("text")
+    drawn = ranked.withColumn("room", F.lit(symbols) - before).where("room > 0").select("lang", "rank", F.substring(text, F.lit(1), F.col("room").cast("int")).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in bounded.dropDuplicates(["lang", "rank"]).orderBy("lang", "rank").select("lang", "text").collect():  # bounded by rows and symbols of each language
+    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.rank)):  # at most `total` characters
         out.setdefault(r.lang, []).append(r.text)
     return out
 
@@ -194,7 +207,8 @@ def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col:
     Learns from rows with a label whose crc32(id as text) mod folds isn't 0 (held_out is
     true where it is 0; a null id is neither held out nor learned from). lang_pred is
     `und`, with score 0, where the text is null or has no letter, or nothing could be
-    learned. Repeated rows give repeated rows; other columns are not read.
+    learned (a language beyond the LANGUAGES most frequent isn't). Repeated rows give
+    repeated rows; other columns are not read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     tune(docs.sparkSession)
@@ -203,10 +217,8 @@ def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col:
 
     def run(batches):
         model = _model(samples)
-        letter = is_letter()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            judged = model.judge([t if t and letter[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any() else None for t in texts])
+            judged = model.judge([t if has_letter(t) else None for t in batch.column(1).to_pylist()])
             columns = list(zip(*judged)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k.type) for c, k in zip(columns, list(SCHEMA)[2:]))], schema=SCHEMA)
 
@@ -229,12 +241,24 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is known, all columns unchanged.
 
     Rejected: texts that are null or have no letter, and texts of FIT_SYMBOLS symbols or
-    more that need more than FIT_BITS bits a symbol in their best language. A row is
-    judged by its own text, so that rows need no key of their own.
+    more that need more than FIT_BITS bits a symbol in their best language. Each row is
+    judged by its own text, whatever other rows have its id, in a narrow pass. Where no
+    language could be learned, all texts with a letter stay.
     """
-    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    judged = identify(marked.select("doc_id", "text", "lang"))
-    bad = judged.where((F.col("lang_pred") == "und") | ((F.col("symbols") >= FIT_SYMBOLS) & (F.col("bits") > FIT_BITS)))
-    # the decision goes by id; rows without one go by their text alone
-    known = docs.where(F.col("doc_id").isNotNull()).join(bad.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti")
-    return known.unionByName(docs.where(F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))).select(docs.columns)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    tune(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    samples = docs.sparkSession.sparkContext.broadcast(draw_sample(rows.where(F.col("doc_id").isNotNull() & ~held)))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        model = _model(samples)
+        for batch in batches:
+            texts = [t if has_letter(t) else None for t in batch.column(at).to_pylist()]
+            if model.langs:
+                good = [lang != "und" and (n < FIT_SYMBOLS or bits <= FIT_BITS) for lang, _, n, bits in model.judge(texts)]
+            else:
+                good = [t is not None for t in texts]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
