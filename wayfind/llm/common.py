@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -30,18 +31,23 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session without one (a local test) gets a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; only a local session without one (a test) gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back, dropping its lineage."""
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    shared_folder(spark)
     out = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    del df  # else its shuffle files would outlive the release
+    release(spark)
     return out
 
 
@@ -60,6 +66,13 @@ def broadcast_if_small(df: DataFrame, size: int | None, limit: int) -> DataFrame
     return F.broadcast(df) if (size or 0) <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b).
 
@@ -92,5 +105,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not stable after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
