@@ -111,9 +111,8 @@ def test_repeats(spark, corpus):
         assert sorted(map(tuple, substring_dedup.remove_repeats(frame(spark, rows)).collect())) == repeats_brute(rows)
 
 
-def test_repeats_in_small_flushes(spark, corpus, monkeypatch):
-    for limit, words, entries in ((-1, 1_500_000, 1_500_000), (1 << 20, 100, 7), (-1, 1, 1), (-1, 1000, 100)):
-        monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", limit)
+def test_repeats_in_small_flushes(spark, corpus):
+    for words, entries in ((1_500_000, 1_500_000), (100, 7), (1, 1), (1000, 100)):
         got = substring_dedup.remove_repeats(frame(spark, corpus).repartition(13), flush_words=words, range_entries=max(entries, 50)).collect()
         assert sorted(map(tuple, got)) == repeats_brute(corpus)
 

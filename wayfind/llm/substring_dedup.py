@@ -33,14 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import broadcast_if_small, cut, tune
+from wayfind.llm.common import cut, tune
 from wayfind.llm.wordhash import PRIME, WordHash, mix, windows
 
 WINDOW, BLOCK = 13, 7
 #: Words that a map task sorts at once, and entries of a range.
 FLUSH, RANGE = 1_500_000, 1_500_000
-#: Bytes of spans that are broadcast at most; beyond it the join is shuffled.
-BROADCAST_BYTES = 2 << 20
 
 #: Entries of a range of hashes (part from 0), or the documents of a flush with what it found itself (part below 0).
 PACKED = "part long, flush long, n long, hashes binary, places binary, docs binary, flags binary, texts binary, ends binary"
@@ -254,7 +252,7 @@ def _spans_of(packed: DataFrame, later_only: bool) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    return docs.join(broadcast_if_small(spans, spans.agg(F.sum(F.octet_length("spans") + 32)).first()[0], BROADCAST_BYTES), ["doc_id", "text_key"], how).select("doc_id", "text_key", "text", "spans")
+    return docs.join(spans, ["doc_id", "text_key"], how).select("doc_id", "text_key", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, with_text: bool = False, flush_words: int = FLUSH, range_entries: int = RANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
