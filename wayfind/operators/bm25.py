@@ -21,12 +21,25 @@ class Index:
     totals: DataFrame
 
 
-def build_index(docs: DataFrame, boost: int = TITLE_BOOST) -> Index:
-    """Of docs (id, title, text). Titles count `boost` times, in lengths too."""
+#: Distinct tokens of questions that are broadcast at most; beyond it the join is shuffled.
+BROADCAST_TOKENS = 500_000
+
+
+def build_index(docs: DataFrame, boost: int = TITLE_BOOST, asked: DataFrame | None = None) -> Index:
+    """Of docs (id, title, text). Titles count `boost` times, in lengths too.
+
+    asked (qid, text): only the tokens of these questions are listed, and only they are
+    grouped and shuffled; lengths and totals are those of all.
+    """
     tokens = F.concat(F.flatten(F.array_repeat(tokenize(F.coalesce("title", F.lit(""))), boost)), tokenize(F.coalesce("text", F.lit(""))))
     listed = docs.select("id", tokens.alias("toks"))
     totals = listed.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("toks")), F.lit(1.0)).alias("avg_len"))
-    counts = listed.select("id", F.size("toks").alias("len"), F.explode("toks").alias("tok")).groupBy("id", "tok", "len").agg(F.count("*").alias("tf"))
+    rows = listed.select("id", F.size("toks").alias("len"), F.explode("toks").alias("tok"))
+    if asked is not None:
+        wanted = asked.select(F.explode(tokenize(F.coalesce("text", F.lit("")))).alias("tok")).distinct()
+        few = wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+        rows = rows.join(F.broadcast(wanted) if few else wanted, "tok", "left_semi")
+    counts = rows.groupBy("id", "tok", "len").agg(F.count("*").alias("tf"))
     df = counts.groupBy("tok").agg(F.count("*").alias("df"))
     return Index(counts.join(df, "tok"), totals)
 

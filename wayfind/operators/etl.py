@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions.text import key
+from wayfind.operators.shared import checkpointed
 
 #: Size of a chunk, and from where on a paragraph is split hard.
 CHUNK, HARD = 6000, 9600
@@ -30,38 +30,54 @@ def squeeze(s: Column) -> Column:
 
 
 def chunks(docs: DataFrame, size: int = CHUNK, hard: int = HARD) -> DataFrame:
-    """id, n, chunk of docs (id, text): paragraphs packed up to `size`; one longer than `hard` is split each `size` characters."""
-    pieces = F.flatten(F.transform(F.filter(F.split("text", r"\n\n+"), lambda p: F.trim(p) != ""), lambda p: F.when(F.length(p) > hard, F.transform(F.sequence(F.lit(1), F.length(p), F.lit(size)), lambda i: F.substring(p, i, F.lit(size)))).otherwise(F.array(p))))
+    """id, n, chunk of docs (id, text): paragraphs joined while they fit `size`; what is open is cut each `size` characters while it is longer than `hard`.
+
+    Sizes are in characters, the separator between paragraphs not counted when they are
+    joined. A last chunk of nothing but white space is left out.
+    """
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(s: Column, p: Column) -> Column:
-        fits = (s["open"] != "") & (F.length(s["open"]) + F.length(p) + 2 <= size)
-        done = F.when(fits | (s["open"] == ""), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(s["open"], F.lit("\n\n"), p)).otherwise(p).alias("open"))
+        full = (s["open"] != "") & (F.length(s["open"]) + F.length(p) > size)
+        joined = F.when(full | (s["open"] == ""), p).otherwise(F.concat(s["open"], F.lit("\n\n"), p))
+        cuts = F.greatest(F.ceil((F.length(joined) - hard) / size), F.lit(0)).cast("int")
+        pieces = F.when(cuts > 0, F.transform(F.sequence(F.lit(0), F.greatest(cuts - 1, F.lit(0))), lambda i: F.substring(joined, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+        done = F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+        return F.struct(F.concat(done, pieces).alias("done"), F.substring(joined, cuts * size + 1, F.length(joined)).alias("open"))
+
+    packed = F.aggregate(F.split("text", r"\n\n+"), empty, add, lambda s: F.when(s["open"].rlike(r"\S"), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+    return docs.where("text is not null").select("id", F.posexplode(packed).alias("n", "chunk"))
 
-    packed = F.aggregate(pieces, empty, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
-    return docs.select("id", F.posexplode(packed).alias("n", "chunk"))
+
+#: Hashes of quotes that are broadcast at most; beyond it the join is shuffled.
+BROADCAST_QUOTES = 500_000
 
 
 def verify_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (quote_id, id) of a quote (quote_id, text) that stands in a document (id, text), white space squeezed.
 
-    Documents with the quote's first words at some place are compared whole; so a quote
-    meets few documents.
+    Documents that have a quote's inner words (all but the first and last, which may be
+    parts of words; six at most) one after the other are compared whole, so that a quote
+    meets few documents. Only hashes that some quote has leave a document's row. A quote
+    of one or two words is looked up by the substrings of words as long as it.
     """
     lead = 6
     words = lambda c: F.split(c, " ")
-    asked = quotes.select("quote_id", squeeze(F.col("text")).alias("quote")).where("quote <> ''")
-    short = asked.where(F.size(words("quote")) < lead + 2)
-    # not the first word: a quote may begin inside a word of the document
-    long = asked.where(F.size(words("quote")) >= lead + 2).withColumn("inner", F.xxhash64(F.slice(words("quote"), 2, lead)))
+    asked = quotes.select("quote_id", squeeze(F.col("text")).alias("quote")).where("quote <> ''").withColumn("n", F.least(F.size(words("quote")) - 2, F.lit(lead)))
+    long = asked.where("n >= 1").withColumn("inner", F.xxhash64(F.slice(words("quote"), F.lit(2), F.col("n"))))
     texts = docs.select("id", squeeze(F.col("text")).alias("body"))
-    split = texts.select("id", words("body").alias("w")).where(F.size("w") >= lead)
-    grams = split.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - lead + 1), lambda i: F.xxhash64(F.slice("w", i, lead)))).alias("inner"))
-    met = grams.join(long, "inner").select("id", "quote_id", "quote").distinct()
-    checked = met.join(texts, "id").where(F.col("body").contains(F.col("quote"))).select("quote_id", "id")
-    few = texts.join(short, F.col("body").contains(F.col("quote"))).select("quote_id", "id")  # quotes of a few words: compared with all
-    return checked.unionByName(few)
+    split = texts.select("id", words("body").alias("w"))
+    sizes = long.select("n").distinct().agg(F.collect_list("n").alias("sizes"))  # one row, six numbers at most
+    grams = split.crossJoin(F.broadcast(sizes)).select("id", F.explode(F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.size("w")), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))))).alias("inner"))
+    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES else df
+    met = grams.join(few(long.select("inner").distinct()), "inner", "left_semi").distinct().join(long, "inner").select("id", "quote_id", "quote").distinct()
+    short = asked.where("n < 1").withColumn("longest", F.array_max(F.transform(words("quote"), lambda w: F.struct(F.length(w).alias("size"), w.alias("w")))))
+    keyed = short.select("quote_id", "quote", F.col("longest.w").alias("part"))
+    lengths = keyed.select(F.length("part").alias("k")).distinct().agg(F.collect_list("k").alias("lengths"))  # one row, a few numbers
+    parts = F.flatten(F.transform(F.array_distinct("w"), lambda w: F.flatten(F.transform(F.filter("lengths", lambda k: k <= F.length(w)), lambda k: F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: F.substring(w, i, k))))))
+    held = split.crossJoin(F.broadcast(lengths)).where(F.size("lengths") > 0).select("id", F.explode(F.array_distinct(parts)).alias("part"))
+    some = held.join(few(keyed.select("part").distinct()), "part", "left_semi").join(keyed, "part").select("id", "quote_id", "quote")
+    return met.unionByName(some).join(texts, "id").where(F.col("body").contains(F.col("quote"))).select("quote_id", "id")
 
 
 def signature_errors(edges: DataFrame) -> DataFrame:
@@ -93,13 +109,13 @@ def resolve(surfaces: DataFrame, canon: DataFrame, least: int = 3) -> DataFrame:
     """surface, resolved, how: by the dictionary canon (key, title), by the only title that holds it, without its honorific, or itself.
 
     Of several titles of a key the first by seq counts. Containment is an equi-join on
-    the substrings of the titles.
+    those substrings of the titles that are as long as some surface.
     """
     first = canon.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).where("nth = 1").select("key", "title")
     asked = surfaces.select("surface", key(F.col("surface")).alias("key"), key(F.regexp_replace("surface", HONORIFICS, "")).alias("bare")).distinct()
-    titles = canon.select("title").distinct().withColumn("k", key(F.col("title")))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("k") - least + 1, F.lit(1)))
-    parts = titles.select("title", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.length("k") - i + 1, F.lit(least))), lambda n: F.substring(F.col("k"), i, n)))))).alias("key"))
+    lengths = asked.where(F.length("key") >= least).select(F.length("key").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))  # one row, a few numbers
+    titles = canon.select("title").distinct().withColumn("k", key(F.col("title"))).where("k <> ''").crossJoin(F.broadcast(lengths))
+    parts = titles.select("title", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("k")), lambda i: F.transform(F.filter("lengths", lambda n: n <= F.length("k") - i + 1), lambda n: F.substring(F.col("k"), i, n)))))).alias("key"))
     only = parts.where(F.length("key") >= least).groupBy("key").agg(F.countDistinct("title").alias("n"), F.min("title").alias("partial")).where("n = 1").drop("n")
     out = asked.join(first.withColumnRenamed("title", "exact"), "key", "left").join(only, "key", "left")
     out = out.join(first.select(F.col("key").alias("bare"), F.col("title").alias("honorific")), "bare", "left")
@@ -120,7 +136,6 @@ def component_step(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """id, component: the smallest id that is reachable, by labels that spread and are looked up again at each step."""
-    spark = nodes.sparkSession
     links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b").distinct()
     links = checkpointed(links)
     labels = checkpointed(nodes.select("id", F.col("id").alias("label")).distinct())
@@ -131,9 +146,8 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
         changed = following.join(labels.withColumnRenamed("label", "before"), "id").where("label <> before").limit(1).count()
         labels = following
         if not changed:
-            break
-    del spark
-    return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components are not stable after {most} rounds")
 
 
 def largest_share(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -142,12 +156,19 @@ def largest_share(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.agg((F.max("n") / F.sum("n")).alias("largest"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the cluster's checkpoint folder; only a session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+def era_edges(edges: DataFrame) -> DataFrame:
+    """era, n of edges (src_era, dst_era): an edge counts once for each different era of its ends."""
+    eras = F.filter(F.array_distinct(F.array("src_era", "dst_era")), lambda e: e.isNotNull())
+    return edges.select(F.explode(eras).alias("era")).groupBy("era").agg(F.count("*").alias("n"))
+
+
+def era_crossers(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, per_era: int = 3) -> DataFrame:
+    """id, era, eras, degree: nodes with neighbours (either way) of two eras at least; the first of each era, each shown once, at its first era by name."""
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    spans = both.join(nodes.where("era is not null").select(F.col("id").alias("other"), "era"), "other").select("id", "era").distinct()
+    crossers = spans.groupBy("id").agg(F.count("*").alias("eras"), F.collect_list("era").alias("all")).where("eras >= 2").join(degrees, "id")
+    shown = quota_selection(crossers.select("id", "eras", "degree", F.explode("all").alias("era")), "era", [F.desc("eras"), F.desc("degree"), F.col("id")], per_era)
+    return shown.groupBy("id").agg(F.min("era").alias("era"), F.first("eras").alias("eras"), F.first("degree").alias("degree"))
 
 
 def era_buckets(edges: DataFrame) -> DataFrame:

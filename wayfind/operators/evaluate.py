@@ -41,12 +41,3 @@ def contingency(items: DataFrame, evidence: str, answer: str) -> DataFrame:
 def has_title(wanted: Column, got: Column) -> Column:
     """Equal, or one begins with the other; empty titles match nothing."""
     return (wanted != "") & (got != "") & ((wanted == got) | wanted.startswith(got) | got.startswith(wanted))
-
-
-def grid(spark, **values: list) -> DataFrame:
-    """Every combination of a sweep's parameters, with cfg."""
-    out = None
-    for name, options in values.items():
-        one = spark.createDataFrame([(v,) for v in options], f"{name} int")
-        out = one if out is None else out.crossJoin(one)  # a sweep has some tens of settings
-    return out.withColumn("cfg", F.concat_ws("/", *values))

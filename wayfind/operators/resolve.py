@@ -5,19 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.functions.text import norm, token_suffixes
+from wayfind.functions.text import BRACKETS, NOT_A_CHARACTER, main_title, norm, token_suffixes, whole_keys
 
 
-def mentioned(questions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Questions (qid, question) with the labels (id, label, ...) that begin at one of their tokens.
+def mentioned(questions: DataFrame, labels: DataFrame, whole_short: bool = True) -> DataFrame:
+    """Questions (qid, question) with the labels (id, label, ...) that they mention.
 
-    Each prefix of each token suffix, as long as some label is, is joined with the labels.
+    A label of three characters at least begins at a token: each prefix of each token
+    suffix, as long as some label is, is joined with the labels. One of two characters
+    must be a whole word (with a particle or not), or with whole_short false begin at a
+    token too. White space and case don't count.
     """
     named = labels.withColumn("key", norm(F.col("label"))).where(F.length("key") >= 2)
-    lengths = named.select(F.length("key").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))  # one row, a few numbers
+    longer = named.where(F.length("key") > 2) if whole_short else named
+    lengths = longer.select(F.length("key").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))  # one row, a few numbers
     suffix = questions.select("qid", F.explode(token_suffixes(F.col("question"))).alias("s")).crossJoin(F.broadcast(lengths))
     prefixes = suffix.select("qid", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("s")), lambda n: F.substring(F.col("s"), F.lit(1), n))).alias("key")).distinct()
-    return prefixes.join(named, "key").drop("key")
+    found = prefixes.join(longer, "key").drop("key")
+    return found.unionByName(mentioned_whole(questions, named.where(F.length("key") == 2).drop("key"))) if whole_short else found
+
+
+def mentioned_whole(questions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Questions with the labels that they say as a whole word, with a particle or not."""
+    said = questions.select("qid", F.explode(whole_keys(F.col("question"))).alias("key"))
+    return said.join(labels.withColumn("key", norm(F.col("label"))), "key").drop("key")
+
+
+def people_in(questions: DataFrame, people: DataFrame) -> DataFrame:
+    """qid, id, label, popularity, seq, rank: people (id, name, aliases, popularity, seq) whom a question names; common words are no names."""
+    labels = people.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label"), "popularity", "seq")
+    return longest_hits(mentioned(questions, labels.where((F.length("label") >= 2) & ~F.col("label").isin(*NOT_A_CHARACTER))))
+
+
+def bracketed_titles(questions: DataFrame, titles: DataFrame) -> DataFrame:
+    """Questions with the titles (id, label, ...) that stand in brackets or quotes: an equi-join on what is in them."""
+    inside = F.concat(*(F.regexp_extract_all("question", F.lit(f"(?=[{a}]([^{a}{b}]*)[{b}])"), 1) for a, b in BRACKETS))
+    return questions.select("qid", F.explode(F.array_distinct(inside)).alias("key")).join(titles.withColumn("key", F.trim("label")), "key").drop("key")
+
+
+def titles_in(questions: DataFrame, films: DataFrame) -> DataFrame:
+    """qid, id, label, popularity, seq, rank: films (id, title, popularity, seq) that a question names.
+
+    By the title; of one character, in brackets only; else by what stands before its
+    subtitle, as a whole word.
+    """
+    named = films.select("id", F.col("title").alias("label"), "popularity", "seq")
+    full = mentioned(questions, named.where(F.length("label") >= 2)).unionByName(bracketed_titles(questions, named.where(F.length("label") < 2)))
+    head = named.withColumn("label", main_title(F.col("label"))).where("label is not null")
+    return longest_hits(full.unionByName(mentioned_whole(questions, head)))
 
 
 def longest_hits(hits: DataFrame) -> DataFrame:
@@ -26,46 +61,80 @@ def longest_hits(hits: DataFrame) -> DataFrame:
     The order is the label's length, then popularity; rank is from 1. A label that is
     contained in any earlier one is contained in a kept one, so that one anti join is exact.
     """
-    w = Window.partitionBy("qid", "id").orderBy(F.desc(F.length("label")), "label")
+    hits = hits.withColumn("size", F.length(norm(F.col("label"))))
+    w = Window.partitionBy("qid", "id").orderBy(F.desc("size"), "label")
     best = hits.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
-    order = Window.partitionBy("qid").orderBy(F.desc(F.length("label")), F.desc("popularity"), "seq")
+    order = Window.partitionBy("qid").orderBy(F.desc("size"), F.desc("popularity"), "seq")
     ranked = best.withColumn("rank", F.row_number().over(order))
     earlier = ranked.select("qid", F.col("rank").alias("r"), norm(F.col("label")).alias("l"))
     kept = ranked.join(earlier, (ranked.qid == earlier.qid) & (F.col("r") < F.col("rank")) & F.col("l").contains(norm(F.col("label"))), "left_anti")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
-
-
-def in_all(members: DataFrame, per: str = "qid") -> DataFrame:
-    """Of (qid, part, id): the ids that are in all parts of their question (relational division); questions of two parts at least."""
-    parts = members.groupBy(per).agg(F.countDistinct("part").alias("n")).where("n > 1")
-    return members.groupBy(per, "id").agg(F.countDistinct("part").alias("k")).join(parts, per).where("k = n").select(per, "id")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).drop("size")
 
 
 def people_intersection(people: DataFrame, edges: DataFrame, films: DataFrame, most: int = 3, top: int = 5) -> DataFrame:
-    """Films of all of a question's first people (qid, id, rank), the most popular first."""
+    """Films of all of a question's first people (qid, id, rank; two at least), the most popular first: relational division."""
     first = people.where(F.col("rank") <= most).select("qid", F.col("id").alias("src"))
-    films_of = first.join(edges.select("src", "dst").distinct(), "src").select("qid", F.col("src").alias("part"), F.col("dst").alias("id"))
-    found = in_all(films_of).join(films.select("id", "popularity", "seq"), "id")
+    asked = first.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1")
+    films_of = first.join(edges.select("src", "dst").distinct(), "src").groupBy("qid", F.col("dst").alias("id")).agg(F.count("*").alias("k"))
+    found = films_of.join(asked, "qid").where("k = n").join(films.select("id", "popularity", "seq"), "id")
     w = Window.partitionBy("qid").orderBy(F.desc("popularity"), "seq")
     return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).select("qid", "id", "popularity", "pos")
 
 
-def common_people(titles: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, most: int = 4, top: int = 5) -> DataFrame:
-    """People in every title group (films of one normalised title) of a question (qid, title, rank)."""
-    groups = titles.where(F.col("rank") <= most).select("qid", norm(F.col("title")).alias("part")).distinct()
-    members = groups.join(films.select(norm(F.col("title")).alias("part"), F.col("id").alias("dst")), "part").join(edges.select("src", "dst", "kind"), "dst")
-    per_group = members.groupBy("qid", "part", F.col("src").alias("id")).agg(F.max(F.col("kind") == "ACTED_IN").alias("acted"))
-    parts = per_group.groupBy("qid").agg(F.countDistinct("part").alias("n")).where("n > 1")
-    found = per_group.groupBy("qid", "id").agg(F.count("*").alias("k"), F.min("acted").alias("acted")).join(parts, "qid").where("k = n").join(people.select("id", "popularity", "seq"), "id")
-    w = Window.partitionBy("qid").orderBy(F.desc("acted"), F.desc("popularity"), "seq")
-    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).select("qid", "id", "acted", "pos")
-
-
-def seed_bridges(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """qid, anchor, other, person: how a question's other seeds (qid, pos, id) share a person with the first."""
-    anchor = seeds.where("pos = 1").select("qid", F.col("id").alias("anchor"))
-    others = seeds.where("pos > 1").select("qid", F.col("id").alias("other"))
-    cast = anchor.join(edges.select(F.col("dst").alias("anchor"), "src", "ord", "seq"), "anchor")
-    met = cast.join(others, "qid").join(edges.select(F.col("dst").alias("other"), "src").distinct(), ["other", "src"])
-    w = Window.partitionBy("qid", "other").orderBy(F.coalesce("ord", F.lit(99)), "seq")
-    return met.withColumn("nth", F.row_number().over(w)).where("nth = 1 and other <> anchor").select("qid", "anchor", "other", F.col("src").alias("person"))
+def title_groups(titles: DataFrame, films: DataFrame, most: int = 4) -> DataFrame:
+    """qid, part (from 1), id, at: films of each of a question's first titles (qid, id, rank) by normalised title, the named one first (at 0)."""
+    t = films.select("id", norm(F.col("title")).alias("key"), "seq")
+    named = titles.join(t, "id").withColumn("nth", F.row_number().over(Window.partitionBy("qid", "key").orderBy("rank"))).where("nth = 1")
+    parts = named.withColumn("part", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("part") <= most).select("qid", "part", "key", F.col("id").alias("first"))
+    rows = parts.join(t, "key")
+    at = F.row_number().over(Window.partitionBy("qid", "part").orderBy((F.col("id") != F.col("first")), "seq")) - 1
+    return rows.withColumn("at", at).select("qid", "part", "id", "at")
+
+
+def common_people(questions: DataFrame, titles: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(people: qid, id, acted, pos; films: qid, part, id, found) of questions that name two titles at least.
+
+    People who are in some film of each title; of each title the first film that one of
+    them is in, else the first. Who acted in all of these comes first where the question
+    asks for actors, last where it asks for directors; then the most popular.
+    """
+    groups = title_groups(titles, films)
+    several = groups.groupBy("qid").agg(F.max("part").alias("n")).where("n > 1")
+    asked = groups.join(several, "qid")
+    credit = edges.select(F.col("dst").alias("id"), "src", "kind")
+    members = asked.join(credit, "id").select("qid", "n", "part", "id", "at", "src", "kind")
+    common = members.groupBy("qid", "n", "src").agg(F.countDistinct("part").alias("k")).where("k = n").select("qid", "src")
+    met = members.join(common, ["qid", "src"]).select("qid", "part", "id").distinct().withColumn("met", F.lit(True))
+    order = Window.partitionBy("qid", "part").orderBy(F.coalesce("met", F.lit(False)).desc(), "at")
+    picked = asked.join(met, ["qid", "part", "id"], "left").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("qid", "part", "id", F.coalesce("met", F.lit(False)).alias("found"))
+    acted = picked.join(credit.where("kind = 'ACTED_IN'").distinct(), "id").groupBy("qid", "src").agg(F.countDistinct("part").alias("in"))
+    rows = common.join(several, "qid").join(acted, ["qid", "src"], "left").withColumn("acted", F.coalesce(F.col("in") == F.col("n"), F.lit(False)))
+    rows = rows.join(people.select(F.col("id").alias("src"), "popularity", "seq"), "src").join(questions.select("qid", "question"), "qid")
+    first = F.when(F.col("question").rlike("배우|출연|연기"), (~F.col("acted")).cast("int")).when(F.col("question").rlike("감독|연출"), F.col("acted").cast("int")).otherwise(0)
+    w = Window.partitionBy("qid").orderBy(first, F.desc("popularity"), "seq")
+    return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).select("qid", F.col("src").alias("id"), "acted", "pos"), picked
+
+
+def seed_bridges(seeds: DataFrame, edges: DataFrame, titles: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+    """qid, anchor, other, person, kind: how a question's other seeds (qid, pos, id) share a person with its anchor.
+
+    The anchor is the first seed that is a title the question names (titles: qid, id),
+    else the first seed. A person whom the question names (people: qid, id) comes first,
+    by the other seed's credits; then who is first billed there.
+    """
+    rows = seeds
+    rows = rows.join(titles.select("qid", "id").distinct().withColumn("named", F.lit(True)), ["qid", "id"], "left") if titles is not None else rows.withColumn("named", F.lit(None).cast("boolean"))
+    w = Window.partitionBy("qid").orderBy(F.coalesce("named", F.lit(False)).desc(), "pos")
+    rows = rows.withColumn("first", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    others = rows.where("id <> first").select("qid", F.col("first").alias("anchor"), F.col("id").alias("other")).distinct()
+    cast = others.join(edges.select(F.col("dst").alias("other"), "src", "kind", "ord", "seq"), "other")
+    met = cast.join(edges.select(F.col("dst").alias("anchor"), "src").distinct(), ["anchor", "src"])
+    # a person's last credit in the film counts, at the place of the first
+    one = met.groupBy("qid", "anchor", "other", "src").agg(F.max(F.struct("seq", "ord", "kind")).alias("last"), F.min("seq").alias("place"))
+    if people is not None:
+        one = one.join(people.select("qid", F.col("id").alias("src")).distinct().withColumn("asked", F.lit(True)), ["qid", "src"], "left")
+    else:
+        one = one.withColumn("asked", F.lit(False))
+    asked = F.coalesce("asked", F.lit(False))
+    order = Window.partitionBy("qid", "other").orderBy(asked.desc(), F.when(asked, 0).otherwise(F.coalesce("last.ord", F.lit(99))), "place")
+    return one.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("qid", "anchor", "other", F.col("src").alias("person"), "last.kind")

@@ -1,59 +1,83 @@
 """Budgeted, path-recording traversal of many questions at once.
 
-A hop is joins that list every candidate of a question in the order of a sequential
-walk, and one exact fold over that list: a candidate that is already there is skipped,
-one over the total or over its kind's quota is counted as dropped, any other is taken
-with its path. Quotas and totals hold over all hops.
+A hop is joins that list the candidates of a question in the order of a sequential walk,
+and one exact fold over the few that can be taken: a candidate that is already there is
+skipped, one over the total or over its kind's quota is counted as dropped, any other is
+taken with its path. Quotas and totals hold over all hops.
+
+Before the fold each kind is cut down to its first new targets: a hop takes no more of a
+kind than its quota, and skips no more of its targets than the total has room for, so
+that the first `quota + total` of them are enough. What was dropped is counted from how
+often each target occurs. So a hub's edges are counted where they are, not gathered in
+its question's row.
+
+Budgets are columns of the state, so that a sweep over settings is one walk with a
+question for each setting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.operators.shared import checkpointed
+
 PATH = "array<struct<src string, dst string, kind string, via string>>"
 TAKEN = f"array<struct<id string, path {PATH}, hop int>>"
 
 
-def start(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
-    """State of each question from seeds (qid, pos, id): seeds that are nodes, in order, once each; no cap."""
+def start(seeds: DataFrame, nodes: DataFrame, most: int, per_kind: int, max_hops: int, settings: DataFrame | None = None) -> DataFrame:
+    """State of each question from seeds (qid, pos, id): seeds that are nodes, in order, once each; no cap.
+
+    settings (cfg, most, per_kind, max_hops): a state for each of them, with qid a struct
+    of both.
+    """
     good = seeds.join(nodes.select("id"), "id", "left_semi")
     ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]))
     state = good.groupBy("qid").agg(ordered.alias("ids"))
+    if settings is None:
+        state = state.select("qid", "ids", F.lit(most).alias("most"), F.lit(per_kind).alias("per_kind"), F.lit(max_hops).alias("max_hops"))
+    else:
+        state = state.crossJoin(F.broadcast(settings)).select(F.struct("cfg", "qid").alias("qid"), "ids", "most", "per_kind", "max_hops")  # some tens of settings
     none = F.array().cast(PATH)
     return state.select(
         "qid", "ids", F.transform("ids", lambda i: F.struct(i.alias("id"), none.alias("path"), F.lit(0).alias("hop"))).alias("taken"),
-        F.size("ids").alias("n_seeds"), F.create_map().cast("map<string,int>").alias("quota"), F.lit(0).alias("dropped"), F.lit(0).alias("blocked"),
+        F.size("ids").alias("n_seeds"), F.create_map().cast("map<string,int>").alias("quota"), F.lit(0).cast("long").alias("dropped"), F.lit(0).alias("blocked"), "most", "per_kind", "max_hops",
     )
 
 
-def fold(candidates: Column, ids: Column, quota: Column, most: int, per_kind: int, exempt: list[str]) -> Column:
-    """The state after all candidates: struct(ids, taken (index of a candidate), quota, dropped).
+def fold(candidates: Column, exempt: list[str]) -> Column:
+    """The state after all candidates: struct(ids, taken (index of a candidate), quota), from columns ids, quota, most, per_kind.
 
     candidates: array of structs with target and kind, in order.
     """
     indexed = F.transform(candidates, lambda c, i: F.struct(c["target"].alias("target"), c["kind"].alias("kind"), i.alias("i")))
-    zero = F.struct(ids.alias("ids"), F.array().cast("array<int>").alias("taken"), quota.alias("quota"), F.lit(0).alias("dropped"))
+    zero = F.struct(F.col("ids").alias("ids"), F.array().cast("array<int>").alias("taken"), F.col("quota").alias("quota"))
 
     def step(s: Column, c: Column) -> Column:
         used = F.coalesce(s["quota"][c["kind"]], F.lit(0))
         free = c["kind"].isin(exempt) if exempt else F.lit(False)
         rest = F.map_filter(s["quota"], lambda k, _: k != c["kind"])
-        taken = F.struct(
-            F.concat(s["ids"], F.array(c["target"])).alias("ids"), F.concat(s["taken"], F.array(c["i"])).alias("taken"),
-            F.when(free, s["quota"]).otherwise(F.map_concat(rest, F.create_map(c["kind"], used + 1))).alias("quota"), s["dropped"].alias("dropped"),
-        )
-        over = F.struct(s["ids"].alias("ids"), s["taken"].alias("taken"), s["quota"].alias("quota"), (s["dropped"] + 1).alias("dropped"))
-        return F.when(F.array_contains(s["ids"], c["target"]), s).when((F.size(s["ids"]) >= most) | (~free & (used >= per_kind)), over).otherwise(taken)
+        quota = F.when(free, s["quota"]).otherwise(F.map_concat(rest, F.create_map(c["kind"], used + 1)))
+        taken = F.struct(F.concat(s["ids"], F.array(c["target"])).alias("ids"), F.concat(s["taken"], F.array(c["i"])).alias("taken"), quota.alias("quota"))
+        closed = F.array_contains(s["ids"], c["target"]) | (F.size(s["ids"]) >= F.col("most")) | (~free & (used >= F.col("per_kind")))
+        return F.when(closed, s).otherwise(taken)
 
     return F.aggregate(indexed, zero, step)
 
 
-def advance(state: DataFrame, candidates: DataFrame, hop: int, most: int, per_kind: int, exempt: list[str]) -> DataFrame:
-    """State after a hop. candidates: qid, at (order), src, target, kind, via."""
-    listed = candidates.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("at", "src", "target", "kind", "via"))).alias("cands"))
-    met = state.join(listed, "qid", "left")
-    folded = met.withColumn("f", fold(F.coalesce("cands", F.array().cast(listed.schema["cands"].dataType)), F.col("ids"), F.col("quota"), most, per_kind, exempt))
+def advance(state: DataFrame, candidates: DataFrame, hop: int, exempt: list[str], widest: int) -> DataFrame:
+    """State after a hop. candidates: qid, at (order), src, target, kind, via. widest: most + per_kind of any question."""
+    known = state.select("qid", F.explode("ids").alias("target"))
+    new = candidates.join(known, ["qid", "target"], "left_anti")
+    # how often, and when, a target comes up by a kind: once for each way there from the last hop's nodes
+    met = new.groupBy("qid", "target", "kind").agg(F.min(F.struct("at", "src", "via")).alias("first"), F.sort_array(F.collect_list("at")).alias("times"))
+    first = Window.partitionBy("qid", "kind").orderBy("first.at")
+    able = met.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= widest)
+    listed = able.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("first.at", "first.src", "target", "kind", "first.via"))).alias("cands"))
+    folded = state.join(listed, "qid", "left").withColumn("cands", F.coalesce("cands", F.array().cast(listed.schema["cands"].dataType))).withColumn("f", fold(F.col("cands"), exempt))
 
     def grown(i: Column) -> Column:
         c = F.get("cands", i)
@@ -61,48 +85,74 @@ def advance(state: DataFrame, candidates: DataFrame, hop: int, most: int, per_ki
         here = F.struct(c["src"].alias("src"), c["target"].alias("dst"), c["kind"].alias("kind"), c["via"].alias("via"))
         return F.struct(c["target"].alias("id"), F.concat(before, F.array(here)).alias("path"), F.lit(hop).alias("hop"))
 
-    return folded.select(
-        "qid", F.col("f.ids").alias("ids"), F.concat("taken", F.transform("f.taken", grown)).cast(TAKEN).alias("taken"),
-        "n_seeds", F.col("f.quota").alias("quota"), (F.col("dropped") + F.col("f.dropped")).alias("dropped"), "blocked",
+    after = folded.select(
+        "qid", F.col("f.ids").alias("ids"), F.concat("taken", F.transform("f.taken", grown)).cast(TAKEN).alias("taken"), "n_seeds", F.col("f.quota").alias("quota"), "dropped", "blocked",
+        F.transform("f.taken", lambda i: F.struct(F.get("cands", i)["target"].alias("target"), F.get("cands", i)["at"].alias("when"))).alias("now"), "most", "per_kind", "max_hops",
     )
+    # every candidate is dropped but a target's own and those after it
+    now = after.select("qid", F.inline("now"))
+    missed = met.join(now, ["qid", "target"], "left").select("qid", F.when(F.col("when").isNull(), F.size("times")).otherwise(F.size(F.filter("times", lambda t: t < F.col("when")))).alias("n"))
+    missed = missed.groupBy("qid").agg(F.sum("n").alias("missed"))
+    return after.join(missed, "qid", "left").withColumn("dropped", F.col("dropped") + F.coalesce("missed", F.lit(0))).drop("now", "missed")
+
 
+def frontier(state: DataFrame, hop: int) -> DataFrame:
+    """qid, fpos, src: what was taken in the last hop, in order, by questions that aren't full and may go on."""
+    return state.where((F.size("ids") < F.col("most")) & (F.col("max_hops") >= hop)).select("qid", F.posexplode(F.filter("taken", lambda t: t["hop"] == hop - 1)).alias("fpos", "t")).select("qid", "fpos", F.col("t.id").alias("src"))
 
-def frontier(state: DataFrame, hop: int, most: int) -> DataFrame:
-    """qid, fpos, src: what was taken in the last hop, in order, by questions that aren't full."""
-    return state.where(F.size("ids") < most).select("qid", F.posexplode(F.filter("taken", lambda t: t["hop"] == hop - 1)).alias("fpos", "t")).select("qid", "fpos", F.col("t.id").alias("src"))
 
+def _widest(most: int, per_kind: int, settings: DataFrame | None) -> tuple[int, int]:
+    """most + per_kind, and hops, over all settings."""
+    if settings is None:
+        return most + per_kind, 0
+    return tuple(settings.agg(F.max(F.col("most") + F.col("per_kind")), F.max("max_hops")).first())
 
-def expand_through_people(seeds: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, kinds: list[str], exempt: list[str], max_films: int = 10, per_relation: int = 4, max_hops: int = 2, people_per_film: int = 5) -> DataFrame:
+
+def expand_through_people(seeds: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, kinds: list[str], exempt: list[str], max_films: int = 10, per_relation: int = 4, max_hops: int = 2, people_per_film: int = 5, settings: DataFrame | None = None) -> DataFrame:
     """State of each question: film to film through the first people of each film."""
     from wayfind.operators.graph import top_credits
 
-    state = start(seeds, films)
+    state = start(seeds, films, max_films, per_relation, max_hops, settings)
     if not kinds:
         return state
+    state = checkpointed(state)
+    widest, hops = _widest(max_films, per_relation, settings)
     used = edges.where(F.col("kind").isin(kinds)).join(films.select(F.col("id").alias("dst")), "dst", "left_semi")
     via = top_credits(used, people_per_film, first={"DIRECTED": -1}).join(people.select(F.col("id").alias("src"), "name"), "src").select(F.col("dst").alias("film"), F.col("pos").alias("ppos"), F.col("src").alias("person"), "name")
     onward = used.select(F.col("src").alias("person"), F.col("dst").alias("target"), "kind", "seq")
-    for hop in range(1, max_hops + 1):
-        cands = frontier(state, hop, max_films).join(via, F.col("film") == F.col("src")).join(onward, "person")
+    last = max_hops if settings is None else hops
+    for hop in range(1, last + 1):
+        cands = frontier(state, hop).join(via, F.col("film") == F.col("src")).join(onward, "person")
         cands = cands.select("qid", F.struct("fpos", "ppos", "seq").alias("at"), "src", "target", "kind", F.col("name").alias("via"))
-        state = advance(state, cands, hop, max_films, per_relation, exempt)
+        state = advance(state, cands, hop, exempt, widest)
+        if hop < last:
+            state = checkpointed(state)
     return state
 
 
-def expand_undirected(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hubs: DataFrame, max_hops: int = 2, max_nodes: int = 80, per_kind: int = 12) -> DataFrame:
-    """State of each question: along edges in either direction; hubs are reached, but passed only as seeds."""
+def expand_undirected(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hubs: DataFrame, max_hops: int = 2, max_nodes: int = 80, per_kind: int = 12, settings: DataFrame | None = None) -> DataFrame:
+    """State of each question: along edges in either direction; hubs are reached, but passed only as seeds.
+
+    With settings, hubs have a cfg too.
+    """
     from wayfind.operators.graph import neighbors
 
-    state = start(seeds, nodes)
+    state = checkpointed(start(seeds, nodes, max_nodes, per_kind, max_hops, settings))
+    widest, hops = _widest(max_nodes, per_kind, settings)
     near = neighbors(edges).select(F.col("node").alias("src"), F.col("other").alias("target"), "kind", "dir", "seq")
-    stop = F.broadcast(hubs.select(F.col("id").alias("src"), F.lit(True).alias("hub")))  # a fixed number of hubs
-    for hop in range(1, max_hops + 1):
-        front = frontier(state, hop, max_nodes).join(stop, "src", "left")
+    marked = hubs.select(F.col("id").alias("src"), F.lit(True).alias("hub"), *(["cfg"] if settings is not None else []))
+    stop = F.broadcast(marked)  # a fixed number of hubs for each setting
+    last = max_hops if settings is None else hops
+    for hop in range(1, last + 1):
+        front = frontier(state, hop)
+        front = front.join(stop, "src", "left") if settings is None else front.withColumn("cfg", F.col("qid.cfg")).join(stop, ["cfg", "src"], "left").drop("cfg")
         open_ = front.where(F.col("hub").isNull() | F.lit(hop == 1))
         halted = front.where(F.col("hub").isNotNull() & F.lit(hop > 1)).groupBy("qid").agg(F.count("*").cast("int").alias("halted"))
         cands = open_.join(near, "src").select("qid", F.struct("fpos", (F.col("dir") == "in").alias("inward"), "seq").alias("at"), "src", "target", "kind", F.col("dir").alias("via"))
         state = state.join(halted, "qid", "left").withColumn("blocked", F.col("blocked") + F.coalesce("halted", F.lit(0))).drop("halted")
-        state = advance(state, cands, hop, max_nodes, per_kind, [])
+        state = advance(state, cands, hop, [], widest)
+        if hop < last:
+            state = checkpointed(state)
     return state
 
 
@@ -116,3 +166,9 @@ def triples(found: DataFrame, edges: DataFrame) -> DataFrame:
     a = found.select("qid", F.col("id").alias("src"), F.col("hop").alias("hop_src"))
     b = found.select("qid", F.col("id").alias("dst"), F.col("hop").alias("hop_dst"))
     return a.join(edges, "src").join(b, ["qid", "dst"]).withColumn("near", F.least("hop_src", "hop_dst")).drop("hop_src", "hop_dst")
+
+
+def grid(spark, **values: list[int]) -> DataFrame:
+    """Every combination of a sweep's settings, with cfg, their names joined."""
+    one = [spark.createDataFrame([(v,) for v in options], f"{name} int") for name, options in values.items()]
+    return reduce(DataFrame.crossJoin, one).withColumn("cfg", F.concat_ws("/", *values))  # some tens of rows

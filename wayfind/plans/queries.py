@@ -190,7 +190,7 @@ def longest_match_suppression(spark, sf) -> DataFrame:
 
 
 FIRST_SQL = """, films_of as (select distinct k.qid, k.id as part, c.dst as id from kept k join credits c on c.src = k.id where k.rank <= 3),
-n as (select qid, count(distinct part) as n from films_of group by qid having count(distinct part) > 1),
+n as (select qid, count(*) as n from kept where rank <= 3 group by qid having count(*) > 1),
 common as (select qid, id from films_of join n using (qid) group by qid, id, n having count(distinct part) = n),
 crossed as (select c.qid, c.id, f.popularity, row_number() over (partition by c.qid order by f.popularity desc, f.seq) as pos from common c join films f using (id))"""
 
@@ -219,23 +219,16 @@ def title_homonym_groups(spark, sf) -> DataFrame:
     return films(spark, sf).groupBy("title").agg(F.count("*").alias("n"), F.count_if("ko").alias("home")).where("n > 1")
 
 
-@query(SQL + """, q as (select distinct a.p_name || '|' || b.p_name as qid, unnest([a.p_name, b.p_name]) as title from part a join part b on b.p_partkey = a.p_partkey + 1),
-g as (select distinct qid, replace(lower(title), ' ', '') as part from q),
-m as (select qid, part, src as id, max(kind = 'ACTED_IN') as acted from (select g.qid, g.part, c.src, c.kind from g join films f on replace(lower(f.title), ' ', '') = g.part join credits c on c.dst = f.id) group by qid, part, src),
-n as (select qid, count(distinct part) as n from m group by qid having count(distinct part) > 1),
-f as (select qid, id, min(acted) as acted from m join n using (qid) group by qid, id, n having count(*) = n)
-select qid, id, acted, pos from (select f.qid, f.id, f.acted, row_number() over (partition by f.qid order by f.acted desc, p.popularity desc, p.seq) as pos from f join people p using (id)) where pos <= 5""")
-def titles_intersection_common_people(spark, sf) -> DataFrame:
-    found = titles_in_question(spark, sf).withColumn("rank", F.lit(1))
-    return resolve.common_people(found, films(spark, sf), credits(spark, sf), people(spark, sf))
-
-
-@query(HITS_SQL + FIRST_SQL + """, seeds as (select qid, pos, id from crossed where pos <= 5)
-select qid, anchor, other, person from (
-  select a.qid, a.id as anchor, o.id as other, c.src as person, row_number() over (partition by a.qid, o.id order by c.ord, c.s, c.d, c.kind) as nth
-  from seeds a join seeds o on o.qid = a.qid and o.pos > 1 join credits c on c.dst = a.id join (select distinct src, dst from credits) e on e.dst = o.id and e.src = c.src where a.pos = 1) where nth = 1""")
+@query(HITS_SQL + FIRST_SQL + """, seeds as (select qid, pos, id from crossed where pos <= 5),
+met as (select a.qid, a.id as anchor, o.id as other, c.src, c.kind, c.ord, c.s, c.d
+  from seeds a join seeds o on o.qid = a.qid and o.pos > 1 join credits c on c.dst = o.id join (select distinct src, dst from credits) e on e.dst = a.id and e.src = c.src where a.pos = 1),
+one as (select qid, anchor, other, src, arg_max(ord, kind) as ord, max(kind) as kind, min((s, d, kind)) as place from met group by qid, anchor, other, src)
+select qid, anchor, other, src as person, kind from (
+  select *, row_number() over (partition by qid, other order by asked desc, case when asked then 0 else ord end, place) as nth
+  from (select o.*, exists (select 1 from kept k where k.qid = o.qid and k.id = o.src) as asked from one o)) where nth = 1""")
 def seed_bridges(spark, sf) -> DataFrame:
-    return resolve.seed_bridges(people_intersection(spark, sf), credits(spark, sf))
+    """A person whom the question names comes first, then who is first billed."""
+    return resolve.seed_bridges(people_intersection(spark, sf), credits(spark, sf), people=hits(spark, sf))
 
 
 def sql_list(words) -> str:
@@ -298,43 +291,68 @@ def walked(spark, sf, name: str = "bridge", **budget) -> DataFrame:
     return traverse.expand_through_people(film_seeds(spark, sf), films(spark, sf), credits(spark, sf), people(spark, sf), kinds, exempt, **budget)
 
 
-# one hop with one quota'd kind and one without: windows are exact
-HOP_SQL = SEEDS_SQL + """, s0 as (select qid, id, pos - 1 as fpos, count(*) over (partition by qid) as n from seeds),
-cands as (
-  select s0.qid, s0.n, u.dst as target, u.kind, row_number() over (partition by s0.qid order by s0.fpos, v.ppos, u.s, u.d, u.kind) as place
-  from s0 join via v on v.film = s0.id join used u on u.src = v.person
-  where s0.n < 10 and not exists (select 1 from s0 z where z.qid = s0.qid and z.id = u.dst)),
-d as (select qid, n, target, min(place) as place from cands where kind = 'DIRECTED' group by qid, n, target),
-a as (select c.qid, c.n, c.target, min(c.place) as place from cands c left join d using (qid, target) where c.kind = 'ACTED_IN' and (d.place is null or c.place < d.place) group by c.qid, c.n, c.target),
-a4 as (select * from (select *, row_number() over (partition by qid order by place) as nth from a) where nth <= 4),
-taken as (
-  select qid, n, target, place from a4
-  union all select qid, n, target, place from d where not exists (select 1 from a4 where a4.qid = d.qid and a4.target = d.target)),
-capped as (select qid, n, target, row_number() over (partition by qid order by place) as nth from taken)
-select qid, fpos as pos, id, 0 as hop from s0 union all select qid, n + nth - 1, target, 1 from capped where n + nth <= 10"""
+def fold_sql(hops: int, exempt: str, most: int = 10, per: int = 4) -> str:
+    """The sequential walk itself: candidate by candidate, until a question is full; the rest is counted as dropped.
+
+    ids, and for each of them the film and the person it was reached by.
+    """
+    out = SEEDS_SQL.replace("with films", "with recursive films", 1) + """,
+st0 as (select qid, list(id order by pos) as ids, list('' order by pos) as srcs, list('' order by pos) as vias, 0 as a, 0 as d, 0 as dropped, 0 as old from seeds group by qid)"""
+    for h in range(1, hops + 1):
+        full = f"d < {per}" if exempt != "DIRECTED" else "true"
+        out += f""",
+fr{h} as (select qid, unnest(ids) as film, unnest(range(len(ids))) as fpos, old from st{h - 1} where len(ids) < {most}),
+ca{h} as (
+  select f.qid, f.film, p.name, u.dst as target, u.kind, row_number() over (partition by f.qid order by f.fpos, v.ppos, u.s, u.d, u.kind) as n
+  from fr{h} f join via v on v.film = f.film join used u on u.src = v.person join people p on p.id = v.person where f.fpos >= f.old),
+wa{h}(qid, n, ids, srcs, vias, a, d, dropped) as (
+  select qid, 0, ids, srcs, vias, a, d, dropped from st{h - 1}
+  union all
+  select qid, n, case when ok then list_append(ids, target) else ids end, case when ok then list_append(srcs, film) else srcs end, case when ok then list_append(vias, name) else vias end,
+    a + cast(ok and kind = 'ACTED_IN' as int), d + cast(ok and kind = 'DIRECTED' as int), dropped + cast(not there and not ok as int)
+  from (select w.*, c.n as m, c.film, c.name, c.target, c.kind, list_contains(w.ids, c.target) as there,
+          not list_contains(w.ids, c.target) and case when c.kind = 'ACTED_IN' then w.a < {per} else {full} end as ok
+        from wa{h} w join ca{h} c on c.qid = w.qid and c.n = w.n + 1 where len(w.ids) < {most}) t(qid, before, ids, srcs, vias, a, d, dropped, n, film, name, target, kind, there, ok)),
+la{h} as (select * from wa{h} qualify n = max(n) over (partition by qid)),
+st{h} as (
+  select l.qid, any_value(l.ids) as ids, any_value(l.srcs) as srcs, any_value(l.vias) as vias, any_value(l.a) as a, any_value(l.d) as d,
+    any_value(l.dropped) + count(c.n) filter (not list_contains(l.ids, c.target)) as dropped, any_value(len(s.ids)) as old
+  from la{h} l join st{h - 1} s using (qid) left join ca{h} c on c.qid = l.qid and c.n > l.n group by l.qid)"""
+    return out
+
 
+def hop_of(hops: int) -> str:
+    """The hop of place i (from 0) of st{hops}.ids, from the sizes before each hop."""
+    return "case " + " ".join(f"when i < (select len(z.ids) from st{h} z where z.qid = s.qid) then {h}" for h in range(hops)) + f" else {hops} end"
 
-@query(HOP_SQL)
+
+def walk_sql(hops: int, exempt: str) -> str:
+    return fold_sql(hops, exempt) + f" select qid, i as pos, id, {hop_of(hops)} as hop from (select qid, unnest(range(len(ids))) as i, unnest(ids) as id from st{hops}) s"
+
+
+@query(walk_sql(1, "DIRECTED"))
 def bridge_1hop_budgeted(spark, sf) -> DataFrame:
     return traverse.evidence(walked(spark, sf, max_hops=1)).select("qid", "pos", "id", "hop")
 
 
-@query()
+@query(walk_sql(2, "DIRECTED"))
 def bridge_2hop_budgeted(spark, sf) -> DataFrame:
-    return traverse.evidence(walked(spark, sf)).select("qid", "pos", "id", "hop", "is_seed")
+    return traverse.evidence(walked(spark, sf)).select("qid", "pos", "id", "hop")
 
 
-@query()
+@query(fold_sql(2, "DIRECTED") + " select s.qid, len(z.ids) as n_seeds, len(s.ids) as n_nodes, cast(s.dropped as bigint) as dropped from st2 s join st0 z using (qid)")
 def bridge_dropped_counts(spark, sf) -> DataFrame:
-    return walked(spark, sf).select("qid", "n_seeds", F.size("ids").alias("n_nodes"), "dropped")
+    return walked(spark, sf).select("qid", F.col("n_seeds").cast("long").alias("n_seeds"), F.size("ids").cast("long").alias("n_nodes"), "dropped")
 
 
-@query()
+@query(walk_sql(2, ""))
 def similar_2hop_budgeted(spark, sf) -> DataFrame:
     return traverse.evidence(walked(spark, sf, "similar")).select("qid", "pos", "id", "hop")
 
 
-@query()
+@query(fold_sql(2, "DIRECTED") + """, flat as (select qid, unnest(ids) as id, unnest(srcs) as src, unnest(vias) as via from st2)
+select f.qid, f.id, case when g.src = '' then f.src || ' ─' || f.via || '─▶ ' || f.id else g.src || ' ─' || g.via || '─▶ ' || f.src || ' ─' || f.via || '─▶ ' || f.id end as path
+from flat f join flat g on g.qid = f.qid and g.id = f.src where f.src <> ''""")
 def path_strings(spark, sf) -> DataFrame:
     found = traverse.evidence(walked(spark, sf)).where("hop > 0")
     hops = F.transform("path", lambda h: F.struct(h["via"].alias("via"), h["dst"].alias("dst")))
@@ -352,11 +370,31 @@ def history_walk(spark, sf, hub_top: int = 8, **budget) -> DataFrame:
     return traverse.expand_undirected(history_seeds(spark, sf), n, e, graph.hubs(graph.degree(n, e), hub_top), **budget)
 
 
-@query()
+HISTORY_WALK_SQL = HISTORY_SQL.replace("with hnodes", "with recursive hnodes", 1) + """, hubs as (select id from hdegree order by degree desc, id limit 8),
+near as (select src as node, dst as other, kind, 0 as inward, src, dst from hedges union all select dst, src, kind, 1, src, dst from hedges),
+st0 as (select c_custkey as qid, ['c' || c_custkey] as ids, 0 as p, 0 as a, 0 as m, 0 as dropped, 0 as old from customer)""" + "".join(f""",
+fr{h} as (select qid, unnest(ids) as node, unnest(range(len(ids))) as fpos, old from st{h - 1} where len(ids) < 80),
+ca{h} as (select f.qid, e.other as target, e.kind, row_number() over (partition by f.qid order by f.fpos, e.inward, e.kind, e.src, e.dst) as n from fr{h} f join near e on e.node = f.node where f.fpos >= f.old and ({h} = 1 or f.node not in (select id from hubs))),
+wa{h}(qid, n, ids, p, a, m, dropped) as (
+  select qid, 0, ids, p, a, m, dropped from st{h - 1}
+  union all
+  select w.qid, c.n, case when not list_contains(w.ids, c.target) and (case c.kind when 'PARTICIPATED_IN' then w.p when 'AFFECTED' then w.a else w.m end) < 12 then list_append(w.ids, c.target) else w.ids end,
+    w.p + cast(c.kind = 'PARTICIPATED_IN' and w.p < 12 and not list_contains(w.ids, c.target) as int), w.a + cast(c.kind = 'AFFECTED' and w.a < 12 and not list_contains(w.ids, c.target) as int), w.m + cast(c.kind = 'MEMBER_OF' and w.m < 12 and not list_contains(w.ids, c.target) as int),
+    w.dropped + cast(not list_contains(w.ids, c.target) and (case c.kind when 'PARTICIPATED_IN' then w.p when 'AFFECTED' then w.a else w.m end) >= 12 as int)
+  from wa{h} w join ca{h} c on c.qid = w.qid and c.n = w.n + 1 where len(w.ids) < 80),
+st{h} as (select l.qid, any_value(l.ids) as ids, any_value(l.p) as p, any_value(l.a) as a, any_value(l.m) as m, any_value(l.dropped) as dropped, any_value(len(s.ids)) as old from (select * from wa{h} qualify n = max(n) over (partition by qid)) l join st{h - 1} s using (qid) group by l.qid)""" for h in (1, 2))
+
+
+@query(HISTORY_WALK_SQL + f" select qid, i as pos, id, {hop_of(2)} as hop from (select qid, unnest(range(len(ids))) as i, unnest(ids) as id from st2) s")
 def history_2hop_budgeted(spark, sf) -> DataFrame:
     return traverse.evidence(history_walk(spark, sf)).select("qid", "pos", "id", "hop")
 
 
+@query(HISTORY_WALK_SQL + " select s.qid, cast(s.dropped as bigint) as dropped from st2 s")
+def history_dropped_counts(spark, sf) -> DataFrame:
+    return history_walk(spark, sf).select("qid", "dropped")
+
+
 @query(HISTORY_SQL + """, hubs as (select id from hdegree order by degree desc, id limit 8),
 near as (
   select 'c' || c_custkey as src, c_custkey as qid from customer),
@@ -408,15 +446,28 @@ def sources_distinct(spark, sf) -> DataFrame:
     return traverse.triples(small_evidence(spark, sf), credits(spark, sf)).groupBy("qid").agg(F.countDistinct("src").alias("sources"), F.count("*").alias("triples"))
 
 
-@query()
+#: Films and quota of the swept walks.
+SWEEP = [(most, per) for most in (5, 10) for per in (2, 4)]
+
+
+def sweep_sql() -> str:
+    """The walk's CTEs once for each setting, their names told apart."""
+    import re
+
+    head = SEEDS_SQL.replace("with films", "with recursive films", 1)
+    parts, picks = [], []
+    for i, (most, per) in enumerate(SWEEP):
+        body = fold_sql(1, "DIRECTED", most, per)[len(head) :]
+        parts.append(re.sub(r"\b(st|fr|ca|wa|la)([01])\b", rf"\1\2_{i}", body))
+        picks.append(f"select {most} as most, {per} as per_kind, round(avg(len(ids)), 6) as mean_evidence, cast(sum(dropped) as bigint) as dropped from st1_{i}")
+    return head + "".join(parts) + " " + " union all ".join(picks)
+
+
+@query(sweep_sql())
 def sweep_grid(spark, sf) -> DataFrame:
-    """Evidence and drops for each setting of films and quota, over all questions."""
-    out = None
-    for most in (5, 10):
-        for quota in (2, 4):
-            s = walked(spark, sf, max_films=most, per_relation=quota, max_hops=1).agg(F.lit(most).alias("max_films"), F.lit(quota).alias("per_relation"), F.round(F.avg(F.size("ids")), 6).alias("mean_evidence"), F.sum("dropped").alias("dropped"))
-            out = s if out is None else out.unionByName(s)
-    return out
+    """Evidence and drops for each setting of films and quota, over all questions: one walk, keyed by setting."""
+    settings = spark.createDataFrame([(f"{m}/{p}", m, p, 1) for m, p in SWEEP], "cfg string, most int, per_kind int, max_hops int")
+    return walked(spark, sf, settings=settings).groupBy("most", "per_kind").agg(F.round(F.avg(F.size("ids")), 6).alias("mean_evidence"), F.sum("dropped").alias("dropped"))
 
 
 # --- batch work ---
@@ -483,21 +534,6 @@ def canonical_resolution(spark, sf) -> DataFrame:
     return etl.resolve(surfaces, canon)
 
 
-@query()
-def chunk_documents(spark, sf) -> DataFrame:
-    return etl.chunks(corpus(spark, sf)).select("id", "n", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("sha256"))
-
-
-@query("with t as (select distinct p_name as title, split_part(p_name, ' ', 2) as word from part) select distinct a.title as src, b.title as dst from t a join t b on a.title <> b.title and regexp_matches(a.title, '(^|[^가-힣])' || b.word)")
-def mention_graph(spark, sf) -> DataFrame:
-    """Titles that hold another title's second word: the word is an equi-join key."""
-    t = read(spark, sf, "part").select(F.col("p_name").alias("title")).distinct()
-    word = t.select("title", F.split_part("title", F.lit(" "), F.lit(2)).alias("word"))
-    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.transform(F.sequence(F.lit(1), F.length("title") - i + 1), lambda n: F.substring(F.col("title"), i, n)))))
-    held = t.select(F.col("title").alias("src"), F.explode(starts).alias("word"))
-    return held.join(word.withColumnRenamed("title", "dst"), "word").where("src <> dst").select("src", "dst").distinct()
-
-
 COMPONENT_SQL = HISTORY_SQL.replace("with hnodes", "with recursive hnodes", 1) + """, links as (select src as a, dst as b from hedges where kind = 'MEMBER_OF' union all select dst, src from hedges where kind = 'MEMBER_OF'),
 reach(id, root) as (select id, id from hnodes where type <> 'Event' union select l.b, r.root from reach r join links l on l.a = r.id where r.root < l.b)"""
 
@@ -535,14 +571,6 @@ def era_edge_buckets(spark, sf) -> DataFrame:
     return etl.era_buckets(e)
 
 
-@query(HISTORY_SQL + ", t as (select a.era as home, e.src as id, count(distinct b.era) as eras, count(*) as n from hedges e join hnodes a on a.id = e.src join hnodes b on b.id = e.dst where b.era is not null and a.era is not null group by 1, 2 having count(distinct b.era) >= 2) select home, id, eras, pos from (select *, row_number() over (partition by home order by eras desc, n desc, id) as pos from t) where pos <= 3")
-def era_crossers_balanced(spark, sf) -> DataFrame:
-    n = history_nodes(spark, sf)
-    e = history_edges(spark, sf).join(n.select(F.col("id").alias("src"), F.col("era").alias("home")), "src").join(n.select(F.col("id").alias("dst"), "era"), "dst").where("era is not null and home is not null")
-    t = e.groupBy("home", F.col("src").alias("id")).agg(F.countDistinct("era").alias("eras"), F.count("*").alias("n")).where("eras >= 2")
-    return etl.quota_selection(t, "home", [F.desc("eras"), F.desc("n"), F.col("id")], 3).select("home", "id", "eras", "pos")
-
-
 @query("with t as (select lang, doc_id, source = 'src0' as seed, length(text) as size from documents where length(text) >= 800) select lang, doc_id, pos from (select *, row_number() over (partition by lang order by seed desc, size desc, doc_id) as pos from t) where pos <= 35")
 def era_quota_selection(spark, sf) -> DataFrame:
     d = read(spark, sf, "documents").select("lang", "doc_id", (F.col("source") == "src0").alias("seed"), F.length("text").alias("size")).where("size >= 800")

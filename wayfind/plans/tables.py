@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfind.operators.shared import stored
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +28,11 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def credits(spark: SparkSession, sf: str) -> DataFrame:
+    """Who did what in which film: the adjacency that most queries begin with, made once in a session."""
+    return stored(spark, lambda: _credits(spark, sf), "credits", sf)
+
+
+def _credits(spark: SparkSession, sf: str) -> DataFrame:
     bought = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey").join(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey", "l_returnflag", "l_linenumber"), "k")
     kind = F.when(F.col("l_returnflag") == "N", "ACTED_IN").when(F.col("l_returnflag") == "A", "DIRECTED").otherwise("WROTE")
     rows = bought.groupBy("o_custkey", "l_partkey", kind.alias("kind")).agg(F.min("l_linenumber").alias("ord"))

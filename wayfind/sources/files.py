@@ -74,3 +74,23 @@ def write_graph(tables: dict[str, DataFrame], path: str) -> None:
 def cache_key(*parts: str):
     """Key of a cached answer: of the contents, not of their sizes."""
     return F.substring(F.sha1(F.concat_ws("\x00", *parts)), 1, 16)
+
+
+def cached(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """What is asked (key, ...) with the answers known for its key; null where one has still to be made."""
+    return asked.join(answers, "key", "left")
+
+
+def start_log(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty log in place of an old one."""
+    spark.createDataFrame([], schema).write.mode("overwrite").json(path)
+
+
+def extract(chunks: DataFrame, extractor, schema: str = "id string, edges array<struct<from: string, fromType: string, to: string, toType: string, kind: string, quote: string>>") -> DataFrame:
+    """Edges of chunks (id, chunk) by a function of pandas batches; see replay for one that needs no model."""
+    return chunks.select("id", "chunk").mapInPandas(extractor, schema)
+
+
+def replay(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """The edges that an earlier extraction gave for chunks (id); none where it gave none."""
+    return chunks.select("id").join(known.select("id", "edges"), "id", "left")
