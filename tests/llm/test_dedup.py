@@ -124,6 +124,24 @@ def test_repeats_awkward(spark):
     assert substring_dedup.remove_repeats(frame(spark, [(1, "a")]).limit(0)).collect() == []
 
 
+def test_pairs_at_each_distance(spark):
+    """Planted pairs from a cosine of 0.93 to 0.99 among others of their label: at least nine of ten of each are found."""
+    rng = np.random.default_rng(8)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    noise, rows, planted = unit(rng.normal(size=(2500, 48))), [], {}
+    for c in (0.935, 0.95, 0.97, 0.99):
+        a, b = unit(rng.normal(size=(150, 48))), rng.normal(size=(150, 48))
+        b = unit(b - (a * b).sum(1, keepdims=True) * a)
+        planted[c] = range(len(rows), len(rows) + 300, 2)
+        rows += [v for pair in zip(a, c * a + np.sqrt(1 - c * c) * b) for v in pair]
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate([*rows, *noise])], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.dedup(table).collect()}
+    for c, firsts in planted.items():
+        assert np.mean([got[i + 1].component_id == i and got[i].n_links == got[i + 1].n_links == 1 for i in firsts]) >= 0.9, c
+    assert all(got[i].n_links == 0 for i in range(len(rows), len(rows) + len(noise)))
+    assert [embedding_dedup.layout(n, 0.93)[1] for n in (10, 5000, 10**6, 10**12)] == [8, 15, 22, 28]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(8, 64))

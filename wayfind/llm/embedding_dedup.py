@@ -2,11 +2,15 @@
 
 A rotation of the centred principal axes is learned on a bounded sample so that the
 signs of the rotated coordinates are balanced codes near the vectors (iterative
-quantisation). The code is cut into TABLES parts; two vectors of a label meet in a
-table if their parts differ in one bit at most (one side is looked up once for each
-bit that may be wrong), which finds all codes within 2 * TABLES - 1 bits. Pairs that
+quantisation). The code is cut into parts, one for each table; two vectors of a label
+meet in a table if their parts differ in one bit at most (one side is looked up once for
+each bit that may be wrong), which finds all codes within 2 * tables - 1 bits. Pairs that
 meet are ranked by the cosine of the original vectors.
 
+A part is a little wider than the bits that number the largest label's vectors, so that
+a vector meets a few others by chance, however many there are; and there are as many
+tables as it takes to find FOUND of the pairs at the threshold (see layout).
+
 Equal vectors of a label form one class first. A table's entry is dealt into blocks
 of bounded size, and what leaves a pair of blocks is a count and a least link for each
 vector, not the pairs.
@@ -15,19 +19,22 @@ vector, not the pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import connected_components, cut, tune
 
-#: Parts of a code, bits of a part, rows of the sample and rounds of the quantisation.
-TABLES, PART_BITS, SAMPLE, ROUNDS = 5, 12, 4000, 30
-#: Bits in which the codes of a pair may differ before its vectors aren't compared: at a cosine of 0.93,
-#: 7 of 60 are expected.
-FAR = 22
+#: Rows of the sample, rounds of the quantisation, and vectors' lengths at most that get a rotation of their own.
+SAMPLE, ROUNDS, LENGTHS = 4000, 30, 16
+#: Share of the pairs at the threshold that shall be found; bits of a part.
+FOUND, PART_BITS = 0.975, (8, 28)
+#: Share of the bits in which the codes of a pair may differ before its vectors aren't compared: three times
+#: what is expected at a cosine of 0.93.
+FAR = 0.367
 #: An entry of a table with more classes is compared in blocks of that many.
 SMALL, BLOCK = 32, 256
 
@@ -50,9 +57,40 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple
     return mean, np.concatenate([axes @ turn, rng.normal(size=(sample.shape[1], bits - axes.shape[1]))], 1)
 
 
-def codes_of(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Each vector's code as a number."""
-    return ((unit - mean) @ projection >= 0) @ (np.int64(1) << np.arange(projection.shape[1], dtype=np.int64))
+def layout(largest: int, threshold: float) -> tuple[int, int]:
+    """(tables, bits of a part) for labels of up to `largest` vectors.
+
+    A bit of two vectors at the threshold differs with a probability of angle / pi; their
+    parts differ in one bit at most with p; so many tables that 1 - (1 - p) ** tables
+    reaches FOUND.
+    """
+    width = min(max(math.ceil(math.log2(max(2, largest))) + 2, PART_BITS[0]), PART_BITS[1])
+    same = 1 - math.acos(threshold) / math.pi
+    p = same**width + width * (1 - same) * same ** (width - 1)
+    return math.ceil(math.log(1 - FOUND) / math.log(1 - p)), width
+
+
+class Code:
+    """A code of tables x width bits as a few numbers, c0, c1, ...; no part is cut by their borders."""
+
+    def __init__(self, tables: int, width: int):
+        self.tables, self.width, self.per = tables, width, 63 // width
+        self.names = [f"c{i}" for i in range(-(-tables // self.per))]
+        self.slots = [(k // self.per, k % self.per * width) for k in range(tables)]
+        self.far = int(FAR * tables * width)
+
+    def of(self, unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+        """Each vector's code (rows x numbers)."""
+        bits = ((unit - mean) @ projection >= 0).astype(np.int64)
+        out = np.zeros((len(unit), len(self.names)), np.int64)
+        for b in range(bits.shape[1]):
+            i, shift = self.slots[b // self.width]
+            out[:, i] |= bits[:, b] << np.int64(shift + b % self.width)
+        return out
+
+    def mask(self, k: int) -> tuple[int, int]:
+        i, shift = self.slots[k]
+        return i, ((1 << self.width) - 1) << shift
 
 
 def usable(vec_id, vec, label) -> tuple[int, bytes, int] | None:
@@ -84,49 +122,52 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, label long, node long, dim int, vec binary")
 
 
-def _coded(classes: DataFrame, models) -> DataFrame:
-    """(node, code) of each class."""
+def _coded(classes: DataFrame, models, code: Code) -> DataFrame:
+    """(node, c0, c1, ...) of each class."""
 
     def run(batches):
         for batch in batches:
             dims, vec = np.array(batch.column(1).to_pylist(), int), batch.column(2).to_pylist()
-            code = np.zeros(len(vec), np.int64)
+            found = np.zeros((len(vec), len(code.names)), np.int64)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                code[at] = codes_of(unit_rows([vec[i] for i in at]), *models.value[int(dim)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code)], names=["node", "code"])
+                found[at] = code.of(unit_rows([vec[i] for i in at]), *models.value[int(dim)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(found.shape[1]))], names=["node", *code.names])
 
-    return classes.select("node", "dim", "vec").mapInArrow(run, "node long, code long")
+    return classes.select("node", "dim", "vec").mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in code.names))
 
 
 KEY = ["label", "dim", "slot", "part"]
 
 
-def _entries(coded: DataFrame, tables: int, width: int, wrong: bool) -> DataFrame:
-    """KEY, node, code: a row for each table; with wrong, also for each bit of the part that may be wrong."""
-    masks = [((1 << width) - 1) << (k * width) for k in range(tables)]
-    looked_up = [(k, m, flip) for k, m in enumerate(masks) for flip in [0, *((1 << (k * width + b)) for b in range(width))] if wrong or not flip]
-    listed = ", ".join(f"struct({k} as slot, {m}L as mask, {f}L as flip)" for k, m, f in looked_up)
-    return coded.select("label", "dim", "node", "code", F.expr(f"explode(array({listed}))").alias("e")).select("label", "dim", F.col("e.slot").alias("slot"), F.expr("(code & e.mask) ^ e.flip").alias("part"), "node", "code")
+def _entries(coded: DataFrame, code: Code, wrong: bool) -> DataFrame:
+    """KEY, node, c0, ...: a row for each table; with wrong, also for each bit of the part that may be wrong."""
+    flips = [0, *(1 << b for b in range(code.width))] if wrong else [0]
+    parts = ", ".join(f"struct({k} as slot, shiftrightunsigned(c{i} & {m}L, {shift}) as part)" for k, ((i, m), (_, shift)) in enumerate(zip(map(code.mask, range(code.tables)), code.slots)))
+    rows = coded.select("label", "dim", "node", *code.names, F.expr(f"explode(array({parts}))").alias("e"))
+    rows = rows.select("label", "dim", F.col("e.slot").alias("slot"), F.col("e.part").alias("part"), "node", *code.names)
+    if not wrong:
+        return rows
+    return rows.withColumn("flip", F.explode(F.array(*(F.lit(f).cast("long") for f in flips)))).withColumn("part", F.expr("part ^ flip")).drop("flip")
 
 
-def _blocks(df: DataFrame, name: str) -> DataFrame:
+def _blocks(df: DataFrame, name: str, code: Code) -> DataFrame:
     size = df.groupBy(*KEY).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = df.join(size, KEY).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-    return dealt.groupBy(*KEY, "block").agg(F.collect_list(F.struct("node", "copies", "code", "vec")).alias(name)).drop("block")
+    return dealt.groupBy(*KEY, "block").agg(F.collect_list(F.struct("node", "copies", "vec", *code.names)).alias(name)).drop("block")
 
 
-def _links(classes: DataFrame, threshold: float, tables: int, width: int) -> DataFrame:
+def _links(classes: DataFrame, threshold: float, code: Code) -> DataFrame:
     """(a, n, b): links found; n adds up to the rows linked with class a, the (a, b) connect what is linked."""
-    masks = [((1 << width) - 1) << (k * width) for k in range(tables)]
-    index, probes = _entries(classes, tables, width, False), _entries(classes, tables, width, True)
+    index, probes = _entries(classes, code, False), _entries(classes, code, True)
     sizes = index.groupBy(*KEY).agg(F.count("*").alias("n"))
     sized = index.join(sizes, KEY)
     x, y = probes.alias("x"), sized.where(F.col("n") <= SMALL).alias("y")
-    differ = "(x.code ^ y.code)"
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in code.names)
     # a pair counts in the first table where its parts differ in one bit at most
-    first = " and ".join([f"(x.slot <= {k} or bit_count({differ} & {m}L) > 1)" for k, m in enumerate(masks[:-1])] or ["true"])
-    pairs = x.join(y, KEY).where(f"x.node <> y.node and bit_count({differ}) <= {FAR} and {first}").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    masks = [code.mask(k) for k in range(code.tables)]
+    first = " and ".join([f"(x.slot <= {k} or bit_count((x.c{i} ^ y.c{i}) & {m}L) > 1)" for k, (i, m) in enumerate(masks[:-1])] or ["true"])
+    pairs = x.join(y, KEY).where(f"x.node <> y.node and {differ} <= {code.far} and {first}").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def cosines(batches):
         for batch in batches:
@@ -148,10 +189,12 @@ def _links(classes: DataFrame, threshold: float, tables: int, width: int) -> Dat
             rows = []
             for k in range(batch.num_rows):
                 slot, x, y = (batch.column(c)[k].as_py() for c in range(3))
-                cx, cy, nx, ny = (np.array([r[c] for r in s], np.int64) for c in ("code", "node") for s in (x, y))
+                nx, ny = (np.array([r["node"] for r in s], np.int64) for s in (x, y))
+                apart = [np.array([r[c] for r in x], np.int64)[:, None] ^ np.array([r[c] for r in y], np.int64) for c in code.names]
                 linked = (unit_rows([r["vec"] for r in x]) @ unit_rows([r["vec"] for r in y]).T >= threshold) & (nx[:, None] != ny)
-                for m in masks[:slot]:
-                    d = (cx[:, None] ^ cy) & m
+                linked &= sum(np.bitwise_count(d).astype(np.int32) for d in apart) <= code.far
+                for i, m in masks[:slot]:
+                    d = apart[i] & m
                     linked &= (d & (d - 1)) != 0
                 copies, owner = np.array([r["copies"] for r in y], np.int64), np.full(len(y), -1)
                 for i in np.flatnonzero(linked.any(1)):
@@ -167,7 +210,7 @@ def _links(classes: DataFrame, threshold: float, tables: int, width: int) -> Dat
     large = sizes.where(F.col("n") > SMALL)
     left = probes.join(large.select(KEY), KEY).join(own, "node")
     right = index.join(large.select(KEY), KEY).join(own, "node")
-    many = _blocks(left, "x").join(_blocks(right, "y"), KEY).select("slot", "x", "y").repartition(parallel(classes)).mapInArrow(compare, "a long, n long, b long")
+    many = _blocks(left, "x", code).join(_blocks(right, "y", code), KEY).select("slot", "x", "y").repartition(parallel(classes)).mapInArrow(compare, "a long, n long, b long")
     return few.unionByName(many)
 
 
@@ -175,7 +218,7 @@ def parallel(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism * 4
 
 
-def dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, width: int = PART_BITS, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def dedup(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, width: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors.
 
     Vectors are linked if their labels are equal and not null and their cosine, in double
@@ -191,12 +234,22 @@ def dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, wid
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("long").alias("label"))
     named = cut(_nodes(rows))
     classes = cut(named.where("node is not null").groupBy("node", "label", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
-    models = {}
-    for dim in [r.dim for r in classes.select("dim").distinct().collect()]:  # lengths of vectors: a few
-        drawn = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").select("vec").limit(SAMPLE).collect()
-        models[dim] = learn_rotation(unit_rows([bytes(r.vec) for r in drawn]), tables * width)
-    coded = cut(classes.join(_coded(classes, rows.sparkSession.sparkContext.broadcast(models)), "node"))
-    links = cut(_links(coded, threshold, tables, width))
+    sizes = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    code = Code(*((tables, width) if tables and width else layout(sizes, threshold)))
+    models, bits = {}, code.tables * code.width
+    lengths = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).select("dim")
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy("order", "node"))
+    drawn = classes.join(F.broadcast(lengths), "dim").select("dim", "node", F.xxhash64("node").alias("order"), "vec").withColumn("nth", nth).where(F.col("nth") <= SAMPLE)
+    samples: dict[int, list[bytes]] = {}
+    for r in drawn.select("dim", "vec").collect():  # LENGTHS * SAMPLE rows at most
+        samples.setdefault(r.dim, []).append(bytes(r.vec))
+    for dim, vec in samples.items():
+        models[dim] = learn_rotation(unit_rows(sorted(vec)), bits)
+    # vectors of rarer lengths have no principal axes; random directions serve
+    for r in classes.select("dim").distinct().join(F.broadcast(lengths), "dim", "left_anti").collect():
+        models[r.dim] = (np.zeros(r.dim), np.random.default_rng(11).normal(size=(r.dim, bits)))
+    coded = cut(classes.join(_coded(classes, rows.sparkSession.sparkContext.broadcast(models), code), "node"))
+    links = cut(_links(coded, threshold, code))
     counts = links.groupBy("a").agg(F.sum("n").alias("others"))
     components = cut(connected_components(links.select("a", "b")))
     low = components.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
