@@ -1,13 +1,18 @@
 """The library's operators on small fixtures, the traversals against a sequential walk, and the SQL of all queries."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from wayfind import api
+from wayfind.__main__ import main as cli
 from wayfind.functions import text
 from wayfind.operators import bm25, etl, evaluate, graph, resolve, route, traverse
+from wayfind.operators import seeds as seed_sources
 from wayfind.plans import queries as library
+from wayfind.plans import registry
 from wayfind.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -158,19 +163,69 @@ def test_routes_and_follow_ups(spark):
     assert ask("그중에 한국 액션") == ["부산행"] and ask("그중에 최근") == ["이터널스", "기생충", "부산행"] and ask("그중에 최근 평점 높은") == ["기생충", "부산행", "이터널스"]
 
 
+def test_questions_by_shape(spark):
+    """Short names as whole words, titles of one character in brackets, subtitles left out, roles in Roman letters."""
+    q = spark.createDataFrame([(1, "아이유가 나온 영화"), (2, "이창동이 《시》로 받은 상은?"), (3, "지슬 어떤 영화야?"), (4, "유나의 영화"), (5, "주연을 맡은 배우"), (6, "‘콜’에 나온 사람")], "qid long, question string")
+    films = spark.createDataFrame([(t, t, 1.0, i) for i, t in enumerate(["아이", "시", "지슬: 끝나지 않은 세월 2", "콜"])], "id string, title string, popularity double, seq long")
+    assert sorted((r.qid, r.id) for r in resolve.titles_in(q, films).collect()) == [(2, "시"), (3, "지슬: 끝나지 않은 세월 2"), (6, "콜")]
+    people = spark.createDataFrame([("IU", "IU", ["아이유"], 1.0, 1), ("유나", "유나", [], 1.0, 2), ("주연", "주연", [], 1.0, 3)], "id string, name string, aliases array<string>, popularity double, seq long")
+    assert sorted((r.qid, r.id) for r in resolve.people_in(q, people).collect()) == [(1, "IU"), (4, "유나")]
+    assert one(spark, text.role_candidates(F.lit("호랑이가 나오고 세종대왕을 연기한"))) == ["호랑이가", "호랑이", "호랑", "세종대왕을", "세종대왕", "세종대", "세종"]
+    cands = spark.createDataFrame([(1, "기택"), (1, "기우"), (2, "진구"), (2, "세종")], "qid long, cand string")
+    parts = spark.createDataFrame([("a", "m", "ACTED_IN", "Kim Ki-taek", 1), ("b", "m", "ACTED_IN", "Jin-goo (진구)", 2), ("c", "m", "DIRECTED", None, 3), ("d", "n", "ACTED_IN", "King Sejong", 4)], "src string, dst string, kind string, as_role string, seq long")
+    assert sorted((r.qid, r.cand, r.src) for r in seed_sources.cast_as(cands, parts).collect()) == [(1, "기택", "a"), (2, "세종", "d"), (2, "진구", "b")]
+    assert one(spark, text.lean_query(F.lit("세종대왕에 대한 이야기가있는 영화 알려줘"))) == "세종대왕에 가"
+    assert one(spark, text.long_date(F.lit("2019-05-30"))) == "2019년 5월 30일" and one(spark, text.summary(F.lit("가. " * 300))).endswith("가.")
+    assert one(spark, text.query_terms(F.lit("제주도를 배경으로 한 판타지 영화는?"))) == ["제주도", "배경", "판타지"]
+
+
+def test_pipeline_of_a_domain(spark, tmp_path, capsys):
+    """Success, a search, a refusal off the domain and one without a name, from a graph file on."""
+    nodes = [("안창호", "Person", 5), ("신민회", "Organization", 2), ("흥사단", "Organization", 1), ("이승훈", "Person", 1)]
+    edges = [("안창호", "신민회", "FOUNDED", ["안창호는 신민회를 세웠다."], ["안창호"]), ("안창호", "흥사단", "FOUNDED", ["x", "안창호가 흥사단을 만들었다."], ["흥사단"]), ("이승훈", "신민회", "MEMBER_OF", ["q"], ["신민회"])]
+    graph_file = {"nodes": [{"id": i, "type": t, "aliases": [], "degree": d} for i, t, d in nodes], "edges": [{"from": a, "to": b, "kind": k, "quotes": q, "docs": d} for a, b, k, q, d in edges]}
+    path = tmp_path / "h.json"
+    path.write_text(json.dumps(graph_file, ensure_ascii=False))
+    asked = ["안창호가 세운 조직은?", "오늘 날씨", "모르는 것", "흥사단과 이승훈"]
+    got = [json.loads(x) for x in cli(["history", str(path), *asked], spark)]
+    capsys.readouterr()
+    assert [" ".join(r["trace"]) for r in got] == ["followup route seeds expand assemble answer", "followup route refuse", "followup route seeds refuse", "followup route seeds expand assemble answer"]
+    assert got[0]["seed_ids"] == ["안창호"] and [t["dst"] for t in got[0]["triples"]] == ["신민회", "흥사단", "신민회"] and got[0]["sources"] == ["안창호", "흥사단", "신민회"]
+    assert got[3]["route_kind"] == "bridge" and got[1]["refused"] and got[2]["refusal_reason"]
+    card = {r.pos: r.quote for r in api.history_card(spark, str(path), ["안창호"]).collect()}
+    assert card == {1: "안창호가 흥사단을 만들었다.", 2: "안창호는 신민회를 세웠다."}
+    assert api.history_field(spark, str(path))["nodes"].count() == 2
+    near, links = api.history_focus(spark, str(path), ["신민회"])
+    assert {r.id for r in near.collect()} == {"안창호", "이승훈"} and links.count() == 0
+
+
+def test_no_cartesian_product(spark):
+    """Quotes of any length are looked up by their words."""
+    quotes = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "b c d")], "quote_id int, text string")
+    docs = spark.createDataFrame([(7, "xa b c d"), (8, "a bc"), (9, None)], "id int, text string")
+    found = etl.verify_quotes(quotes, docs)
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (1, 8), (2, 7), (2, 8), (3, 7)]
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "apple pie", "sweet apple"), (2, "pie", "meat"), (3, None, "")], "id long, title string, text string")
     index = bm25.build_index(docs)
     found = bm25.search(index, spark.createDataFrame([(1, "Apple apple"), (2, "none")], "qid long, text string"))
     assert [(r.qid, r.id) for r in found.collect()] == [(1, 1)]
     assert index.postings.where("tok = 'apple'").first().tf == 4
+    asked = spark.createDataFrame([(1, "Apple apple")], "qid long, text string")
+    few = bm25.build_index(docs, asked=asked)
+    assert few.postings.select("tok").distinct().count() == 1 and bm25.search(few, asked).collect() == bm25.search(index, asked).collect()
 
 
 def test_batch_work(spark):
     votes = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "y", 3), ("b", "z", 5), ("b", "w", 4)], "k string, v string, seq int")
     assert {r.k: r.v for r in etl.majority(votes, "k", "v").collect()} == {"a": "y", "b": "w"}
     chunks = etl.chunks(spark.createDataFrame([(1, "aa\n\nbb\n\ncccc\n\n" + "d" * 20)], "id int, text string"), size=6, hard=9).orderBy("n").collect()
-    assert [r.chunk for r in chunks] == ["aa\n\nbb", "cccc", "dddddd", "dddddd", "dddddd", "dd"]
+    assert [r.chunk for r in chunks] == ["aa\n\nbb", "cccc", "dddddd", "dddddd", "dddddddd"]
+    sizes = lambda t: [len(r.chunk) for r in etl.chunks(spark.createDataFrame([(1, t)], "id int, text string")).orderBy("n").collect()]
+    assert sizes("x" * 15_000) == [6000, 9000] and sizes("x" * 3000 + "\n\n" + "y" * 2999) == [6001] and sizes(" \n ") == []
     quotes = spark.createDataFrame([(1, "b  c"), (2, "one two three four five six seven eight"), (3, "x y")], "quote_id int, text string")
     docs = spark.createDataFrame([(7, "a b\nc d"), (8, "xone two three four five six seven eight!")], "id int, text string")
     assert sorted(map(tuple, etl.verify_quotes(quotes, docs).collect())) == [(1, 7), (2, 8)]
@@ -183,7 +238,15 @@ def test_evaluation(spark):
     names = one(spark, evaluate.path_names(F.lit("규장각 ◀─FOUNDED─ 정조 ─FOUNDED─▶ 장용영")))
     assert names == ["규장각", "정조", "장용영"]
     assert one(spark, evaluate.pair_recall(F.array(*map(F.lit, names)), F.array(F.lit("정조|규장각")))) == 0.5
-    assert evaluate.grid(spark, hops=[1, 2], nodes=[20, 40, 80]).count() == 6
+    assert traverse.grid(spark, hops=[1, 2], nodes=[20, 40, 80]).count() == 6
+    assert one(spark, evaluate.has_title(F.lit("기생충"), F.lit("기생충: 감독판"))) and not one(spark, evaluate.has_title(F.lit(""), F.lit("x")))
+    item = lambda **v: [F.lit(v.get(k)).cast(t) for k, t in (("kind", "string"), ("answer", "string"), ("person", "string"), ("movies", "array<string>"), ("accept", "array<string>"))]
+    assert one(spark, evaluate.expected(*item(kind="release", answer="2019년 5월 30일"))) == ["2019"]
+    assert one(spark, evaluate.expected(*item(kind="cast", answer="《송강호》", person="송강호", accept=["송강호 배우"]))) == ["송강호", "송강호 배우"]
+    said = lambda kind, text, claim=None, person=None, want=(): one(spark, evaluate.grade(F.lit(kind), F.lit(text).cast("string"), F.lit(claim).cast("boolean"), F.lit(person).cast("string"), F.array(*map(F.lit, want)).cast("array<string>")))
+    assert said("out_of_scope", None) == said("no-answer", "근거에 없습니다") == said("verify-claim", "아닙니다", False, "a") == said("verify-claim", None, False) == said("cast", "송 강호 입니다", want=["송강호"]) == "right"
+    assert said("verify-claim", "아닙니다", True, "a") == said("cast", None, want=["x"]) == said("out_of_scope", "기생충") == "wrong" and said("cast", "x") == "excluded"
+    assert one(spark, evaluate.answer_holds(F.lit("답은 신민회(新民會)입니다"), F.lit("흥사단 · 신민회")))
 
 
 def test_files(spark, tmp_path):
@@ -199,6 +262,22 @@ def test_files(spark, tmp_path):
     files.append_log(spark.range(2), str(tmp_path / "log"))
     files.append_log(spark.range(1), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 3
+    files.start_log(spark, str(tmp_path / "log"), "id long")
+    assert list((tmp_path / "log").glob("*.json")) == [] or spark.read.schema("id long").json(str(tmp_path / "log")).count() == 0
+    work = spark.createDataFrame([("1", "text"), ("2", "more")], "id string, chunk string")
+    assert [r.id for r in files.remaining(work, files.read_extractions(spark, str(tmp_path / "x.jsonl")).select(F.col("chunk").alias("id"))).collect()] == ["2"]
+    known = spark.read.schema(files.EXTRACTION).json(str(tmp_path / "x.jsonl")).where("id is not null")
+    assert {r.id: len(r.edges or []) for r in files.replay(work, known).collect()} == {"1": 1, "2": 0}
+
+    def none_found(batches):
+        for b in batches:
+            yield b[["id"]].assign(edges=[[] for _ in range(len(b))])
+
+    assert files.extract(work, none_found).count() == 2
+    files.write_graph({"movies": g["movies"], "edges": g["edges"]}, str(tmp_path / "graph"))
+    assert spark.read.json(str(tmp_path / "graph" / "stats")).first().asDict() == {"movies": 1, "edges": 1}
+    keyed = work.withColumn("key", files.cache_key("id", "chunk"))
+    assert files.cached(keyed, keyed.where("id = '1'").select("key", F.lit("a").alias("answer"))).where("answer is null").count() == 1
 
 
 def test_stream(spark, tmp_path):
@@ -243,11 +322,13 @@ def test_gate_fails_in_pieces(spark, monkeypatch):
 def test_intersections(spark):
     hits = spark.createDataFrame([(1, "a", "abc", 1.0, 1), (1, "b", "abcd", 0.5, 2), (1, "c", "zz", 0.1, 3)], "qid int, id string, label string, popularity double, seq int")
     assert [r.id for r in resolve.longest_hits(hits).orderBy("rank").collect()] == ["b", "c"]
-    members = spark.createDataFrame([(1, "x", "m"), (1, "y", "m"), (1, "x", "n"), (2, "x", "m")], "qid int, part string, id string")
-    assert [(r.qid, r.id) for r in resolve.in_all(members).collect()] == [(1, "m")]
+    people = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "x", 1), (3, "x", 1), (3, "none", 2)], "qid int, id string, rank int")
+    edges = spark.createDataFrame([("x", "m"), ("y", "m"), ("x", "n")], "src string, dst string")
+    films = spark.createDataFrame([("m", 1.0, 1), ("n", 2.0, 2)], "id string, popularity double, seq int")
+    assert [(r.qid, r.id) for r in resolve.people_intersection(people, edges, films).collect()] == [(1, "m")]  # who has no films shares none
 
 
-@pytest.mark.parametrize("name", ["graph_degree", "seeds_cascade", "bridge_1hop_budgeted", "bm25_search_topk", "triple_order", "recall_by_grouping_sets"])
+@pytest.mark.parametrize("name", ["graph_degree", "bridge_2hop_budgeted", "bridge_dropped_counts", "bm25_search_topk", "recall_by_grouping_sets", "chunk_documents", "density_report", "film_focus", "find_seeds", "pipeline_trace", "answer_grades"])
 def test_sql(spark, name):
     import os
 
@@ -256,8 +337,8 @@ def test_sql(spark, name):
     db = duckdb.connect()
     for t in os.listdir(SF):
         db.execute(f"create view {t.removesuffix('.parquet')} as select * from '{SF}/{t}'")
-    got = library.QUERIES[name](spark, SF)
-    want = db.execute(library.ORACLE[name])
+    got = registry.QUERIES[name](spark, SF)
+    want = db.execute(registry.ORACLE[name])
     columns = sorted(got.columns)
     assert sorted(d[0] for d in want.description) == columns
     place = [[d[0] for d in want.description].index(c) for c in columns]

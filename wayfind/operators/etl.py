@@ -64,7 +64,7 @@ def verify_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     lead = 6
     words = lambda c: F.split(c, " ")
     asked = quotes.select("quote_id", squeeze(F.col("text")).alias("quote")).where("quote <> ''").withColumn("n", F.least(F.size(words("quote")) - 2, F.lit(lead)))
-    long = asked.where("n >= 1").withColumn("inner", F.xxhash64(F.slice(words("quote"), F.lit(2), F.col("n"))))
+    long = asked.where("n >= 1").withColumn("inner", F.xxhash64(F.slice(words("quote"), F.lit(2), F.greatest(F.col("n"), F.lit(0)))))
     texts = docs.select("id", squeeze(F.col("text")).alias("body"))
     split = texts.select("id", words("body").alias("w"))
     sizes = long.select("n").distinct().agg(F.collect_list("n").alias("sizes"))  # one row, six numbers at most
