@@ -23,6 +23,18 @@ GATE = (5.0, 0.8, 50, 50)
 #: Honorifics that may follow a name.
 HONORIFICS = r"\s*(대통령|국방위원장|주석|총리|국무총리|장관|의원|선생|박사|교수|목사|신부|스님|장군|제독|왕|황제|공)$"
 
+#: Words of respect after a name, in the order in which they are tried.
+RESPECT = ["대왕", "대", "왕", "임금", "선생", "장군", "황제"]
+#: How an article gives a pen name.
+PEN_NAMES = [r"호(?:\(號\))?는\s*([가-힣]{1,4})\s*[(（]", r"호는\s*([가-힣]{2,4})"]
+#: Offices, which are no organizations, and names beyond the graph's history.
+OFFICE = "(관찰사|통제사|절도사|판서$|참판$|참의$|참지$|영의정|좌의정|우의정|정승$|유수$|부윤$|목사$|부사$|현감$|현령$|군수$|총재$|총장$|위원장$|대통령$|국무총리$|총리$|장관$|차관$|사령관$|본부장$|의장$|부의장$|의원$|주석$|서리$|교수$|박사$|회장$|대사$|시장$|도지사$|검사$|판사$|대제학$|제학$|사부$|대장$|원수$|비서관$|비서실장$)"
+FOREIGN = [
+    "마오쩌둥", "장제스", "스탈린", "레닌", "루스벨트", "트루먼", "맥아더", "히로히토", "도요토미 히데요시", "도쿠가와 이에야스", "조지 워싱턴", "링컨", "토머스 제퍼슨",
+    "처칠", "히틀러", "덩샤오핑", "저우언라이", "오부치 게이조", "고이즈미 준이치로", "미국", "일본", "중국", "소련", "러시아", "영국", "프랑스", "독일", "베트남", "타이완",
+    "명나라", "청나라", "원나라", "송나라", "후금", "베트남 공화국", "문화 대혁명", "2·26 사건", "미국 독립 전쟁", "미국 내전", "십자군 전쟁", "아편 전쟁", "신해혁명", "메이지 유신",
+]
+
 
 def squeeze(s: Column) -> Column:
     """White space as single spaces."""
@@ -87,9 +99,15 @@ def signature_errors(edges: DataFrame) -> DataFrame:
     return edges.withColumn("error", F.when(missing, "missing").when(~F.col("kind").isin(*SIGNATURES), "kind").when(~ok, "type"))
 
 
-def drop_reasons(edges: DataFrame, office: Column, foreign: Column, short: int = 2) -> DataFrame:
-    """edges with drop_reason: the first of self, office, foreign, short; null if kept."""
-    return edges.withColumn("drop_reason", F.when(F.col("src") == F.col("dst"), "self").when(office, "office").when(foreign, "foreign").when((F.length("src") < short) | (F.length("dst") < short), "short"))
+def drop_reasons(edges: DataFrame, office: Column | None = None, foreign: Column | None = None, short: int = 2) -> DataFrame:
+    """edges with drop_reason: the first of office, foreign, self, short; null if kept.
+
+    Offices and foreign names are told by their names, unless other conditions are given.
+    """
+    a, b = F.col("src"), F.col("dst")
+    office = a.rlike(OFFICE) | b.rlike(OFFICE) if office is None else office
+    foreign = a.isin(*FOREIGN) | b.isin(*FOREIGN) if foreign is None else foreign
+    return edges.withColumn("drop_reason", F.when(office, "office").when(foreign, "foreign").when(a == b, "self").when((F.length(a) < short) | (F.length(b) < short), "short"))
 
 
 def merge_triples(edges: DataFrame) -> DataFrame:
@@ -105,22 +123,43 @@ def majority(votes: DataFrame, by: str, choice: str, *ties: Column) -> DataFrame
     return counted.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(by, choice, "n")
 
 
+def strip_title(name: Column) -> Column:
+    return F.trim(F.regexp_replace(name, HONORIFICS, ""))
+
+
 def resolve(surfaces: DataFrame, canon: DataFrame, least: int = 3) -> DataFrame:
-    """surface, resolved, how: by the dictionary canon (key, title), by the only title that holds it, without its honorific, or itself.
+    """surface, resolved, how of surfaces (surface, n, seq): what each name stands for, the title after it left out.
 
-    Of several titles of a key the first by seq counts. Containment is an equi-join on
-    those substrings of the titles that are as long as some surface.
+    By the dictionary canon (key, title, seq; of one key the first), by the only title
+    that holds it (from `least` characters on), by what stands before a word of respect,
+    by the most frequent way of writing it (the shortest, then the first of equal ones),
+    or itself. Containment is an equi-join on those substrings of the titles that are as
+    long as some surface.
     """
     first = canon.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).where("nth = 1").select("key", "title")
-    asked = surfaces.select("surface", key(F.col("surface")).alias("key"), key(F.regexp_replace("surface", HONORIFICS, "")).alias("bare")).distinct()
-    lengths = asked.where(F.length("key") >= least).select(F.length("key").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))  # one row, a few numbers
+    asked = surfaces.withColumn("clean", strip_title(F.col("surface"))).withColumn("key", key(F.col("clean")))
+    lengths = asked.where(F.length("clean") >= least).select(F.length("key").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))  # one row, a few numbers
     titles = canon.select("title").distinct().withColumn("k", key(F.col("title"))).where("k <> ''").crossJoin(F.broadcast(lengths))
-    parts = titles.select("title", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("k")), lambda i: F.transform(F.filter("lengths", lambda n: n <= F.length("k") - i + 1), lambda n: F.substring(F.col("k"), i, n)))))).alias("key"))
-    only = parts.where(F.length("key") >= least).groupBy("key").agg(F.countDistinct("title").alias("n"), F.min("title").alias("partial")).where("n = 1").drop("n")
-    out = asked.join(first.withColumnRenamed("title", "exact"), "key", "left").join(only, "key", "left")
-    out = out.join(first.select(F.col("key").alias("bare"), F.col("title").alias("honorific")), "bare", "left")
-    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("partial").isNotNull(), "partial").when(F.col("honorific").isNotNull(), "honorific").otherwise("itself")
-    return out.select("surface", F.coalesce("exact", "partial", "honorific", "surface").alias("resolved"), how.alias("how"))
+    parts = titles.select("title", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("k")), lambda i: F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length("k") - i + 1)), lambda n: F.substring(F.col("k"), i, n)))))).alias("key"))
+    only = parts.groupBy("key").agg(F.countDistinct("title").alias("n"), F.min("title").alias("partial")).where("n = 1").drop("n")
+    out = asked.join(first.withColumnRenamed("title", "exact"), "key", "left").join(only, "key", "left").withColumn("partial", F.when(F.length("clean") >= least, F.col("partial")))
+    for i, suffix in enumerate(RESPECT):
+        base = F.when(F.col("clean").endswith(suffix) & (F.length("clean") - len(suffix) >= 2), key(F.substring(F.col("clean"), F.lit(1), F.length("clean") - len(suffix))))
+        out = out.withColumn("base", base).join(first.select(F.col("key").alias("base"), F.col("title").alias(f"respect{i}")), "base", "left").drop("base")
+    known = F.coalesce("exact", "partial", *(f"respect{i}" for i in range(len(RESPECT))))
+    out = out.withColumn("known", known)
+    forms = out.where("known is null").groupBy("key", "clean").agg(F.sum("n").alias("n"), F.min("seq").alias("first"))
+    usual = forms.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), F.length("clean"), "first"))).where("nth = 1").select("key", F.col("clean").alias("usual"))
+    out = out.join(usual, "key", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("partial").isNotNull(), "partial").when(F.col("known").isNotNull(), "respect").when(F.col("usual") != F.col("clean"), "surface").otherwise("itself")
+    return out.select("surface", F.coalesce("known", "usual", "clean").alias("resolved"), how.alias("how"))
+
+
+def pen_name(body: Column) -> Column:
+    """The pen name that the first 3,000 characters of an article give; null if none."""
+    head = F.substring(body, 1, 3000)
+    found = F.coalesce(*(F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in PEN_NAMES))
+    return F.when(F.length(found) >= 2, found)
 
 
 def name_variants(name: Column) -> Column:

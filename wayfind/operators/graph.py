@@ -74,13 +74,19 @@ def genre_index(films: DataFrame, home: int = 30, abroad: int = 15) -> DataFrame
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy("genre").orderBy(F.desc("ko"), "nth"))).select("genre", "pos", "id")
 
 
-def coactor_pairs(edges: DataFrame, films: DataFrame, top: int = 600, least: int = 2, most: int = 12) -> DataFrame:
-    """a, b, person: pairs of the most popular films that share an actor with `least` to `most` of them; the first actor of each pair."""
+def coactor_pairs(edges: DataFrame, films: DataFrame, top: int = 600, least: int = 2, most: int = 12, cap: int = 4000) -> DataFrame:
+    """a, b, person: pairs of the most popular films that share an actor with `least` to `most` of them, as they first come up, `cap` at most.
+
+    People come in the order of their first edge, a person's films in that of the edges;
+    the first person of a pair counts.
+    """
     chosen = films.orderBy(F.desc("popularity"), "seq").limit(top).select(F.col("id").alias("dst"))
-    acted = edges.where("kind = 'ACTED_IN'").select("src", "dst", "seq").join(F.broadcast(chosen), "dst")
-    listed = acted.groupBy("src").agg(F.min("seq").alias("first"), F.array_sort(F.collect_list(F.struct("seq", "dst"))).alias("v"), F.countDistinct("dst").alias("n")).where(F.col("n").between(least, most))
-    pairs = listed.select("src", "first", F.explode(F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.lit(1 << 20)), lambda y: F.struct(x["dst"].alias("a"), y["dst"].alias("b")))))).alias("p"))
-    return pairs.where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.min(F.struct("first", "src")).getField("src").alias("person"))
+    acted = edges.where("kind = 'ACTED_IN'").groupBy("src", "dst").agg(F.min("seq").alias("seq"))
+    order = acted.groupBy("src").agg(F.min("seq").alias("first"))
+    listed = acted.join(F.broadcast(chosen), "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("seq", "dst"))).alias("v")).where(F.size("v").between(least, most)).join(order, "src")
+    pairs = listed.select("src", "first", F.explode(F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.lit(most)), lambda y, j: F.struct(i.alias("i"), j.alias("j"), x["dst"].alias("a"), y["dst"].alias("b")))))).alias("p"))
+    seen = pairs.groupBy("p.a", "p.b").agg(F.min(F.struct("first", "p.i", "p.j", "src")).alias("s"))
+    return seen.orderBy("s.first", "s.i", "s.j").limit(cap).select("a", "b", F.col("s.src").alias("person"))
 
 
 def describe_path(start: Column, hops: Column) -> Column:

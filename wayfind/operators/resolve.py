@@ -138,3 +138,8 @@ def seed_bridges(seeds: DataFrame, edges: DataFrame, titles: DataFrame | None =
     asked = F.coalesce("asked", F.lit(False))
     order = Window.partitionBy("qid", "other").orderBy(asked.desc(), F.when(asked, 0).otherwise(F.coalesce("last.ord", F.lit(99))), "place")
     return one.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("qid", "anchor", "other", F.col("src").alias("person"), "last.kind")
+
+
+def in_order(previous: DataFrame, films: DataFrame) -> DataFrame:
+    """qid, pos, id, ... of a previous answer (qid, ids): its films in the given order; what isn't known is missing."""
+    return previous.select("qid", F.posexplode("ids").alias("pos", "id")).join(films, "id")

@@ -214,3 +214,40 @@ def golden_quotes_missing(spark, sf) -> DataFrame:
     gold = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("path"), F.col("text").alias("quote"), F.array().cast("array<string>").alias("expected"))
     empty = read(spark, sf, "nation").select(F.col("n_name").alias("id"))
     return evaluate.golden_errors(gold, empty, list(etl.SIGNATURES), corpus(spark, sf), empty).where("error = 'quote'").select("id")
+
+
+# --- follow-ups ---
+
+#: Follow-up questions; one for each person, by the key.
+FOLLOWS = ["그중에 최근 한국 영화만 평점 높은 순으로", "그 중 상 받은 것만", "거기서 해외 액션", "그것들 오래된 순", "그중에 아무거나 골라줘", "한국 영화만", "방금 그 목록에서 드라마 최신", "이중 외국 영화 중 별점 좋은"]
+BARE = "replace(list_extract([" + ", ".join(f"'{q}'" for q in FOLLOWS) + f"], cast(s.seq % {len(FOLLOWS)} + 1 as int)), ' ', '')"
+FOLLOW_SQL = CINEMA + f""", ask as (select s.id as qid, {BARE} as q from stars s),
+refs as (select *, len(list_filter({listed([w.replace(" ", "") for w in route.REFERS_BACK])}, lambda w: contains(q, w))) > 0 as refers, list_filter({listed(route.GENRES)}, lambda g: contains(q, g)) as gs,
+  {", ".join(f"regexp_matches(q, '{yes}')" + (f" and not regexp_matches(q, '{no}')" if no else "") + f" as f{i}" for i, (_, yes, no) in enumerate(route.FILTERS))} from ask),
+fol as (select *, refers and (f0 or f1 or f2 or f3 or f4 or f5 or len(gs) > 0) as ok from refs),
+prev as (select src as qid, f.*, row_number() over (partition by src order by popularity desc, seq) as pos from (select distinct src, dst from credits) c join shows f on f.id = c.dst)"""
+
+
+def follow_ups(spark, sf) -> DataFrame:
+    k = F.col("seq")
+    q = F.element_at(F.array(*map(F.lit, FOLLOWS)), (F.pmod(k, F.lit(len(FOLLOWS))) + 1).cast("int"))
+    ok, filters, gave_up = route.follow_up(F.col("question"), F.lit(True))
+    return stars(spark, sf).select(F.col("id").alias("qid"), q.alias("question")).select("qid", ok.alias("ok"), filters.alias("filters"), gave_up.alias("gave_up"))
+
+
+@query(FOLLOW_SQL + f" select qid, ok, case when refers and not ok then '{route.NO_FILTER}' end as gave_up from fol")
+def follow_up_detected(spark, sf) -> DataFrame:
+    """Which questions point back at the last answer and say what to keep of it."""
+    return follow_ups(spark, sf).select("qid", "ok", "gave_up")
+
+
+@query(FOLLOW_SQL + """ select p.qid, p.id, row_number() over (partition by p.qid order by case when f5 then -vote_average else 0 end, case when f4 then coalesce(year, 9999) else 0 end, case when f3 then -coalesce(year, 0) else 0 end, pos) as new_pos
+from prev p join fol f using (qid) where ok and pos <= 30 and (not f0 or len(awards) > 0) and (not f1 or ko) and (not f2 or not ko) and len(list_filter(gs, lambda g: not list_contains(genres, g))) = 0""")
+def follow_up_answers(spark, sf) -> DataFrame:
+    """Each person's 30 most popular films, kept and ordered as the person's follow-up says."""
+    from wayfind.operators import graph
+
+    f = shows(spark, sf)
+    rows = graph.top_films(parts(spark, sf), f, 30).select(F.col("person").alias("qid"), "id", "pos").join(f.select("id", "ko", "year", "genres", F.col("vote_average").alias("rating"), (F.size("awards") > 0).alias("awarded")), "id")
+    asked = follow_ups(spark, sf).where("ok")
+    return route.apply_filters(rows.join(asked, "qid"), route.GENRES).select("qid", "id", "new_pos")

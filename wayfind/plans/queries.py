@@ -96,10 +96,9 @@ def history_field(spark, sf) -> DataFrame:
 
 
 @query(SQL + """, top as (select id as dst from films order by popularity desc, seq limit 600),
-acted as (select src, dst, s, d from credits join top using (dst) where kind = 'ACTED_IN'),
-several as (select src from acted group by src having count(distinct dst) between 2 and 12),
-pairs as (select x.dst as a, y.dst as b, x.src, x.s, (select min(d) from acted z where z.src = x.src) as first from acted x join acted y on x.src = y.src and x.d < y.d where x.src in (select src from several))
-select a, b, arg_min(src, (s, first)) as person from pairs group by a, b""")
+acted as (select src, dst, s, d, row_number() over (partition by src order by d) as i, count(*) over (partition by src) as n from credits join top using (dst) where kind = 'ACTED_IN'),
+pairs as (select x.dst as a, y.dst as b, x.src, (x.s, x.i, y.i) as place from acted x join acted y on x.src = y.src and x.i < y.i where x.n between 2 and 12)
+select a, b, arg_min(src, place) as person from pairs group by a, b order by min(place) limit 4000""")
 def coactor_pairs(spark, sf) -> DataFrame:
     return graph.coactor_pairs(credits(spark, sf), films(spark, sf))
 
@@ -485,13 +484,18 @@ def type_signature_check(spark, sf) -> DataFrame:
     return etl.signature_errors(e).groupBy("kind", F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("select case when c.c_nationkey = s.s_nationkey and c.c_custkey = s.s_suppkey then 'self' when c.c_mktsegment = 'BUILDING' then 'office' when s.s_nationkey = 3 then 'foreign' when length('s' || s.s_suppkey) < 3 then 'short' else 'kept' end as reason, count(*) as n from (select distinct o_custkey, l_suppkey from orders join lineitem on o_orderkey = l_orderkey) e join customer c on c.c_custkey = e.o_custkey join supplier s on s.s_suppkey = e.l_suppkey group by 1")
+DROP_NAMES = ["관찰사", "육군 장관", "미국", "히틀러", "a", "시장 상인", "의원"]
+
+
+@query(f"""with e as (select distinct o_custkey as a, l_suppkey as b from orders join lineitem on o_orderkey = l_orderkey),
+n as (select case when a % 3 = 0 then list_extract({DROP_NAMES!r}, cast(a % 7 + 1 as int)) else 'c' || a end as src, case when b % 5 = 0 then list_extract({DROP_NAMES!r}, cast(b % 7 + 1 as int)) else 'c' || b end as dst from e)
+select case when regexp_matches(src, '{etl.OFFICE}') or regexp_matches(dst, '{etl.OFFICE}') then 'office' when src in ({", ".join("'" + x + "'" for x in etl.FOREIGN)}) or dst in ({", ".join("'" + x + "'" for x in etl.FOREIGN)}) then 'foreign'
+  when src = dst then 'self' when length(src) < 2 or length(dst) < 2 then 'short' else 'kept' end as reason, count(*) as n from n group by 1""")
 def drop_reason_counts(spark, sf) -> DataFrame:
-    e = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey").join(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_suppkey"), "k").select("o_custkey", "l_suppkey").distinct()
-    e = e.join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(read(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    same = (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") == F.col("s_suppkey"))
-    e = e.withColumn("src", F.when(same, F.concat(F.lit("s"), "s_suppkey")).otherwise(F.concat(F.lit("customer"), "c_custkey"))).withColumn("dst", F.concat(F.lit("s"), "s_suppkey"))
-    return etl.drop_reasons(e, F.col("c_mktsegment") == "BUILDING", F.col("s_nationkey") == 3, short=3).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    e = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a")).join(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("b")), "k").select("a", "b").distinct()
+    name = lambda c, n: F.when(F.col(c) % n == 0, F.element_at(F.array(*map(F.lit, DROP_NAMES)), (F.col(c) % 7 + 1).cast("int"))).otherwise(F.concat(F.lit("c"), c))
+    rows = etl.drop_reasons(e.select(name("a", 3).alias("src"), name("b", 5).alias("dst")))
+    return rows.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def extracted(spark, sf) -> DataFrame:
@@ -521,19 +525,40 @@ def surface_form_vote(spark, sf) -> DataFrame:
     return etl.majority(votes, "s", "form", F.length("form"))
 
 
-@query("""with canon as (select min(p_partkey) as seq, p_name as title, lower(replace(p_name, ' ', '')) as k from part group by p_name),
-surf as (select distinct surface from (select p_name as surface from part union all select split_part(p_name, ' ', 1) from part union all select p_name || ' 대통령' from part union all select p_type from part)),
-a as (select surface, lower(replace(surface, ' ', '')) as k, lower(replace(regexp_replace(surface, '\\s*(대통령|국방위원장|주석|총리|국무총리|장관|의원|선생|박사|교수|목사|신부|스님|장군|제독|왕|황제|공)$', ''), ' ', '')) as bare from surf),
-r as (select a.surface, e.title as exact, h.title as honorific, (select case when count(*) = 1 and length(a.k) >= 3 then min(title) end from canon c where contains(c.k, a.k)) as partial
-  from a left join canon e on e.k = a.k left join canon h on h.k = a.bare)
-select surface, coalesce(exact, partial, honorific, surface) as resolved, case when exact is not null then 'exact' when partial is not null then 'partial' when honorific is not null then 'honorific' else 'itself' end as how from r""")
+RESPECT_SQL = " ".join(f"when suffix(clean, '{x}') and length(clean) - {len(x)} >= 2 and (select count(*) from canon c where c.k = lower(replace(left(clean, length(clean) - {len(x)}), ' ', ''))) > 0 then (select min(title) from canon c where c.k = lower(replace(left(clean, length(clean) - {len(x)}), ' ', '')))" for x in etl.RESPECT)
+
+
+@query(f"""with canon as (select p_name as title, lower(replace(p_name, ' ', '')) as k from part where p_size % 2 = 0 group by p_name),
+raw as (select surface, count(*) as n, min(p_partkey) as seq from (select p_partkey, unnest([p_name, split_part(p_name, ' ', 1), p_name || ' 대통령', p_name || '대왕', p_type, lower(p_type), p_type || '왕', left(p_name, 2)]) as surface from part) group by surface),
+a as (select *, trim(regexp_replace(surface, '{etl.HONORIFICS}', '')) as clean from raw),
+r as (select *, lower(replace(clean, ' ', '')) as k from a),
+x as (select r.*, (select title from canon c where c.k = r.k) as exact, (select case when count(*) = 1 and length(r.clean) >= 3 then min(title) end from canon c where contains(c.k, r.k)) as partial, case {RESPECT_SQL} end as respect from r),
+f as (select k, clean, sum(n) as n, min(seq) as first from x where exact is null and partial is null and respect is null group by k, clean),
+u as (select k, clean as usual from (select *, row_number() over (partition by k order by n desc, length(clean), first) as nth from f) where nth = 1)
+select surface, coalesce(exact, partial, respect, usual, clean) as resolved, case when exact is not null then 'exact' when partial is not null then 'partial' when respect is not null then 'respect' when usual <> clean then 'surface' else 'itself' end as how from x left join u using (k)""")
 def canonical_resolution(spark, sf) -> DataFrame:
     p = read(spark, sf, "part")
-    canon = p.select(text.key(F.col("p_name")).alias("key"), F.col("p_name").alias("title"), F.col("p_partkey").alias("seq"))
-    surfaces = p.select(F.explode(F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat("p_name", F.lit(" 대통령")), "p_type")).alias("surface")).distinct()
+    canon = p.where("p_size % 2 = 0").select(text.key(F.col("p_name")).alias("key"), F.col("p_name").alias("title"), F.col("p_partkey").alias("seq"))
+    forms = F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat("p_name", F.lit(" 대통령")), F.concat("p_name", F.lit("대왕")), "p_type", F.lower("p_type"), F.concat("p_type", F.lit("왕")), F.substring("p_name", 1, 2))
+    surfaces = p.select("p_partkey", F.explode(forms).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"), F.min("p_partkey").alias("seq"))
     return etl.resolve(surfaces, canon)
 
 
+@query(r"""with d as (select doc_id, case doc_id % 4 when 0 then '그의 호(號)는 도산 (島山)이다' when 1 then '호는 백범이다' when 2 then '호는 산' else text end as body from documents),
+e as (select doc_id, coalesce(nullif(regexp_extract(left(body, 3000), '호(?:\(號\))?는\s*([가-힣]{1,4})\s*[(（]', 1), ''), nullif(regexp_extract(left(body, 3000), '호는\s*([가-힣]{2,4})', 1), '')) as pen from d) select doc_id, case when length(pen) >= 2 then pen end as pen from e""")
+def pen_names(spark, sf) -> DataFrame:
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, "그의 호(號)는 도산 (島山)이다").when(k == 1, "호는 백범이다").when(k == 2, "호는 산").otherwise(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", etl.pen_name(body).alias("pen"))
+
+
+@query(SQL + ", prev as (select src as qid, dst as id, row_number() over (partition by src order by s, d, kind) - 1 as pos from credits where kind = 'ACTED_IN') select qid, cast(pos as int) as pos, id from prev join films using (id) where seq % 5 <> 0")
+def previous_answer(spark, sf) -> DataFrame:
+    """The films of a previous answer in its order, without those that are no longer known."""
+    told = credits(spark, sf).where("kind = 'ACTED_IN'").groupBy(F.col("src").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "dst"))), lambda x: x["dst"]).alias("ids"))
+    return resolve.in_order(told, films(spark, sf).where("seq % 5 <> 0").select("id")).select("qid", "pos", "id")
+
+
 COMPONENT_SQL = HISTORY_SQL.replace("with hnodes", "with recursive hnodes", 1) + """, links as (select src as a, dst as b from hedges where kind = 'MEMBER_OF' union all select dst, src from hedges where kind = 'MEMBER_OF'),
 reach(id, root) as (select id, id from hnodes where type <> 'Event' union select l.b, r.root from reach r join links l on l.a = r.id where r.root < l.b)"""
 
