@@ -127,6 +127,17 @@ def test_walks_equal_a_sequential_one(spark):
         assert (got[q].ids, got[q].dropped, got[q].blocked) == (order, dropped, blocked)
 
 
+def test_sweep_equals_single_walks(spark):
+    from wayfind.plans import history_queries as h
+
+    got = {r.cfg: (r.mean_evidence, r.dropped, r.blocked) for r in h.history_sweep(spark, SF).collect()}
+    n, e = h.hnodes(spark, SF), h.hedges(spark, SF)
+    begin = n.where("type = 'Person'").select(F.col("id").alias("qid"), F.lit(1).alias("pos"), "id")
+    for hops, top, most, per in (h.SETTINGS[2], h.SETTINGS[3]):
+        alone = traverse.expand_undirected(begin, n, e, graph.hubs(graph.degree(n, e), top), max_hops=hops, max_nodes=most, per_kind=per)
+        assert got[f"{hops}/{top}/{most}/{per}"] == tuple(alone.agg(F.round(F.avg(F.size("ids")), 6), F.sum("dropped"), F.sum("blocked")).first())
+
+
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
@@ -190,7 +201,7 @@ def test_pipeline_of_a_domain(spark, tmp_path, capsys):
     got = [json.loads(x) for x in cli(["history", str(path), *asked], spark)]
     capsys.readouterr()
     assert [" ".join(r["trace"]) for r in got] == ["followup route seeds expand assemble answer", "followup route refuse", "followup route seeds refuse", "followup route seeds expand assemble answer"]
-    assert got[0]["seed_ids"] == ["안창호"] and [t["dst"] for t in got[0]["triples"]] == ["신민회", "흥사단", "신민회"] and got[0]["sources"] == ["안창호", "흥사단", "신민회"]
+    assert got[0]["seed_ids"] == ["안창호"] and [t["dst"] for t in got[0]["triples"]] == ["흥사단", "신민회"] and got[0]["sources"] == ["흥사단", "안창호"] and got[0]["blocked"] == 2  # more quotes first; all are hubs here
     assert got[3]["route_kind"] == "bridge" and got[1]["refused"] and got[2]["refusal_reason"]
     card = {r.pos: r.quote for r in api.history_card(spark, str(path), ["안창호"]).collect()}
     assert card == {1: "안창호가 흥사단을 만들었다.", 2: "안창호는 신민회를 세웠다."}

@@ -91,7 +91,7 @@ def mention_graph(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def density(nodes: DataFrame, mentions: DataFrame, components: DataFrame) -> DataFrame:
-    """One row: edges, mutual pairs, mean degree, share of the largest component, bridges (no seeds, next to two seeds at least), edges within and across eras.
+    """One row: edges, mutual pairs, mean degree, share of the largest component, bridges (no seeds, next to two seeds at least), edges within and across eras, and the least number within one.
 
     nodes: title, era, is_seed; components: id, component.
     """
@@ -104,4 +104,6 @@ def density(nodes: DataFrame, mentions: DataFrame, components: DataFrame) -> Dat
     bridges = both.join(seeds, "dst", "left_semi").groupBy("src").agg(F.count("*").alias("k")).where("k >= 2").join(nodes.where("not is_seed").select(F.col("title").alias("src")), "src", "left_semi").agg(F.count("*").alias("bridges"))
     era = lambda c: nodes.select(F.col("title").alias(c), F.col("era").alias(f"{c}_era"))
     within = mentions.join(era("src"), "src").join(era("dst"), "dst").agg(F.count("*").alias("edges"), F.count_if(F.col("src_era") == F.col("dst_era")).alias("within"), F.count_if(F.col("src_era") != F.col("dst_era")).alias("across"))
-    return within.crossJoin(mutual).crossJoin(mean).crossJoin(largest).crossJoin(bridges)  # one row each
+    era_pairs = mentions.join(era("src"), "src").join(era("dst"), "dst").where(F.col("src_era") == F.col("dst_era")).groupBy(F.col("src_era").alias("era")).agg(F.count("*").alias("n"))
+    least = nodes.select("era").distinct().join(era_pairs, "era", "left").agg(F.min(F.coalesce("n", F.lit(0))).alias("least_within"))
+    return within.crossJoin(least).crossJoin(mutual).crossJoin(mean).crossJoin(largest).crossJoin(bridges)  # one row each

@@ -95,12 +95,15 @@ comp as (select id, min(root) as component from reach group by id),
 br as (select src from u join t s on s.title = u.dst and s.is_seed group by src having count(*) >= 2)
 select (select count(*) from m) as edges, (select count(*) from m a join m b on a.src = b.dst and a.dst = b.src) // 2 as mutual, round((select count(*) from u) / (select count(*) from t), 6) as mean_degree,
   round((select max(k) from (select count(*) as k from comp group by component)) / (select count(*) from t), 6) as largest, (select count(*) from br join t on t.title = br.src where not is_seed) as bridges,
-  (select count(*) from m join t a on a.title = m.src join t b on b.title = m.dst where a.era = b.era) as within, (select count(*) from m join t a on a.title = m.src join t b on b.title = m.dst where a.era <> b.era) as across""")
+  (select count(*) from m join t a on a.title = m.src join t b on b.title = m.dst where a.era = b.era) as within, (select count(*) from m join t a on a.title = m.src join t b on b.title = m.dst where a.era <> b.era) as across,
+  (select min(n) from (select a.era, count(m.src) filter (b.era = a.era) as n from t a left join m on m.src = a.title left join t b on b.title = m.dst group by a.era)) as least_within,
+  (select count(*) from u) / (select count(*) from t) >= 5 and (select max(k) from (select count(*) as k from comp group by component)) / (select count(*) from t) >= 0.8 and (select count(*) from br join t on t.title = br.src where not is_seed) >= 50
+    and (select min(n) from (select a.era, count(m.src) filter (b.era = a.era) as n from t a left join m on m.src = a.title left join t b on b.title = m.dst group by a.era)) >= 50 as passes""")
 def density_report(spark, sf) -> DataFrame:
     docs, names = title_docs(spark, sf)
     m = build.mention_graph(docs, names)
     parts_ = etl.components(docs.select(F.col("title").alias("id")), m)
-    return build.density(docs, m, parts_).select("edges", "mutual", F.round("mean_degree", 6).alias("mean_degree"), F.round("largest", 6).alias("largest"), "bridges", "within", "across")
+    return build.density(docs, m, parts_).select("edges", "mutual", F.round("mean_degree", 6).alias("mean_degree"), F.round("largest", 6).alias("largest"), "bridges", "within", "across", "least_within", etl.gate(F.col("mean_degree"), F.col("largest"), F.col("bridges"), F.col("least_within")).alias("passes"))
 
 
 @query(EXTRACTED_SQL + " select src, count(distinct kind) as n from x group by src having count(distinct kind) > 1")
