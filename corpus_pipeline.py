@@ -43,12 +43,12 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Language ID, MinHash and BPE have no SQL form; tests hold the stages against brute force.
+#: Language ID, MinHash and BPE have no SQL form; a test holds each stage's rows, on its own input, against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
+    """All stages over documents, each written as Parquet to a new folder of the shared one, where it stays, and read again."""
     docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
