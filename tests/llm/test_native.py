@@ -1,15 +1,19 @@
 """The native operators and the pipeline: against plain versions, SQL, and on awkward rows."""
 
 import datetime as dt
+import hashlib
 import os
 import random
 
 import duckdb
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_dedup import near_brute
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wayfind.llm import decontaminate, line_dedup, queries, url_filter
+from wayfind.llm import decontaminate, language_id, line_dedup, minhash_dedup, queries, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -155,16 +159,67 @@ def test_near_copies_of_items(spark):
 
 
 def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {}
+    """Each stage's rows, on its own input, against a plain version."""
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
+        before, out = docs.collect(), stage(spark, docs, SF)
         rows = out.collect()
-        if name != "bpe":
-            assert out.columns == docs.columns
-            assert len(rows) >= 0.8 * docs.count()
-            docs = spark.createDataFrame(rows, docs.schema)
+        texts = {r.doc_id: r.text for r in before}
+        if name == "language_id":
+            judged = {r.doc_id: r for r in language_id.identify(docs).collect()}
+            fits = lambda r: r.lang_pred != "und" and (r.symbols < language_id.FIT_SYMBOLS or r.bits <= language_id.FIT_BITS)
+            want = {r for r in before if any(c.isalpha() for c in r.text or "") and fits(judged[r.doc_id])}
+            assert len(want) > 0.9 * len(before)
+        elif name == "line_dedup":
+            short = {i: (text, gone) for i, _, _, gone, text in lines_brute([(r.doc_id, r.text) for r in before], line_dedup.RUN)}
+            want = set()
+            for r in before:
+                text, gone = short[r.doc_id]
+                if gone == 0:
+                    want.add(r)
+                elif gone < len(r.text.split("\n")):
+                    want.add(type(r)(**(r.asDict() | {"text": text, "n_chars": len(text)})))
+        elif name == "near_dedup":
+            stay = {i for i, _, c, _ in near_brute([(r.doc_id, r.text) for r in before], 5) if i == c}
+            want = {r for r in before if r.doc_id in stay}
+        elif name == "decontamination":
+            db = duckdb.connect()
+            db.execute(f"create table benchmark as select * from '{SF}/benchmark.parquet'")
+            db.execute("create table documents (doc_id bigint, text varchar)")
+            db.executemany("insert into documents values (?, ?)", list(texts.items()))
+            hit = {r[0] for r in db.execute(queries.OP4_SQL).fetchall()}
+            want = {r for r in before if r.doc_id not in hit}
+        else:
+            ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+            assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == {(i, len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+            break
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, want), key=str), name
         kept[name] = len(rows)
-    assert kept["bpe"] == kept["decontamination"] > 0
+        docs = spark.createDataFrame(rows, docs.schema)
     done = corpus_pipeline.run(spark, SF)
-    assert done.count() == kept["bpe"] and done.where(F.col("n_tokens") < 1).count() == 0
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, rows)) and done.count() == kept["decontamination"] > 0
+
+
+def test_one_id_with_several_texts(spark):
+    """A row is near to another by its own text; of one id the row of the smallest text hash stays."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, 1), (2, words, 2), (3, "other text of its own here", 3), (3, "a second text of this id", 4), (None, words, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, nth int")
+    for df in (table, table.repartition(3)):
+        got = minhash_dedup.keep_one(df).collect()
+        assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 3] and table.columns == minhash_dedup.keep_one(df).columns
+    assert {r.nth for r in minhash_dedup.keep_one(table).collect()} == {r.nth for r in minhash_dedup.keep_one(table.repartition(4)).collect()}
+
+
+def test_fingerprints_are_selected(spark):
+    """At a window of four, under half of the lines are fingerprints; tables whose columns have the operator's names pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").withColumn("text_key", F.xxhash64("text"))
+    lines = docs.select(F.sum(F.size(F.split("text", "\n")))).first()[0]
+    assert 0 < line_dedup.fingerprints(docs, 4).count() < lines / 2
+    odd = spark.createDataFrame([(1, "a\nb", "x", "y"), (2, "a\nb\nc", "x", "y")], "doc_id long, text string, found string, __id string")
+    assert sorted(map(tuple, line_dedup.shorten(odd).collect())) == [(1, "a\nb", "x", "y"), (2, "c", "x", "y")]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import broadcast_if_small, connected_components, cut, tune
+from wayfind.llm.common import broadcast_if_small, connected_components, cut, fresh, tune
 from wayfind.llm.wordhash import WordHash, mix, shingle_set
 
 CHUNKS, WIDTH = 14, 5
@@ -264,8 +264,11 @@ def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "d
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with one document of each group of near-duplicates: that of the smallest id.
 
-    Repeated rows of one id leave one. Rows without an id stay. All columns unchanged.
+    Of several rows of one id the one of the smallest text hash stays, so that a task that
+    runs again chooses alike. Rows without an id stay. All columns unchanged.
     """
     gone = dedup(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    left = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    nth = fresh(docs, "nth")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string")))
+    left = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    return left.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
