@@ -301,7 +301,7 @@ st0 as (select qid, list(id order by pos) as ids, list('' order by pos) as srcs,
         full = f"d < {per}" if exempt != "DIRECTED" else "true"
         out += f""",
 fr{h} as (select qid, unnest(ids) as film, unnest(range(len(ids))) as fpos, old from st{h - 1} where len(ids) < {most}),
-ca{h} as (
+ca{h} as materialized (
   select f.qid, f.film, p.name, u.dst as target, u.kind, row_number() over (partition by f.qid order by f.fpos, v.ppos, u.s, u.d, u.kind) as n
   from fr{h} f join via v on v.film = f.film join used u on u.src = v.person join people p on p.id = v.person where f.fpos >= f.old),
 wa{h}(qid, n, ids, srcs, vias, a, d, dropped) as (
@@ -373,7 +373,7 @@ HISTORY_WALK_SQL = HISTORY_SQL.replace("with hnodes", "with recursive hnodes", 1
 near as (select src as node, dst as other, kind, 0 as inward, src, dst from hedges union all select dst, src, kind, 1, src, dst from hedges),
 st0 as (select c_custkey as qid, ['c' || c_custkey] as ids, 0 as p, 0 as a, 0 as m, 0 as dropped, 0 as old from customer)""" + "".join(f""",
 fr{h} as (select qid, unnest(ids) as node, unnest(range(len(ids))) as fpos, old from st{h - 1} where len(ids) < 80),
-ca{h} as (select f.qid, e.other as target, e.kind, row_number() over (partition by f.qid order by f.fpos, e.inward, e.kind, e.src, e.dst) as n from fr{h} f join near e on e.node = f.node where f.fpos >= f.old and ({h} = 1 or f.node not in (select id from hubs))),
+ca{h} as materialized (select f.qid, e.other as target, e.kind, row_number() over (partition by f.qid order by f.fpos, e.inward, e.kind, e.src, e.dst) as n from fr{h} f join near e on e.node = f.node where f.fpos >= f.old and ({h} = 1 or f.node not in (select id from hubs))),
 wa{h}(qid, n, ids, p, a, m, dropped) as (
   select qid, 0, ids, p, a, m, dropped from st{h - 1}
   union all
