@@ -175,7 +175,7 @@ def test_pipeline(spark):
             want = {r for r in before if any(c.isalpha() for c in r.text or "") and fits(judged[r.doc_id])}
             assert len(want) > 0.9 * len(before)
         elif name == "line_dedup":
-            short = {i: (text, gone) for i, _, _, gone, text in lines_brute([(r.doc_id, r.text) for r in before], line_dedup.RUN)}
+            short = {i: (text, gone) for i, _, gone, text in lines_brute([(r.doc_id, r.text) for r in before], line_dedup.RUN)}
             want = set()
             for r in before:
                 text, gone = short[r.doc_id]

@@ -166,17 +166,16 @@ _mapped: dict[str, Lexicon] = {}
 def open_mapped(blob: bytes) -> Lexicon:
     """The lexicon over a memory-mapped file in this worker's own temporary folder.
 
-    A few MB that any worker can write again from the broadcast; nothing else reads it.
+    A few MB that any worker can write again from the broadcast. Nothing else reads the
+    file, so that its name goes as soon as it is mapped and nothing is left behind.
     """
-    key = hashlib.sha256(blob).hexdigest()[:24]
+    key = hashlib.sha256(blob).hexdigest()
     if key not in _mapped:
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{key}.bin")
-        if not os.path.exists(path):
-            fd, part = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(fd, "wb") as f:
-                f.write(blob)
-            os.replace(part, path)
+        fd, path = tempfile.mkstemp(prefix="lexicon-")
+        with os.fdopen(fd, "wb") as f:
+            f.write(blob)
         flat = np.memmap(path, np.uint8, "r")
+        os.unlink(path)
         sizes, at, arrays = flat[:56].view(np.int64).tolist(), 56, {}
         for name, n in zip(Lexicon.NAMES, sizes):
             kind = np.dtype(np.uint8 if name in ("label", "final") else np.int32)
