@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import bpe_codec, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, substring_dedup, token_count, url_filter
-from wayfind.llm.common import tune
+from wayfind.llm import bpe_codec, collocations, decontaminate, embedding_dedup, exact_dedup, language_id, license_scan, line_dedup, minhash_dedup, prefix_trie, substring_dedup, token_count, url_filter
+from wayfind.llm.common import cut, tune
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,98 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
-OPERATORS = (op1_url_filter, op2_line_dedup, op3_language_id, op4_decontaminate, op5_token_count, op6_bpe_codec, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_embedding_near_dedup)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with texts as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
+select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = min(doc_id) over same as kept, sha256(norm) as text_sha256
+from texts window same as (partition by norm)
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with pieces as (
+  select lang, piece, row_number() over () as id from (
+    select coalesce(lang, 'und') as lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)),
+words as (select id, lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') as w from pieces),
+counts as (
+  select lang, k, phrase, count(*) as f from (
+    select lang, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') as phrase
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as pos from words, (select unnest(range(1, 6)) as k) where len(w) >= k))
+  group by lang, k, phrase),
+totals as (select lang, cast(sum(f) as hugeint) as n from counts where k = 1 group by lang),
+often as (select * from counts where f >= 100),
+cuts as (
+  select lang, k, phrase, f, c, array_to_string(list_slice(w, 1, c), ' ') as lft, array_to_string(list_slice(w, c + 1, k), ' ') as rgt
+  from (select *, string_split(phrase, ' ') as w, unnest(range(1, k)) as c from often where k > 1)),
+scores as (
+  select c.lang, c.k, c.phrase, c.f as a, c.c, x.f as l, y.f as r, cast(t.n as bigint) as n,
+    cast((cast(1000 as hugeint) * c.f * t.n) // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from cuts c join often x on x.lang = c.lang and x.phrase = c.lft join often y on y.lang = c.lang and y.phrase = c.rgt join totals t on t.lang = c.lang),
+worst as (select * from scores qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inner_phrases as (
+  select distinct lang, array_to_string(list_slice(w, pos, pos + m - 1), ' ') as phrase, f
+  from (select lang, w, f, m, unnest(range(1, k - m + 2)) as pos from (select lang, f, k, string_split(phrase, ' ') as w, unnest(range(2, k)) as m from often where k > 2))),
+kept as (
+  select * from worst w where not exists (select 1 from inner_phrases i where i.lang = w.lang and i.phrase = w.phrase and 100 * i.f >= 100 * w.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept qualify rank <= 2000
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, rebuilt on an opening that a hundred of them share in part."""
+    turns = cut(prefix_trie.numbered(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(*prefix_trie.share_openings(turns))
+
+
+OP13_SQL = """
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as place
+  from conversations where conv_id is not null),
+ids as (
+  select conv_id, conv_id - conv_id % 100 as donor,
+    -- CRC-32 of the decimal number, bit by bit
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, nothing: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 6 as h
+  from (select distinct conv_id from turns)),
+rebuilt as (
+  select i.conv_id, t.role, t.text, t.place as p, 0 as own from ids i join turns t on t.conv_id = i.donor and t.place <= i.h
+  union all
+  select i.conv_id, t.role, t.text, t.place, 1 from ids i join turns t on t.conv_id = i.conv_id and t.place > i.h),
+placed as (
+  select conv_id, row_number() over (partition by conv_id order by own, p) as depth, length(text) as chars, to_json([role, text]) as turn from rebuilt),
+paths as (
+  select conv_id, depth, chars, string_agg(turn, chr(10)) over (partition by conv_id order by depth) as node,
+    depth = max(depth) over (partition by conv_id) as ends
+  from placed
+  union all
+  select i.conv_id, 0, 0, '', not exists (select 1 from placed p where p.conv_id = i.conv_id) from ids i),
+steps as (select *, lag(node) over (partition by conv_id order by depth) as parent from paths),
+nodes as (
+  select node, any_value(depth) as depth, any_value(chars) as chars, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from steps group by node),
+children as (select parent as node, count(*) as n_children from nodes where depth > 0 group by parent),
+up as (select distinct s.node as below, t.node from steps s join steps t on t.conv_id = s.conv_id and t.depth <= s.depth),
+totals as (
+  select u.node, count(*) filter (where c.n_children is null) as n_leaves, cast(sum((n.n_convs - 1) * n.chars) as bigint) as saved_tokens
+  from up u join nodes n on n.node = u.below left join children c on c.node = u.below group by u.node)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+from nodes n left join children c using (node) join totals t using (node) left join nodes p on p.node = n.parent
+"""
+
+
+OPERATORS = (op1_url_filter, op2_line_dedup, op3_language_id, op4_decontaminate, op5_token_count, op6_bpe_codec, op7_license_scan, op8_minhash_near_dedup, op9_substring_dedup, op10_embedding_near_dedup, op11_exact_dedup, op12_collocations, op13_prefix_trie)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL, "op11_exact_dedup": OP11_SQL, "op12_collocations": OP12_SQL, "op13_prefix_trie": OP13_SQL}
