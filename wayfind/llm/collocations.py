@@ -4,8 +4,9 @@ A task counts phrases in a trie over word names (64-bit hashes; `Trie`): a branc
 on by the next word, a leaf is a hash container of what follows with its counts, and a
 container that grows beyond BURST entries bursts into a branch. When the trie holds more
 than LIMIT entries, its largest subtrees are spilled whole, as sorted runs. Runs are dealt
-to partitions by a phrase's first two words (a word's runs by the word), where they are
-merged; what occurs often enough in all of them stays.
+to partitions by a phrase's first word and an eighth of the second ones (a word's runs by
+the word), where they are merged; what occurs often enough in all of them stays. A run is
+front-coded: a row has only what it doesn't share with the one before.
 
 There are three passes over the texts: words; pairs of frequent words; phrases of three
 to five words all of whose pairs are frequent. A part of a frequent phrase is at least as
@@ -47,7 +48,7 @@ SLICE = 1 << 22
 
 WORD_RUN = "part long, lang string, words binary, counts binary"
 WORDS = "lang string, word string, name long, slot long, n long, total long"
-RUN = "part long, lang string, width long, names binary, counts binary"
+RUN = "part long, lang string, sizes binary, names binary, counts binary"
 PHRASES = "lang string, names array<bigint>, slot long, n long"
 
 
@@ -153,9 +154,31 @@ def planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
 
 
-def from_planes(b: bytes, kind, n: int, width: int = 1) -> np.ndarray:
-    a = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(-1, n).T).view(kind)
-    return a.reshape(n, width) if width > 1 else a.ravel()
+def from_planes(b: bytes, kind, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+
+
+def front_coded(names: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted rows: of each how many names it shares with the one before and how many it has, and the names between."""
+    n, width = names.shape
+    same = np.zeros((n, width), bool)
+    same[1:] = names[1:] == names[:-1]
+    shared = np.where(same.all(1), width, np.argmin(same, 1))
+    long = np.count_nonzero(names, 1)
+    at = np.arange(width)
+    return (shared * 16 + long).astype(np.uint8).tobytes(), planes(names[(at >= shared[:, None]) & (at < long[:, None])])
+
+
+def from_front_coded(sizes: bytes, rest: bytes, width: int) -> np.ndarray:
+    code = np.frombuffer(sizes, np.uint8)
+    shared, long = code // 16, code % 16
+    at = np.arange(width)
+    names = np.zeros((len(code), width), np.uint64)
+    own = (at >= shared[:, None]) & (at < long[:, None])
+    names[own] = from_planes(rest, np.uint64, len(rest) // 8)
+    for j in range(width):  # what is shared stands in the last row that has its own
+        names[:, j] = names[np.maximum.accumulate(np.where(shared <= j, np.arange(len(code)), 0)), j]
+    return names
 
 
 def rows_order(names: np.ndarray) -> np.ndarray:
@@ -265,13 +288,13 @@ def count_phrases(docs: DataFrame, shortest: int, longest: int, parts: int, leas
 
     def runs(lang: str, trie: Trie, keep: int):
         names, counts = trie.spill(keep)
-        part = (mix(names[:, 0] * PRIME + names[:, 1]) >> np.uint64(20)) % np.uint64(parts)
+        part = (mix(names[:, 0] * PRIME + (names[:, 1] >> np.uint64(61))) >> np.uint64(20)) % np.uint64(parts)
         order = np.lexsort((*names.T[::-1], part))
         edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
         out = []
         for k in np.flatnonzero(np.diff(edges)).tolist():
             own = order[edges[k] : edges[k + 1]]
-            out.append((k, lang, longest, planes(names[own]), planes(counts[own])))
+            out.append((k, lang, *front_coded(names[own]), planes(counts[own])))
         return runs_batch(RUN, out)
 
     def count(batches):
@@ -312,7 +335,7 @@ def count_phrases(docs: DataFrame, shortest: int, longest: int, parts: int, leas
         by_lang: dict[str, list] = {}
         for r in table.to_pylist():
             n = len(r["counts"]) // 8
-            by_lang.setdefault(r["lang"], []).append((from_planes(r["names"], np.uint64, n, r["width"]), from_planes(r["counts"], np.int64, n)))
+            by_lang.setdefault(r["lang"], []).append((from_front_coded(r["sizes"], r["names"], longest), from_planes(r["counts"], np.int64, n)))
         out = []
         for lang, got in by_lang.items():
             names, counts = merged(np.concatenate([x for x, _ in got]), np.concatenate([n for _, n in got]))
