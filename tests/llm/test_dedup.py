@@ -124,6 +124,19 @@ def test_repeats_awkward(spark):
     assert substring_dedup.remove_repeats(frame(spark, [(1, "a")]).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 4])
+def test_repeats_of_repeated_rows(spark, copies):
+    """A document that loses words comes back as often as it was given, however its copies are dealt out."""
+    rnd = random.Random(copies)
+    first = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(first)), (9, " ".join(first[:20] + ["other"] + first[30:]))] + [(2, " ".join(first[5:50]))] * copies + [(2, " ".join(first[10:40]) + " another text")] * copies
+    rows += [(i, " ".join(f"x{rnd.randrange(50)}" for _ in range(40))) for i in range(20, 40)]
+    want = repeats_brute(rows)
+    for parts, sizes in ((1, {}), (5, {}), (3, {"flush_words": 70, "range_entries": 40})):
+        got = substring_dedup.remove_repeats(frame(spark, rows).repartition(parts), **sizes).collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_pairs_at_each_distance(spark):
     """Planted pairs from a cosine of 0.93 to 0.99 among others of their label: at least nine of ten of each are found."""
     rng = np.random.default_rng(8)

@@ -110,15 +110,15 @@ class Flush:
     def __init__(self, ranges: int, width: int, block: int | None):
         """width: of the windows that are compared. block: None for the probes, else hits on blocks are extended."""
         self.ranges, self.width, self.block = ranges, width, block
-        self.docs: list[tuple[int, int]] = []
+        self.docs: dict[tuple[int, int], None] = {}
         self.words: list[np.ndarray] = []
         self.hits: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc: int, text_key: int, words: np.ndarray, hits: np.ndarray | None = None) -> None:
-        """hits: spans of the places that were hit."""
-        if len(words) >= self.width:
-            self.docs.append((doc, text_key))
+        """hits: spans of the places that were hit. A row that is there already adds nothing."""
+        if len(words) >= self.width and (doc, text_key) not in self.docs:
+            self.docs[doc, text_key] = None
             self.words.append(words)
             if hits is not None:
                 self.hits.append(hits)
@@ -144,14 +144,17 @@ class Flush:
     def pack(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        order = sorted(range(len(self.docs)), key=self.docs.__getitem__)
-        doc, text = np.array([self.docs[i] for i in order], np.int64).T
+        docs = list(self.docs)
+        order = sorted(range(len(docs)), key=docs.__getitem__)
+        doc, text = np.array([docs[i] for i in order], np.int64).T
         words, ends = np.concatenate([self.words[i] for i in order]), np.cumsum([len(self.words[i]) for i in order])
         h, place, flag = self._entries(words, ends, order)
         # by what it holds, so that a task that runs again names it alike
         number = xxhash.xxh3_64_intdigest(doc.tobytes() + text.tobytes() + ends.tobytes()) - (1 << 63)
-        ids = doc[np.searchsorted(ends, place, "right")]
-        by_hash = np.argsort(h)
+        who = np.searchsorted(ends, place, "right")
+        ids = doc[who]
+        several = len(np.unique(doc)) < len(doc)
+        by_hash = np.argsort(h, kind="stable" if several else None)
         s = h[by_hash]
         new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
         start, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -160,10 +163,14 @@ class Flush:
         first = np.minimum.reduceat(by_hash, start)  # of each hash the entry of the smallest document; places are in their order
         flag = np.maximum.reduceat(flag[by_hash], start)
         more = ids[by_hash] > ids[first][group]
+        if several:  # each text of the smallest document has an entry of its own
+            w = who[by_hash]
+            also = ~more & ~new & np.concatenate([[False], w[1:] != w[:-1]])
+            first, flag = np.concatenate([first, by_hash[also]]), np.concatenate([flag, flag[group[also]]])
         if self.block is None:  # hit, if the hash is in two documents and one of its places is indexed
-            more = (np.maximum.reduceat(more, start) & flag)[group]
+            more = (np.maximum.reduceat(more, start) & flag[: len(start)])[group]
         here = to_spans(place[np.sort(by_hash[more])])
-        rows = [(-1 - (number & 0x7FFFFFFFFFFFFFFF), number, 0, b"", steps(here), steps(doc), b"", planes(text.astype(np.uint16)), steps(ends))]
+        rows = [(-1 - (number & 0x7FFFFFFFFFFFFFFF), number, 0, b"", steps(here), steps(doc), b"", planes(np.ascontiguousarray(text)), steps(ends))]
         part = (h[first] >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)
         by_part = np.lexsort((first, part))  # in a range by place again
         edges = np.searchsorted(part[by_part], np.arange(self.ranges + 1, dtype=np.uint64))
@@ -236,7 +243,7 @@ def _by_document(table: pa.Table) -> pa.Table:
     out = []
     if len(spans):
         own = next(r for r in rows if r["docs"])
-        docs, texts, ends = from_steps(own["docs"], np.int64), from_planes(own["texts"], np.uint16), from_steps(own["ends"], np.int64)
+        docs, texts, ends = from_steps(own["docs"], np.int64), from_planes(own["texts"], np.int64), from_steps(own["ends"], np.int64)
         pairs = merged(spans).astype(np.int64)  # no span reaches over a document's end, as no window begins just before it
         who = np.searchsorted(ends, pairs[:, 0], "right")
         pairs -= np.where(who > 0, ends[who - 1], 0)[:, None]
@@ -247,8 +254,9 @@ def _by_document(table: pa.Table) -> pa.Table:
 
 
 def _spans_of(packed: DataFrame, later_only: bool) -> DataFrame:
-    """(doc_id, text_key, spans) from the packed windows of all map tasks."""
-    return packed.groupBy("part").applyInArrow(_compare(later_only), FOUND).groupBy("flush").applyInArrow(_by_document, SPANS)
+    """(doc_id, text_key, spans) from the packed windows of all map tasks: one row for each text of an id, with the distinct spans of its copies."""
+    found = packed.groupBy("part").applyInArrow(_compare(later_only), FOUND).groupBy("flush").applyInArrow(_by_document, SPANS)
+    return found.groupBy("doc_id", "text_key").agg(F.collect_set("spans").alias("spans"))
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -262,14 +270,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
     `window` words covers it whose words also start in a document of a smaller id; all
     windows are judged on the input. block: 2 * block <= window + 1. A null text has no
     words. A row without an id is never shortened and shortens no other. Repeated rows
-    give repeated rows and don't shorten each other. Other columns are not read. docs
+    give as many rows and don't shorten each other. Other columns are not read. Two texts
+    of one id are told apart, and windows compared, by 64 bits of a hash: one wrong
+    removal is expected among six billion windows around hits. docs
     should be read from files (or a checkpoint): a task that runs again after a lost
     executor must see its rows in the same order.
     """
     if 2 * block > window + 1:
         raise ValueError("a window must hold a whole block wherever it begins")
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     usable = rows.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text")
     # about the number of words; it only sets the number of ranges
     total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -291,7 +301,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
         known, flush = WordHash(), Flush(ranges, window, block)
         for batch in batches:
             for doc, key, text, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                flush.add(doc, key, known.array(words_of(text)), np.frombuffer(spans, np.uint32))
+                flush.add(doc, key, known.array(words_of(text)), np.frombuffer(b"".join(spans), np.uint32))
                 if flush.size >= flush_words:
                     yield from flush.pack()
                     flush = Flush(ranges, window, block)
@@ -299,12 +309,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, wi
 
     later = cut(_spans_of(_with_spans(usable, hits, "inner").mapInArrow(extend, PACKED), True))
 
-    def gone_of(split: list[list[bytes]], spans: list[bytes], known: WordHash) -> list[np.ndarray]:
+    def gone_of(split: list[list[bytes]], spans: list[list[bytes]], known: WordHash) -> list[np.ndarray]:
         """Which words of each text are covered by a window that was found."""
         ends = np.cumsum([len(w) for w in split])
         words = np.concatenate([known.array(w) for w in split])
         begins = ends - np.diff(ends, prepend=0)
-        found = from_spans(np.concatenate([np.frombuffer(s, np.uint32) + np.uint32(b) for s, b in zip(spans, begins)]), len(words))
+        found = from_spans(np.concatenate([np.frombuffer(b"".join(s), np.uint32) + np.uint32(b) for s, b in zip(spans, begins)]), len(words))
         h, place = windows_within(words, ends, window)
         start = grow(h, np.searchsorted(ends, place, "right"), found[place])
         return np.split(from_spans(to_spans(place[start], window), len(words)), ends[:-1])
