@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     p.add_argument("--docs")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("wayfind").getOrCreate()
-    out = api.ask_history(spark, a.path, a.questions, a.docs) if a.graph == "history" else api.movie_seeds(spark, a.path, a.questions)
+    out = api.ask_history(spark, a.path, a.questions, a.docs) if a.graph == "history" else api.ask_movies(spark, a.path, a.questions)
     lines = out.orderBy("qid").toJSON().collect()  # a row for each question of the command line
     print("\n".join(lines))
     return lines

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.operators import domain, focus, graph, resolve, seeds
+from wayfind.operators import domain, focus, graph, movies
 from wayfind.sources import files
 
 
@@ -43,16 +43,28 @@ def history_focus(spark: SparkSession, path: str, ids: list[str]) -> tuple[DataF
     return focus.history_focus(g["edges"], graph.degree(g["nodes"], g["edges"]), g["nodes"].where(F.col("id").isin(ids)))
 
 
-def movie_seeds(spark: SparkSession, path: str, questions: list[str]) -> DataFrame:
-    """A row for each question about films: route, reason, signal, seeds and what it wrongly takes for granted."""
+def movie_domain(spark: SparkSession, path: str, **options) -> movies.Movies:
+    """The domain of films of a graph file."""
     g = files.read_movie_graph(spark, path)
-    asked = spark.createDataFrame(list(enumerate(questions)), "qid long, question string")
     m = g["movies"]
-    films = m.select("id", "seq", F.col("tmdbId").alias("tmdb_id"), "title", F.col("originalTitle").alias("original_title"), "year", "overview", "genres", (F.col("originalLanguage") == "ko").alias("ko"), "popularity", F.coalesce("awards", F.array().cast(m.schema["awards"].dataType)).alias("awards"))
+    films = m.select(
+        "id", "seq", F.col("tmdbId").alias("tmdb_id"), "title", F.col("originalTitle").alias("original_title"), "year", F.col("releaseDate").alias("release_date"), "overview", F.coalesce("genres", F.array().cast("array<string>")).alias("genres"),
+        (F.col("originalLanguage") == "ko").alias("ko"), "popularity", F.coalesce("voteAverage", F.lit(0.0)).alias("vote_average"), F.coalesce("voteCount", F.lit(0)).alias("vote_count"), F.coalesce("awards", F.array().cast(m.schema["awards"].dataType)).alias("awards"),
+    )
     awards = F.transform("awards", lambda a: F.struct(a["award"].alias("award"), a["year"].alias("year"), a["forTmdb"].alias("for_tmdb"), a["forTitle"].alias("for_title")))
-    people = g["people"].select("id", "seq", "name", "aliases", "popularity", F.coalesce(awards, F.array().cast("array<struct<award string, year int, for_tmdb string, for_title string>>")).alias("awards"))
-    found = seeds.sources(asked, films, people, g["edges"], resolve.people_in(asked, people), resolve.titles_in(asked, films))
-    return seeds.find_seeds(found).withColumn("premise", seeds.check_premise()).select("qid", "question", "route", "reason", "signal", "seeds", "premise")
+    none = F.array()
+    people = g["people"].select("id", "seq", "name", F.coalesce("aliases", none.cast("array<string>")).alias("aliases"), "popularity", F.coalesce(awards, none.cast("array<struct<award string, year int, for_tmdb string, for_title string>>")).alias("awards"))
+    return movies.Movies(films, people, g["edges"], **options)
+
+
+def ask_movies(spark: SparkSession, path: str, questions: list[str], previous: tuple[str, list[str]] | None = None, **options) -> DataFrame:
+    """A row for each question: route, seeds, evidence, steps, block of evidence, broken premise, refusal and trace.
+
+    previous: the last question and the ids of its films, which the questions may point back at.
+    """
+    last, ids = previous or (None, [])
+    asked = spark.createDataFrame([(i, q, ids, last) for i, q in enumerate(questions)], "qid long, question string, previous array<string>, previous_question string")
+    return domain.run(movie_domain(spark, path, **options), asked)
 
 
 def movie_focus(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:

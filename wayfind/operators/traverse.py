@@ -48,17 +48,18 @@ def start(seeds: DataFrame, nodes: DataFrame, most: int, per_kind: int, max_hops
     )
 
 
-def fold(candidates: Column, exempt: list[str]) -> Column:
+def fold(candidates: Column, exempt: list[str] | Column) -> Column:
     """The state after all candidates: struct(ids, taken (index of a candidate), quota), from columns ids, quota, most, per_kind.
 
-    candidates: array of structs with target and kind, in order.
+    candidates: array of structs with target and kind, in order. exempt: kinds without a
+    quota, the same for all, or a column with each state's own.
     """
     indexed = F.transform(candidates, lambda c, i: F.struct(c["target"].alias("target"), c["kind"].alias("kind"), i.alias("i")))
     zero = F.struct(F.col("ids").alias("ids"), F.array().cast("array<int>").alias("taken"), F.col("quota").alias("quota"))
 
     def step(s: Column, c: Column) -> Column:
         used = F.coalesce(s["quota"][c["kind"]], F.lit(0))
-        free = c["kind"].isin(exempt) if exempt else F.lit(False)
+        free = F.array_contains(exempt, c["kind"]) if isinstance(exempt, Column) else c["kind"].isin(exempt) if exempt else F.lit(False)
         rest = F.map_filter(s["quota"], lambda k, _: k != c["kind"])
         quota = F.when(free, s["quota"]).otherwise(F.map_concat(rest, F.create_map(c["kind"], used + 1)))
         taken = F.struct(F.concat(s["ids"], F.array(c["target"])).alias("ids"), F.concat(s["taken"], F.array(c["i"])).alias("taken"), quota.alias("quota"))
@@ -68,8 +69,11 @@ def fold(candidates: Column, exempt: list[str]) -> Column:
     return F.aggregate(indexed, zero, step)
 
 
-def advance(state: DataFrame, candidates: DataFrame, hop: int, exempt: list[str], widest: int) -> DataFrame:
-    """State after a hop. candidates: qid, at (order), src, target, kind, via. widest: most + per_kind of any question."""
+STATE = ["qid", "ids", "taken", "n_seeds", "quota", "dropped", "blocked", "most", "per_kind", "max_hops"]
+
+
+def advance(state: DataFrame, candidates: DataFrame, hop: int, exempt: list[str] | Column, widest: int) -> DataFrame:
+    """State after a hop; other columns of it stay. candidates: qid, at (order), src, target, kind, via. widest: most + per_kind of any question."""
     known = state.select("qid", F.explode("ids").alias("target"))
     new = candidates.join(known, ["qid", "target"], "left_anti")
     # how often, and when, a target comes up by a kind: once for each way there from the last hop's nodes
@@ -88,6 +92,7 @@ def advance(state: DataFrame, candidates: DataFrame, hop: int, exempt: list[str]
     after = folded.select(
         "qid", F.col("f.ids").alias("ids"), F.concat("taken", F.transform("f.taken", grown)).cast(TAKEN).alias("taken"), "n_seeds", F.col("f.quota").alias("quota"), "dropped", "blocked",
         F.transform("f.taken", lambda i: F.struct(F.get("cands", i)["target"].alias("target"), F.get("cands", i)["at"].alias("when"))).alias("now"), "most", "per_kind", "max_hops",
+        *(c for c in state.columns if c not in STATE),
     )
     # every candidate is dropped but a target's own and those after it
     now = after.select("qid", F.inline("now"))
@@ -96,9 +101,9 @@ def advance(state: DataFrame, candidates: DataFrame, hop: int, exempt: list[str]
     return after.join(missed, "qid", "left").withColumn("dropped", F.col("dropped") + F.coalesce("missed", F.lit(0))).drop("now", "missed")
 
 
-def frontier(state: DataFrame, hop: int) -> DataFrame:
-    """qid, fpos, src: what was taken in the last hop, in order, by questions that aren't full and may go on."""
-    return state.where((F.size("ids") < F.col("most")) & (F.col("max_hops") >= hop)).select("qid", F.posexplode(F.filter("taken", lambda t: t["hop"] == hop - 1)).alias("fpos", "t")).select("qid", "fpos", F.col("t.id").alias("src"))
+def frontier(state: DataFrame, hop: int, *keep: str) -> DataFrame:
+    """qid, fpos, src (and columns of the state to keep): what was taken in the last hop, in order, by questions that aren't full and may go on."""
+    return state.where((F.size("ids") < F.col("most")) & (F.col("max_hops") >= hop)).select("qid", *keep, F.posexplode(F.filter("taken", lambda t: t["hop"] == hop - 1)).alias("fpos", "t")).select("qid", *keep, "fpos", F.col("t.id").alias("src"))
 
 
 def _widest(most: int, per_kind: int, settings: DataFrame | None) -> tuple[int, int]:
@@ -130,6 +135,33 @@ def expand_through_people(seeds: DataFrame, films: DataFrame, edges: DataFrame,
     return state
 
 
+def expand_by_plan(seeds: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, plans: dict[str, tuple[list[str], list[str]]], max_films: int = 10, per_relation: int = 4, max_hops: int = 2, people_per_film: int = 5) -> DataFrame:
+    """State of each question of seeds (qid, plan, pos, id), each by its own plan: (kinds that it follows, kinds without a quota).
+
+    One walk: plans are columns of the state, and what films lead to is kept once for
+    each different set of kinds. A plan without kinds stays at its seeds.
+    """
+    from wayfind.operators.graph import credit_order
+
+    spark = seeds.sparkSession
+    sets = {k: i for i, k in enumerate(dict.fromkeys(tuple(sorted(kinds)) for kinds, _ in plans.values() if kinds))}
+    named = spark.createDataFrame([(name, sets.get(tuple(sorted(kinds)), -1), exempt) for name, (kinds, exempt) in plans.items()], "plan string, kinds int, exempt array<string>")
+    chosen = spark.createDataFrame([(k, i) for ks, i in sets.items() for k in ks], "kind string, kinds int")
+    of = seeds.select("qid", "plan").distinct().join(F.broadcast(named), "plan").select("qid", "kinds", "exempt")
+    state = checkpointed(start(seeds, films, max_films, per_relation, max_hops).join(of, "qid"))
+    used = edges.join(films.select(F.col("id").alias("dst")), "dst", "left_semi").join(F.broadcast(chosen), "kind")
+    first = Window.partitionBy("kinds", "dst").orderBy(credit_order({"DIRECTED": -1}), "seq")
+    via = used.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= people_per_film).join(people.select(F.col("id").alias("src"), "name"), "src").select("kinds", F.col("dst").alias("film"), F.col("pos").alias("ppos"), F.col("src").alias("person"), "name")
+    onward = used.select("kinds", F.col("src").alias("person"), F.col("dst").alias("target"), "kind", "seq")
+    for hop in range(1, max_hops + 1):
+        cands = frontier(state, hop, "kinds").withColumnRenamed("src", "film").join(via, ["kinds", "film"]).join(onward, ["kinds", "person"])
+        cands = cands.select("qid", F.struct("fpos", "ppos", "seq").alias("at"), F.col("film").alias("src"), "target", "kind", F.col("name").alias("via"))
+        state = advance(state, cands, hop, F.col("exempt"), max_films + per_relation)
+        if hop < max_hops:
+            state = checkpointed(state)
+    return state
+
+
 def expand_undirected(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hubs: DataFrame, max_hops: int = 2, max_nodes: int = 80, per_kind: int = 12, settings: DataFrame | None = None) -> DataFrame:
     """State of each question: along edges in either direction; hubs are reached, but passed only as seeds.
 

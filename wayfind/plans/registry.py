@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from wayfind.plans import answer_queries, batch_queries, history_queries, queries, seed_queries  # noqa: F401  each registers its own
+from wayfind.plans import answer_queries, batch_queries, history_queries, movie_queries, queries, seed_queries  # noqa: F401  each registers its own
 
 QUERIES, ORACLE = queries.QUERIES, queries.ORACLE
