@@ -44,6 +44,14 @@ def build_index(docs: DataFrame, boost: int = TITLE_BOOST, asked: DataFrame | No
     return Index(counts.join(df, "tok"), totals)
 
 
+def frequencies(docs: DataFrame, boost: int = TITLE_BOOST) -> DataFrame:
+    """tok, df, tf over all docs (id, title, text): one aggregation, combined before the shuffle."""
+    tokens = F.concat(F.flatten(F.array_repeat(tokenize(F.coalesce("title", F.lit(""))), boost)), tokenize(F.coalesce("text", F.lit(""))))
+    once = lambda toks, n: F.transform(toks, lambda t: F.struct(t.alias("tok"), F.lit(n).alias("first")))
+    rows = docs.select(tokens.alias("toks")).select(F.inline(F.concat(once(F.col("toks"), 0), once(F.array_distinct("toks"), 1))))
+    return rows.groupBy("tok").agg(F.sum("first").alias("df"), F.count_if(F.col("first") == 0).alias("tf"))
+
+
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """qid, id, score of every document that shares a token with a query (qid, text); a token counts as often as it is asked."""
     asked = queries.select("qid", F.explode(tokenize(F.coalesce("text", F.lit("")))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("times"))

@@ -110,10 +110,24 @@ def drop_reasons(edges: DataFrame, office: Column | None = None, foreign: Column
     return edges.withColumn("drop_reason", F.when(office, "office").when(foreign, "foreign").when(a == b, "self").when((F.length(a) < short) | (F.length(b) < short), "short"))
 
 
-def merge_triples(edges: DataFrame) -> DataFrame:
-    """One row for each (src, kind, dst): quotes and docs without repeats, in the order of seq."""
-    in_order = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]))
-    return edges.groupBy("src", "kind", "dst").agg(in_order("quote").alias("quotes"), in_order("doc").alias("docs"), F.min("seq").alias("seq"))
+def merge_triples(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """One row for each (src, kind, dst): quotes and docs without repeats, in the order of seq, and n_quotes, n_docs of them.
+
+    Repeats go before anything is gathered, combined in each task. most: only so many of
+    each are listed, so that a triple with a million quotes is as short a row as any.
+    """
+    key = ["src", "kind", "dst"]
+    both = F.array(F.struct(F.lit("quote").alias("what"), F.col("quote").cast("string").alias("value")), F.struct(F.lit("doc").alias("what"), F.col("doc").cast("string").alias("value")))
+    once = edges.select(*key, "seq", F.inline(both)).groupBy(*key, "what", "value").agg(F.min("seq").alias("seq"))
+    n = [F.count(F.when(F.col("what") == w, 1)).alias(f"n_{w}s") for w in ("quote", "doc")]
+    counts = None
+    if most is not None:
+        counts = once.groupBy(*key).agg(*n, F.min("seq").alias("seq"))
+        once = once.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "what").orderBy("seq"))).where(F.col("nth") <= most)
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == w, F.struct("seq", "value")))), lambda x: x["value"]).alias(f"{w}s") for w in ("quote", "doc")]
+    if counts is not None:
+        return counts.join(once.groupBy(*key).agg(*listed), key)
+    return once.groupBy(*key).agg(*listed, *n, F.min("seq").alias("seq"))
 
 
 def majority(votes: DataFrame, by: str, choice: str, *ties: Column) -> DataFrame:

@@ -44,15 +44,6 @@ def characters_named(spark, sf) -> DataFrame:
     return answer.characters(asks(spark, sf), scope, parts(spark, sf), stars(spark, sf), shows(spark, sf))
 
 
-@query(CINEMA + """, a as (select f.id, q.qid, unnest(f.awards) as a, unnest(range(len(f.awards))) as i, q.question from shows f join asks q on q.qid % 100 = f.seq % 100 where len(f.awards) > 0),
-h as (select *, len(list_filter(regexp_extract_all(a.award, '[가-힣]{2,}'), lambda w: contains(replace(question, ' ', ''), w))) > 0 as hit from a)
-select qid, id, string_agg(a.award, '|' order by hit desc, i) as shown from h group by qid, id""")
-def awards_shown(spark, sf) -> DataFrame:
-    """A film's awards, those that a question asks for first."""
-    rows = asks(spark, sf).join(shows(spark, sf).where(F.size("awards") > 0), F.col("qid") % 100 == F.col("seq") % 100)
-    return rows.select("qid", "id", F.array_join(F.transform(answer.pick_awards(F.col("awards"), F.col("question")), lambda a: a["award"]), "|").alias("shown"))
-
-
 @query(SAID + """, a as (select p.qid, p.rank, s.name as person, unnest(s.awards) as a, unnest(range(len(s.awards))) as i, q.question from pin p join stars s using (id) join asks q using (qid)),
 h as (select *, len(list_filter(regexp_extract_all(a.award, '[가-힣]{2,}'), lambda w: contains(replace(question, ' ', ''), w))) > 0 as hit from a),
 o as (select *, row_number() over (partition by qid, rank order by hit desc, a.for_title is null, i) as k from h)
@@ -62,18 +53,11 @@ def person_awards_shown(spark, sf) -> DataFrame:
 
 
 def walked(spark, sf) -> DataFrame:
-    """Evidence of all questions from their seeds, by their route's plan: one walk for each different plan."""
+    """Evidence of all questions from their seeds, each by its route's plan, in one walk."""
 
     def make():
-        rows, found = seeds.find_seeds(_sources(spark, sf)), None
-        plans = {}
-        for name, (kinds, exempt) in route.PLANS.items():
-            plans.setdefault((tuple(sorted(kinds)), tuple(exempt)), []).append(name)
-        for (kinds, exempt), names in plans.items():
-            begin = rows.where(F.col("route").isin(names) & (F.col("route") != "out_of_scope")).select("qid", F.posexplode("seeds").alias("pos", "id"))
-            got = traverse.evidence(traverse.expand_through_people(begin, shows(spark, sf), parts(spark, sf), stars(spark, sf), list(kinds), list(exempt)))
-            found = got if found is None else found.unionByName(got)
-        return found
+        begin = seeds.find_seeds(_sources(spark, sf)).where("route <> 'out_of_scope'").select("qid", F.col("route").alias("plan"), F.posexplode("seeds").alias("pos", "id"))
+        return traverse.evidence(traverse.expand_by_plan(begin, shows(spark, sf), parts(spark, sf), stars(spark, sf), route.PLANS))
 
     return stored(spark, make, "walked", sf)
 
@@ -91,13 +75,6 @@ def evidence_cards(spark, sf) -> DataFrame:
     return out.withColumn("credits", F.array_join("credits", "·")).withColumn("steps", F.array_join("steps", " "))
 
 
-@query()
-def evidence_steps(spark, sf) -> DataFrame:
-    """Cards of what was walked to, with each step's titles."""
-    out = answer.cards(walked(spark, sf).where("not is_seed"), shows(spark, sf), parts(spark, sf), stars(spark, sf))
-    return out.select("qid", "pos", "id", F.array_join("steps", " ").alias("steps"))
-
-
 TERMS_SQL = CINEMA + f""", tq as (select qid, list_slice(list_distinct_ordered, 1, 5) as terms from (
   select qid, list_transform(list_filter(list_zip(ws, range(len(ws))), lambda z: list_position(ws, z[1]) = z[2] + 1), lambda z: z[1]) as list_distinct_ordered from (
     select qid, list_filter(list_transform(regexp_extract_all(question, '[가-힣]{{2,}}'), lambda w: regexp_replace(w, '{text.TERM_ENDINGS}', '')), lambda w: length(w) >= 2 and not list_contains({listed(text.TERM_NOISE)}, w)) as ws from asks)))"""
@@ -109,26 +86,17 @@ def question_terms(spark, sf) -> DataFrame:
     return asks(spark, sf).select("qid", F.array_join(text.query_terms(F.col("question")), " ").alias("terms"))
 
 
-@query(TERMS_SQL + """, ev as (select a.qid, f.*, row_number() over (partition by a.qid order by f.seq) as pos from asks a join shows f on f.seq % 100 = a.qid % 100),
-sc as (select t.qid, t.terms, e.pos, e.title, list_filter(t.terms, lambda x: contains(e.title || ' ' || e.genres[1] || ' ' || e.genres[2] || ' ' || e.overview, x)) as has from tq t join ev e using (qid) where len(t.terms) >= 2),
-bs as (select *, max(len(has)) over (partition by qid) as best, row_number() over (partition by qid order by len(has) desc, pos) as nth from sc)
-select qid, array_to_string(terms, ' ') as terms, best, nth as pos, title, array_to_string(has, ' ') as has from bs where best < len(terms) and nth <= 3""")
-def term_check(spark, sf) -> DataFrame:
-    """How many conditions the films of some evidence have, where none has all."""
-    from pyspark.sql import Window
-
-    ev = asks(spark, sf).select("qid").join(shows(spark, sf), F.col("seq") % 100 == F.col("qid") % 100).withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("seq")))
-    out = answer.term_check(asks(spark, sf), ev.select("qid", "pos", "title", "genres", "overview"))
-    return out.withColumn("terms", F.array_join("terms", " ")).withColumn("has", F.array_join("has", " "))
+LAST = "case when contains(head, '{0}') then length(head) - position(reverse('{0}') in reverse(head)) - 1 else -1 end"
 
 
-@query("""with b as (select doc_id, text as body, left(text, 460) as head from documents),
-e as (select *, case when contains(head, '. ') then length(head) - position(' .' in reverse(head)) - 1 else -1 end as end_ from b)
-select doc_id, sha256(trim(regexp_replace(case when end_ > 120 then left(head, end_ + 2) else head end, '\\s+', ' ', 'g'))) as sha256 from e where text_ok""".replace("where text_ok", "where body is not null and not regexp_matches(head, '다\\.|다\\n')"))
+@query(f"""with b as (select doc_id, case doc_id % 3 when 1 then replace(text, '. ', '다.') when 2 then replace(text, '.', '다' || chr(10)) else text end as body from documents), h as (select *, left(body, 460) as head from b),
+e as (select doc_id, head, greatest({LAST.format(". ")}, {LAST.format("다.")}, {LAST.format("다' || chr(10) || '")}) as end_ from h)
+select doc_id, sha256(trim(regexp_replace(case when end_ > 120 then left(head, end_ + 2) else head end, '\\s+', ' ', 'g'))) as sha256 from e""")
 def document_summaries(spark, sf) -> DataFrame:
-    """The first sentences of each document."""
-    d = read(spark, sf, "documents").where("text is not null and not substring(text, 1, 460) rlike '다\\\\.|다\\n'")
-    return d.select("doc_id", F.sha2(text.summary(F.col("text")), 256).alias("sha256"))
+    """The first sentences of each document; two in three have Korean sentence ends in place of full stops."""
+    t = F.col("text")
+    body = F.when(F.col("doc_id") % 3 == 1, F.replace(t, F.lit(". "), F.lit("다."))).when(F.col("doc_id") % 3 == 2, F.replace(t, F.lit("."), F.lit("다\n"))).otherwise(t)
+    return read(spark, sf, "documents").select("doc_id", F.sha2(text.summary(body), 256).alias("sha256"))
 
 
 # --- grading ---

@@ -231,8 +231,10 @@ def history_focus_links(spark, sf) -> DataFrame:
     return focus.history_focus(m, graph.degree(titles, m), titles)[1]
 
 
-CARD_SQL = EXTRACTED_SQL + """, merged as (select src, kind, dst, [src || ' and others', src || ' met ' || dst, 'nothing'] as quotes, cast(min(k) as varchar) as doc, min((k, n, p, s)) as first from x group by src, kind, dst having count(*) % 3 <> 0),
-pick as (select *, 3 + 20 as score, src || ' met ' || dst as quote from merged),
+CARD_SQL = EXTRACTED_SQL + """, merged as (select src, kind, dst, case count(*) % 3 when 0 then ['nothing', dst || ' alone'] when 1 then ['nothing', src || ' met ' || dst] else [src || ' met ' || dst, src || ' and others', dst || ' alone', src || ' saw ' || dst] end as quotes, cast(min(k) as varchar) as doc, min((k, n, p, s)) as first from x group by src, kind, dst),
+said as (select src, kind, dst, q, i, contains(q, src)::int + contains(q, dst)::int as holds from (select src, kind, dst, unnest(quotes) as q, unnest(range(len(quotes))) as i from merged)),
+best as (select src, kind, dst, arg_min(q, (-holds, i)) as quote, max(holds) as holds from said group by 1, 2, 3),
+pick as (select m.*, b.quote, len(m.quotes) + 10 * b.holds as score from merged m join best b using (src, kind, dst)),
 near as (select src as node, 0 as inward, * from pick union all select dst, 1, * from pick)
 select node, src, dst, kind, quote, doc, pos from (select *, row_number() over (partition by node order by score desc, inward, first) as pos from near) where pos <= 2"""
 
@@ -240,8 +242,10 @@ select node, src, dst, kind, quote, doc, pos from (select *, row_number() over (
 @query(CARD_SQL)
 def card_quotes(spark, sf) -> DataFrame:
     """Of each node's edges the two with the best quotes: those that hold both names."""
-    x = extracted(spark, sf).groupBy("src", "kind", "dst").agg(F.count("*").alias("n"), F.min("seq").alias("seq"), F.min(F.col("doc").cast("long")).cast("string").alias("doc")).where("n % 3 <> 0")
-    quotes = F.array(F.concat("src", F.lit(" and others")), F.concat("src", F.lit(" met "), "dst"), F.lit("nothing"))
+    x = extracted(spark, sf).groupBy("src", "kind", "dst").agg(F.count("*").alias("n"), F.min("seq").alias("seq"), F.min(F.col("doc").cast("long")).cast("string").alias("doc"))
+    met, alone, nothing = F.concat("src", F.lit(" met "), "dst"), F.concat("dst", F.lit(" alone")), F.lit("nothing")
+    several = F.array(met, F.concat("src", F.lit(" and others")), alone, F.concat("src", F.lit(" saw "), "dst"))
+    quotes = F.when(F.col("n") % 3 == 0, F.array(nothing, alone)).when(F.col("n") % 3 == 1, F.array(nothing, met)).otherwise(several)
     return focus.card_quotes(x.select("src", "kind", "dst", "seq", quotes.alias("quotes"), F.array("doc").alias("docs")))
 
 
@@ -257,12 +261,12 @@ def triples_by_quotes(spark, sf) -> DataFrame:
     return rows.select("src", "kind", "dst", F.row_number().over(w).alias("pos"))
 
 
-@query("with r as (select conv_id, turn, substr(sha1(role || chr(0) || cast(length(text) as varchar)), 1, 16) as key from conversations), c as (select distinct key from r where turn = 0) select conv_id, turn, r.key, c.key is not null as hit from r left join c using (key)")
+@query("with r as (select conv_id, turn, substr(sha1(role || chr(0) || text), 1, 16) as key from conversations), c as (select distinct key from r where turn = 0) select conv_id, turn, r.key, c.key is not null as hit from r left join c using (key)")
 def answer_cache(spark, sf) -> DataFrame:
     """Turns whose contents were answered before, by the key of a cached answer."""
     from wayfind.sources.files import cache_key, cached
 
-    asked = read(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("string").alias("size")).withColumn("key", cache_key("role", "size"))
+    asked = read(spark, sf, "conversations").select("conv_id", "turn", cache_key("role", "text").alias("key"))
     known = asked.where("turn = 0").select("key").distinct().withColumn("answer", F.lit("a"))
     return cached(asked, known).select("conv_id", "turn", "key", F.col("answer").isNotNull().alias("hit"))
 

@@ -34,9 +34,10 @@ def graph_degree(spark, sf) -> DataFrame:
     return graph.degree(nodes(spark, sf), credits(spark, sf))
 
 
-@query(SQL + " select id from (select id from films union all select id from people) where id not in (select src from credits union select dst from credits)")
+@query(SQL + " select id from (select id from films union all select id from people) where id not in (select src from credits where kind = 'WROTE' and ord > 4 union select dst from credits where kind = 'WROTE' and ord > 4)")
 def graph_isolated(spark, sf) -> DataFrame:
-    return graph.isolated(nodes(spark, sf), credits(spark, sf))
+    """Nodes without an edge, in the graph of what is written late in the credits."""
+    return graph.isolated(nodes(spark, sf), credits(spark, sf).where("kind = 'WROTE' and ord > 4"))
 
 
 @query(SQL + " select id, count(*) as degree from (select src as id from credits union all select dst from credits) group by id order by degree desc, id limit 8")
@@ -129,7 +130,7 @@ def tokenize_counts(spark, sf) -> DataFrame:
 
 @query(TOKENS_SQL + " select tok, count(*) as df, cast(sum(tf) as bigint) as tf from tf group by tok")
 def bm25_df(spark, sf) -> DataFrame:
-    return bm25.build_index(corpus(spark, sf)).postings.groupBy("tok").agg(F.first("df").alias("df"), F.sum("tf").alias("tf"))
+    return bm25.frequencies(corpus(spark, sf))
 
 
 BM25_SQL = TOKENS_SQL + """, q as (select item_id as qid, tok, count(*) as times from (select item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) as tok from benchmark) group by 1, 2),
@@ -141,7 +142,8 @@ r as (select *, row_number() over (partition by qid order by score desc, id) as
 
 @query(BM25_SQL + " select qid, id, pos from r where pos <= 10")
 def bm25_search_topk(spark, sf) -> DataFrame:
-    return bm25.search(bm25.build_index(corpus(spark, sf)), asked(spark, sf)).select("qid", "id", "pos")
+    q = asked(spark, sf)
+    return bm25.search(bm25.build_index(corpus(spark, sf), asked=q), q).select("qid", "id", "pos")
 
 
 @query(BM25_SQL + ", truth as (select item_id as qid, doc_id as id from benchmark b join documents d on contains(d.text, b.text)) select k, count(*) filter (pos <= k) as found, count(*) as n from (select t.qid, t.id, r.pos from truth t left join r using (qid, id)), (select unnest([1, 5, 10]) as k) group by k")
@@ -651,11 +653,12 @@ def evidence_contingency(spark, sf) -> DataFrame:
     return evaluate.contingency(items(spark, sf).withColumn("good", F.coalesce(F.col("quality") == 1, F.lit(False))), "good", "hit")
 
 
-@query(SQL + QUESTIONS_SQL + f" select route, count(*) as n, round(count(*) filter (route = 'out_of_scope') / count(*), 6) as refusal_rate from (select {route_sql('question')} as route from questions) group by grouping sets ((route), ())")
+@query(SEEDS_SQL + f" select route, count(*) as n, round(count(*) filter (route = 'out_of_scope' or not found) / count(*), 6) as refusal_rate from (select {route_sql('question')} as route, exists (select 1 from seeds s where s.qid = q.qid) as found from questions q) group by grouping sets ((route), ())")
 def refusal_rate(spark, sf) -> DataFrame:
-    q = questions(spark, sf).select(route.route(F.col("question"))[0].alias("route"))
-    refused = route.can_answer(F.col("route"), F.lit(1), F.lit(1))
-    q = q.withColumn("refused", refused.isNotNull())
+    """How many questions are refused: out of scope, or without a film to begin with."""
+    n = film_seeds(spark, sf).groupBy("qid").agg(F.count("*").alias("seeds"))
+    q = questions(spark, sf).join(n, "qid", "left").select(route.route(F.col("question"))[0].alias("route"), F.coalesce("seeds", F.lit(0)).alias("seeds"))
+    q = q.withColumn("refused", route.can_answer(F.col("route"), F.col("seeds"), F.col("seeds")).isNotNull())
     return q.groupingSets([["route"], []], "route").agg(F.count("*").alias("n"), F.round(F.count_if("refused") / F.count("*"), 6).alias("refusal_rate"))
 
 
