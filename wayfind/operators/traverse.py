@@ -113,22 +113,28 @@ def _widest(most: int, per_kind: int, settings: DataFrame | None) -> tuple[int,
     return tuple(settings.agg(F.max(F.col("most") + F.col("per_kind")), F.max("max_hops")).first())
 
 
-def expand_through_people(seeds: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, kinds: list[str], exempt: list[str], max_films: int = 10, per_relation: int = 4, max_hops: int = 2, people_per_film: int = 5, settings: DataFrame | None = None) -> DataFrame:
-    """State of each question: film to film through the first people of each film."""
+def near_films(films: DataFrame, edges: DataFrame, people: DataFrame, kinds: list[str], people_per_film: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(film, ppos, person, name: the first people of each film; person, target, kind, seq: where people lead), by these kinds."""
     from wayfind.operators.graph import top_credits
 
+    used = edges.where(F.col("kind").isin(kinds)).join(films.select(F.col("id").alias("dst")), "dst", "left_semi")
+    via = top_credits(used, people_per_film, first={"DIRECTED": -1}).join(people.select(F.col("id").alias("src"), "name"), "src").select(F.col("dst").alias("film"), F.col("pos").alias("ppos"), F.col("src").alias("person"), "name")
+    return via, used.select(F.col("src").alias("person"), F.col("dst").alias("target"), "kind", "seq")
+
+
+def expand_through_people(seeds: DataFrame, films: DataFrame, edges: DataFrame, people: DataFrame, kinds: list[str], exempt: list[str], max_films: int = 10, per_relation: int = 4, max_hops: int = 2, people_per_film: int = 5, settings: DataFrame | None = None, near: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """State of each question: film to film through the first people of each film. near: what `near_films` gives for these kinds, bucketed by film and by person."""
+
     state = start(seeds, films, max_films, per_relation, max_hops, settings)
     if not kinds:
         return state
     state = checkpointed(state)
     widest, hops = _widest(max_films, per_relation, settings)
-    used = edges.where(F.col("kind").isin(kinds)).join(films.select(F.col("id").alias("dst")), "dst", "left_semi")
-    via = top_credits(used, people_per_film, first={"DIRECTED": -1}).join(people.select(F.col("id").alias("src"), "name"), "src").select(F.col("dst").alias("film"), F.col("pos").alias("ppos"), F.col("src").alias("person"), "name")
-    onward = used.select(F.col("src").alias("person"), F.col("dst").alias("target"), "kind", "seq")
+    via, onward = near_films(films, edges, people, kinds, people_per_film) if near is None else near
     last = max_hops if settings is None else hops
     for hop in range(1, last + 1):
-        cands = frontier(state, hop).join(via, F.col("film") == F.col("src")).join(onward, "person")
-        cands = cands.select("qid", F.struct("fpos", "ppos", "seq").alias("at"), "src", "target", "kind", F.col("name").alias("via"))
+        cands = frontier(state, hop).withColumnRenamed("src", "film").join(via, "film").join(onward, "person")
+        cands = cands.select("qid", F.struct("fpos", "ppos", "seq").alias("at"), F.col("film").alias("src"), "target", "kind", F.col("name").alias("via"))
         state = advance(state, cands, hop, exempt, widest)
         if hop < last:
             state = checkpointed(state)
@@ -162,16 +168,22 @@ def expand_by_plan(seeds: DataFrame, films: DataFrame, edges: DataFrame, people:
     return state
 
 
-def expand_undirected(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hubs: DataFrame, max_hops: int = 2, max_nodes: int = 80, per_kind: int = 12, settings: DataFrame | None = None) -> DataFrame:
+def near_edges(edges: DataFrame) -> DataFrame:
+    """src, target, kind, dir, seq: every edge from both of its ends."""
+    from wayfind.operators.graph import neighbors
+
+    return neighbors(edges).select(F.col("node").alias("src"), F.col("other").alias("target"), "kind", "dir", "seq")
+
+
+def expand_undirected(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hubs: DataFrame, max_hops: int = 2, max_nodes: int = 80, per_kind: int = 12, settings: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """State of each question: along edges in either direction; hubs are reached, but passed only as seeds.
 
-    With settings, hubs have a cfg too.
+    With settings, hubs have a cfg too. near: what `near_edges` gives, bucketed by src; a
+    hop then moves its frontier to the edges, and no edges but those it takes up.
     """
-    from wayfind.operators.graph import neighbors
-
     state = checkpointed(start(seeds, nodes, max_nodes, per_kind, max_hops, settings))
     widest, hops = _widest(max_nodes, per_kind, settings)
-    near = neighbors(edges).select(F.col("node").alias("src"), F.col("other").alias("target"), "kind", "dir", "seq")
+    near = near_edges(edges) if near is None else near
     marked = hubs.select(F.col("id").alias("src"), F.lit(True).alias("hub"), *(["cfg"] if settings is not None else []))
     stop = F.broadcast(marked)  # a fixed number of hubs for each setting
     last = max_hops if settings is None else hops

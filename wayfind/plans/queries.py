@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text
 from wayfind.operators import bm25, etl, evaluate, graph, layout, resolve, route, traverse
+from wayfind.operators.shared import stored
 from wayfind.plans.tables import HISTORY_SQL, QUESTIONS_SQL, SQL, credits, films, history_edges, history_nodes, labels, nodes, people, questions, read
 
 QUERIES, ORACLE = {}, {}
@@ -289,7 +290,14 @@ def bridge_1hop(spark, sf) -> DataFrame:
 
 def walked(spark, sf, name: str = "bridge", **budget) -> DataFrame:
     kinds, exempt = route.PLANS[name]
-    return traverse.expand_through_people(film_seeds(spark, sf), films(spark, sf), credits(spark, sf), people(spark, sf), kinds, exempt, **budget)
+    return traverse.expand_through_people(film_seeds(spark, sf), films(spark, sf), credits(spark, sf), people(spark, sf), kinds, exempt, near=film_adjacency(spark, sf, kinds), **budget)
+
+
+def film_adjacency(spark, sf, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first people of films, bucketed by film, and where people lead, bucketed by person."""
+    near = lambda i: lambda: traverse.near_films(films(spark, sf), credits(spark, sf), people(spark, sf), kinds)[i]
+    name = "/".join(sorted(kinds))
+    return stored(spark, near(0), "via", name, sf, by=("film",)), stored(spark, near(1), "onward", name, sf, by=("person",))
 
 
 def fold_sql(hops: int, exempt: str, most: int = 10, per: int = 4) -> str:
@@ -368,7 +376,13 @@ def history_seeds(spark, sf) -> DataFrame:
 
 def history_walk(spark, sf, hub_top: int = 8, **budget) -> DataFrame:
     n, e = history_nodes(spark, sf), history_edges(spark, sf)
-    return traverse.expand_undirected(history_seeds(spark, sf), n, e, graph.hubs(graph.degree(n, e), hub_top), **budget)
+    near = history_adjacency(spark, sf)
+    return traverse.expand_undirected(history_seeds(spark, sf), n, e, graph.hubs(near.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), hub_top), near=near, **budget)
+
+
+def history_adjacency(spark, sf) -> DataFrame:
+    """Every edge from both ends, bucketed by the end it is read from."""
+    return stored(spark, lambda: traverse.near_edges(history_edges(spark, sf)), "near", sf, by=("src",))
 
 
 HISTORY_WALK_SQL = HISTORY_SQL.replace("with hnodes", "with recursive hnodes", 1) + """, hubs as (select id from hdegree order by degree desc, id limit 8),
