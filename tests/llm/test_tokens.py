@@ -156,6 +156,36 @@ def test_parse_equals_substring_search():
                 assert got[k] == phrases(code(text), sample)
 
 
+def test_every_letter_counts():
+    """Two scripts of 1,500 letters beside two alphabets: each is told from the other, though no letter of theirs is frequent."""
+    rnd = random.Random(8)
+
+    def text(letters, words):
+        return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 4))) for _ in range(words))
+
+    scripts = {"han": [chr(0x4E00 + i) for i in range(1500)], "kan": [chr(0x6000 + i) for i in range(1500)], "high": [chr(0x20000 + i) for i in range(1500)], "lat": list("abcdefghijklmnop"), "cyr": list("абвгдежзиклмнопрст")}
+    model = language_id.Model({k: [text(v, 3000)] for k, v in scripts.items()})
+    for name, letters in scripts.items():
+        judged = model.judge([text(letters, 40) for _ in range(40)])
+        assert sum(j[0] == name for j in judged) >= 38, name
+    a = model.alphabet
+    assert len({bytes(a.symbols(c)) for c in scripts["han"] + scripts["kan"] + scripts["high"]}) == 4500
+    assert {len(a.symbols(c)) for c in "\u0561\u4e00\U00020000"} == {3, 4, 5} and a.symbols("\u4e00, \u4e00").tolist().count(0) == 1
+
+
+def test_three_hundred_languages(spark):
+    """No language is left unlearned."""
+    rnd = random.Random(2)
+    vocabulary = {f"l{k}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 8))) for _ in range(30)] for k in range(300)}
+    text = lambda lang: " ".join(rnd.choice(vocabulary[lang]) for _ in range(50))
+    table = spark.createDataFrame([(i, text(lang), lang) for i, lang in enumerate(k for k in vocabulary for _ in range(3))], "doc_id long, text string, lang string")
+    sample = language_id.draw_sample(table)
+    assert len(sample) == 300 and language_id.sample_share(300) == 4000 and language_id.sample_share(10_000) == language_id.LEAST
+    asked = rnd.sample(sorted(vocabulary), 60)
+    judged = language_id.Model(sample).judge([text(lang) for lang in asked])
+    assert sum(j[0] == lang for j, lang in zip(judged, asked)) >= 57
+
+
 def test_language(spark, edge):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.identify(docs).toPandas().merge(docs.select("doc_id", "lang", "text").toPandas(), on="doc_id")
@@ -186,7 +216,7 @@ def test_sample_is_bounded_and_stable(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     drawn = language_id.draw_sample(docs)
     assert drawn == language_id.draw_sample(docs.repartition(11)) and all(sum(map(len, t)) <= language_id.SYMBOLS for t in drawn.values())
-    few = language_id.draw_sample(docs, languages=2, rows=3, total=1000)
+    few = language_id.draw_sample(docs.where("lang in ('en', 'fr')"), rows=3, total=1000)
     assert len(few) == 2 and all(len(t) <= 3 and sum(map(len, t)) <= 500 for t in few.values())
 
 

@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from wayfind.llm.common import tune
 
-#: Bounds of the sample: languages (the most frequent), rows and characters of each, characters of one text
-#: (a piece of longer ones), characters over all languages; and letters of the alphabet.
-LANGUAGES, ROWS, SYMBOLS, PIECE, TOTAL, LETTERS = 200, 400, 30_000, 3_000, 1_200_000, 60
+#: Bounds of the sample: rows and symbols of each language, characters of one text (a piece of longer ones), and
+#: symbols over all languages, of which each has LEAST at least. All languages are learned. A symbol takes up to two
+#: states of 4 * (LETTERS + DIGITS + 1) bytes: 0.6 GB for TOTAL, and 0.25 MB for each language beyond TOTAL / LEAST.
+ROWS, SYMBOLS, PIECE, TOTAL, LEAST = 400, 30_000, 3_000, 1_200_000, 500
+#: Letters with a symbol of their own; any other is three to five digits, its code point.
+LETTERS, DIGITS = 46, 16
 BLOCK = 1024
 #: A text of that many symbols at least that needs more bits a symbol fits no language.
 FIT_SYMBOLS, FIT_BITS = 60, 5.0
@@ -41,19 +44,27 @@ def has_letter(text: str | None) -> bool:
 
 
 class Alphabet:
-    """Symbols of a text: 0 for a run of non-letters, 1 for a letter outside the alphabet, others by letter."""
+    """Symbols of a text: 0 for a run of non-letters, the most frequent letters one each, and any other letter as the digits of its code point."""
 
     def __init__(self, letters: str):
-        self.size = len(letters) + 2
-        self.table = is_letter().astype(np.uint8)
+        self.size = len(letters) + 1 + DIGITS
+        self.rare = np.uint8(255)
+        self.table = is_letter().astype(np.uint8) * self.rare
         for i, c in enumerate(letters):
-            self.table[ord(c)] = i + 2
+            self.table[ord(c)] = i + 1
 
     def symbols(self, text: str) -> np.ndarray:
-        s = self.table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self.table[points]
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-        s = s[keep]
+        s, points = s[keep], points[keep]
+        if (s == self.rare).any():
+            size = np.where(s == self.rare, 3 + (points >= 0x1000) + (points >= 0x10000), 1)
+            which = np.repeat(np.arange(len(s)), size)
+            left = np.cumsum(size)[which] - np.arange(len(which)) - 1  # digits of the letter that follow this one
+            digit = (points[which] >> (4 * left).astype(np.uint32)) & np.uint32(15)
+            s = np.where(s[which] == self.rare, self.size - DIGITS + digit, s[which]).astype(np.uint8)
         return s[int(len(s) > 0 and s[0] == 0) :]
 
 
@@ -95,8 +106,9 @@ class Model:
     if no sample has the symbol), marked with the sign bit.
     """
 
-    def __init__(self, samples: dict[str, list[str]]):
-        """samples: texts of each language."""
+    def __init__(self, samples: dict[str, list[str]], symbols: int = SYMBOLS, total: int = TOTAL):
+        """samples: texts of each language, of which the first symbols count, up to its share."""
+        share = sample_share(len(samples), symbols, total)
         letters = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
         self.alphabet = Alphabet("".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
         self.langs = sorted(samples)
@@ -104,7 +116,7 @@ class Model:
         for lang in self.langs:
             parts = [self.alphabet.symbols(t) for t in samples[lang]]
             joined = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint8))] or [np.zeros(1, np.uint8)])
-            joined = joined[np.concatenate([[True], (joined[1:] != 0) | (joined[:-1] != 0)])].tolist()
+            joined = joined[np.concatenate([[True], (joined[1:] != 0) | (joined[:-1] != 0)])][:share].tolist()
             step = suffix_automaton(joined)
             table = np.full((len(step), a), -1, np.int64)
             for state, out in enumerate(step):
@@ -113,6 +125,8 @@ class Model:
             table = np.where(table >= 0, (table + rows) * a, -1)
             fresh = np.where(table[0] >= 0, table[0], rows * a)
             tables.append(np.where(table >= 0, table, fresh[None, :] - 2**31).astype(np.int32))
+            if (rows + len(step)) * a >= 2**31:
+                raise ValueError(f"{len(samples)} languages need a table of more than 2^31 entries; give fewer symbols to each")
             roots.append(rows * a)
             weight.append(np.log2(max(2, len(joined))))
             rows += len(step)
@@ -169,31 +183,36 @@ class Model:
         return out
 
 
-def draw_sample(labelled: DataFrame, languages: int = LANGUAGES, rows: int = ROWS, symbols: int = SYMBOLS, piece: int = PIECE, total: int = TOTAL) -> dict[str, list[str]]:
+def sample_share(languages: int, symbols: int = SYMBOLS, total: int = TOTAL) -> int:
+    """Symbols that each of so many languages is learned from."""
+    return max(1, min(symbols, max(LEAST, total // max(1, languages))))
+
+
+def draw_sample(labelled: DataFrame, rows: int = ROWS, symbols: int = SYMBOLS, piece: int = PIECE, total: int = TOTAL) -> dict[str, list[str]]:
     """Texts of each language of (doc_id, text, lang): at most `rows` different ones, in the order of a hash, up to `symbols` characters.
 
     Of a text longer than `piece`, a piece of that length counts, from a place that
-    follows from the hash. With many languages each has total / languages characters.
+    follows from the hash. With many languages each has total / languages characters, LEAST at least.
     Rows are counted first, and only as many as are needed pass a threshold on their
     hash, so that no task sees more than some times `rows` of a language.
     """
     order = F.xxhash64("doc_id", F.xxhash64("text"))
     fit = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("order", order)
-    counts = fit.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("n"), F.count("*").alias("seen")).orderBy(F.desc("seen"), "lang").limit(languages).collect()  # at most `languages` rows
+    counts = fit.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("n")).collect()  # a row for each language
     if not counts:
         return {}
-    symbols = max(1, min(symbols, total // len(counts)))
+    symbols = sample_share(len(counts), symbols, total)
     # twice the rows that are wanted, and some: fewer are next to impossible
-    share = {r.lang: min(1.0, (2 * rows + 50) / max(1, r.n)) for r in counts}
-    low = F.create_map(*(x for lang, part in share.items() for x in (F.lit(lang), F.lit(min(int(part * 2.0**64) - (1 << 63), (1 << 63) - 1)))))
+    limits = [(r.lang, min(int(min(1.0, (2 * rows + 50) / max(1, r.n)) * 2.0**64) - (1 << 63), (1 << 63) - 1)) for r in counts]
+    low = labelled.sparkSession.createDataFrame(limits, "lang string, low long")
     text = F.col("text")
     begin = F.when(F.length(text) > piece, F.pmod(F.col("order"), F.length(text) - piece).cast("int")).otherwise(0) + 1
-    passed = fit.where(F.col("order") <= low[F.col("lang")]).select("lang", "order", F.substring(text, begin, F.lit(piece)).alias("text")).dropDuplicates(["lang", "order"])
+    passed = fit.join(F.broadcast(low), "lang").where("order <= low").select("lang", "order", F.substring(text, begin, F.lit(piece)).alias("text")).dropDuplicates(["lang", "order"])
     ranked = passed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= rows)
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("rank")) - F.length("text")
     drawn = ranked.withColumn("room", F.lit(symbols) - before).where("room > 0").select("lang", "rank", F.substring(text, F.lit(1), F.col("room").cast("int")).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.rank)):  # at most `total` characters
+    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.rank)):  # at most `total` characters, or LEAST for each language
         out.setdefault(r.lang, []).append(r.text)
     return out
 
@@ -207,8 +226,7 @@ def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col:
     Learns from rows with a label whose crc32(id as text) mod folds isn't 0 (held_out is
     true where it is 0; a null id is neither held out nor learned from). lang_pred is
     `und`, with score 0, where the text is null or has no letter, or nothing could be
-    learned (a language beyond the LANGUAGES most frequent isn't). Repeated rows give
-    repeated rows; other columns are not read.
+    learned. Repeated rows give repeated rows; other columns are not read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     tune(docs.sparkSession)
