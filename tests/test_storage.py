@@ -56,3 +56,81 @@ def test_merged_triples(spark):
     assert got["a"].quotes == ["q2", "q1", "q3"] and got["a"].docs == ["d1", "d2", None] and (got["a"].n_quotes, got["a"].n_docs, got["a"].seq) == (3, 3, 0)
     few = {r.src: r for r in etl.merge_triples(edges, most=2).collect()}
     assert few["a"].quotes == ["q2", "q1"] and few["a"].docs == ["d1", "d2"] and few["a"].n_quotes == 3 and few["c"].quotes == ["q"]
+
+
+def test_answers_are_made_once(spark, tmp_path):
+    """A run that fails midway is started again and makes only what is missing; a run after that makes nothing."""
+    from wayfind.sources import files, runs
+
+    rows = spark.createDataFrame([(i, f"question {i % 30}") for i in range(40)] + [(99, None)], "n long, question string")
+    asked = rows.withColumn("key", F.when(F.col("question").isNotNull(), files.cache_key("question")))
+    made, store = [], str(tmp_path / "answers")
+
+    def answer(part, fail_at=None):
+        if len(made) == fail_at:
+            raise RuntimeError("broken off")
+        keys = [r.key for r in part.collect()]
+        made.append(keys)
+        return part.select("key", F.upper("question").alias("text"))
+
+    try:
+        runs.answer_once(asked, lambda part: answer(part, fail_at=3), store, "text string", batches=6)
+        raise AssertionError("should have failed")
+    except RuntimeError:
+        before = sum(map(len, made))
+    assert 0 < before < 30
+    got = runs.answer_once(asked, answer, store, "text string", batches=6).collect()
+    assert len(got) == 41 and all(r.text == (r.question.upper() if r.question else None) for r in got)
+    keys = [k for part in made for k in part]
+    assert len(keys) == len(set(keys)) == 30
+    calls = len(made)
+    assert runs.answer_once(asked, answer, store, "text string").count() == 41 and len(made) == calls
+    more = rows.unionByName(spark.createDataFrame([(100, "a new one")], "n long, question string")).where("question is not null").withColumn("key", files.cache_key("question"))
+    assert runs.answer_once(more, answer, store, "text string").where("n = 100").first().text == "A NEW ONE" and made[-1] == [r.key for r in more.where("n = 100").collect()]
+
+
+def test_log_of_runs(spark, tmp_path):
+    from wayfind.sources import runs
+
+    result = spark.createDataFrame([(1, "q", "lookup", ["followup", "route"], False, None, ["m"])], "qid long, question string, route_kind string, trace array<string>, refused boolean, refusal_reason string, evidence array<string>")
+    path = str(tmp_path / "log")
+    assert runs.read_parts(spark, path, runs.RUN).count() == 0
+    runs.log_run(result, path, "a")
+    runs.log_run(result, path, "a")
+    runs.log_run(result, path, "b")
+    assert sorted((r.run, r.trace, r.n_evidence) for r in runs.read_parts(spark, path, runs.RUN).collect()) == [("a", ["followup", "route"], 1), ("b", ["followup", "route"], 1)]
+
+
+def test_stored_index(spark, tmp_path):
+    """After every addition and removal the index finds what a full scoring of the documents left would find."""
+    import random
+
+    from wayfind.operators import bm25, bm25_store
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rnd.choices(words, [1 / (i + 1) for i in range(60)], k=n))
+    docs = {i: (text(2), text(rnd.randrange(0, 60))) for i in range(150)}
+    queries = spark.createDataFrame([(i, text(rnd.randrange(1, 6))) for i in range(25)] + [(98, "nothing here"), (99, None)], "qid long, text string")
+    path = str(tmp_path / "index")
+    frame = lambda ids: spark.createDataFrame([(i, *docs[i]) for i in ids], "id long, title string, text string")
+    here: set[int] = set()
+
+    def same():
+        full = bm25.search(bm25.build_index(frame(sorted(here))), queries, 5)
+        want = sorted((r.qid, r.pos, r.id, r.score) for r in full.collect())
+        for first in (10, 10_000):
+            got = bm25_store.search(spark, path, queries, 5, first=first)
+            assert sorted((r.qid, r.pos, r.id, r.score) for r in got.collect()) == want
+
+    bm25_store.add(frame(range(100)), path)
+    here |= set(range(100))
+    same()
+    bm25_store.remove(spark, path, spark.createDataFrame([(i,) for i in [*range(0, 100, 3), 555]], "id long"))
+    here -= set(range(0, 100, 3))
+    for i in range(0, 40):
+        docs[i] = (text(2), text(20))
+    bm25_store.add(frame([*range(0, 40), *range(100, 150)]), path)
+    here |= {*range(0, 40), *range(100, 150)}
+    same()
+    assert bm25_store.search(spark, str(tmp_path / "none"), queries).collect() == []

@@ -42,6 +42,17 @@ def attach_awards(people: DataFrame, awards: DataFrame) -> DataFrame:
     return people.join(listed, "name", "left").withColumn("awards", F.coalesce("awards", F.array().cast(listed.schema["awards"].dataType)))
 
 
+def thin_out(films: DataFrame, people: DataFrame, edges: DataFrame, least_cast: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Films with enough who act in them, and the people who are still in one of these.
+
+    Who goes has no film left, so that no other film loses anyone: one round is enough.
+    """
+    cast = edges.where("kind = 'ACTED_IN'").groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n")).where(F.col("n") >= least_cast)
+    kept = films.join(cast, "id", "left_semi")
+    there = edges.join(kept.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
+    return kept, people.join(there, "id", "left_semi")
+
+
 def grow_corpus(films: DataFrame, edges: DataFrame, least_cast: int = 3, least_films: int = 2, least_votes: int = 100, most: int = 6000) -> DataFrame:
     """id, added: films at home with enough cast, then films abroad with enough votes of people who are in several of those.
 

@@ -186,6 +186,14 @@ def corpus_growth(spark, sf) -> DataFrame:
     return build.grow_corpus(raw_films(spark, sf), credits(spark, sf), most=300)
 
 
+@query(SQL + """, late as (select * from credits where ord = 7), cast_ as (select dst from late where kind = 'ACTED_IN' group by dst having count(distinct src) >= 2)
+select id, 'film' as what from films where id in (select dst from cast_) union all select id, 'person' from people where id in (select src from late where dst in (select dst from cast_))""")
+def corpus_thinned(spark, sf) -> DataFrame:
+    """Films with two who act in them, in the graph of seventh credits, and the people left in them."""
+    kept, left = build.thin_out(films(spark, sf), people(spark, sf), credits(spark, sf).where("ord = 7"), 2)
+    return kept.select("id", F.lit("film").alias("what")).unionByName(left.select("id", F.lit("person").alias("what")))
+
+
 @query(SQL + " select person, id, pos from (select person, f.id, row_number() over (partition by person order by popularity desc, seq) as pos from (select distinct src as person, dst from credits) c join films f on f.id = c.dst) where pos <= 14")
 def person_focus(spark, sf) -> DataFrame:
     return focus.person_focus(credits(spark, sf), films(spark, sf))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text
-from wayfind.operators import bm25, etl, evaluate, graph, layout, resolve, route, traverse
-from wayfind.operators.shared import stored
+from wayfind.operators import bm25, bm25_store, etl, evaluate, graph, layout, resolve, route, traverse
+from wayfind.operators.shared import shared_folder, stored
 from wayfind.plans.tables import HISTORY_SQL, QUESTIONS_SQL, SQL, credits, films, history_edges, history_nodes, labels, nodes, people, questions, read
 
 QUERIES, ORACLE = {}, {}
@@ -147,6 +148,16 @@ def bm25_search_topk(spark, sf) -> DataFrame:
     return bm25.search(bm25.build_index(corpus(spark, sf), asked=q), q).select("qid", "id", "pos")
 
 
+@query(BM25_SQL.replace("text from documents)", "text from documents where doc_id % 17 <> 0)") + " select qid, id, score, pos from r where pos <= 10")
+def bm25_stored_search(spark, sf) -> DataFrame:
+    """The same from an index on disk, to which documents were added twice and from which some were removed."""
+    path, docs = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", corpus(spark, sf)
+    bm25_store.add(docs.where("id % 10 < 8"), path)
+    bm25_store.remove(spark, path, docs.where("id % 17 = 0"))
+    bm25_store.add(docs.where("id % 10 >= 7 and id % 17 <> 0"), path)
+    return bm25_store.search(spark, path, asked(spark, sf)).select("qid", "id", "score", "pos")
+
+
 @query(BM25_SQL + ", truth as (select item_id as qid, doc_id as id from benchmark b join documents d on contains(d.text, b.text)) select k, count(*) filter (pos <= k) as found, count(*) as n from (select t.qid, t.id, r.pos from truth t left join r using (qid, id)), (select unnest([1, 5, 10]) as k) group by k")
 def bm25_recall_at_k(spark, sf) -> DataFrame:
     docs, q = corpus(spark, sf), asked(spark, sf)
@@ -247,7 +258,17 @@ def route_precedence(spark, sf) -> DataFrame:
     return questions(spark, sf).select("qid", route.route(F.col("question"))[0].alias("route"))
 
 
-@query()
+def reason_sql(column: str) -> str:
+    """The first rule's text and its first word that the question holds."""
+    bare, hits = f"regexp_replace({column}, '\\s+', '', 'g')", []
+    for _, said, words in route.RULES:
+        listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+        found = f"list_filter({listed}, lambda w: contains({bare}, regexp_replace(w, '\\s+', '', 'g')))[1]"
+        hits.append(f"'{said}' || {found}")
+    return f"coalesce({', '.join(hits)}, '{route.FALLBACK[1]}')"
+
+
+@query(SQL + QUESTIONS_SQL + f" select qid, {route_sql('question')} as route, {reason_sql('question')} as reason from questions")
 def route_reasons(spark, sf) -> DataFrame:
     name, reason = route.route(F.col("question"))
     return questions(spark, sf).select("qid", name.alias("route"), reason.alias("reason"))
@@ -707,6 +728,35 @@ def syllable_decompose(spark, sf) -> DataFrame:
     return hangul_names(spark, sf).select(F.col("c_custkey").alias("id"), F.array_join(text.syllables(F.col("hangul")), "").alias("roman"))
 
 
+def alike_sql(c: str) -> str:
+    """text.alike; a look-ahead, which DuckDB's patterns don't have, as a condition."""
+    for pattern, by in text.ALIKE:
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')" if "(?=" not in pattern else f"regexp_replace({c}, '^li', 'i')"
+    return c
+
+
+SQUASH = "array_to_string(list_transform(list_filter(list_zip({0}, range(len({0}))), lambda z: z[2] = 0 or {0}[z[2]] <> z[1]), lambda z: z[1]), '')"
+
+
+@query(f"""with w as (select p_partkey as id, lower(p_name || ' ' || p_type) as name, list_filter(string_split_regex(p_name || ' ' || p_type, '[ \\-/,()]+'), lambda x: x <> '') as ws from part),
+f as (select id, string_split({alike_sql("name")}, '') as cs, list_filter(list_transform(ws, lambda x: {alike_sql("lower(x)")}), lambda x: x <> '') as parts from w)
+select id, array_to_string(cs, '') as alike, {SQUASH.format("cs")} as loose, array_to_string(parts, ' ') as parts from f""")
+def name_forms(spark, sf) -> DataFrame:
+    """Names as they are compared: spelt alike, without doubled letters, and part by part."""
+    name = F.concat_ws(" ", "p_name", "p_type")
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.alike(name).alias("alike"), text.loose(name).alias("loose"), F.array_join(text.roman_parts(name), " ").alias("parts"))
+
+
+@query("""with t as (select p_partkey as k, case p_partkey % 3 when 0 then p_name when 1 then split_part(p_name, ' ', 1) else '' end as title from part)
+select a.k as id, a.title <> '' and b.title <> '' and (a.title = b.title or starts_with(a.title, b.title) or starts_with(b.title, a.title)) as same from t a join t b on b.k = a.k + 1""")
+def titles_agree(spark, sf) -> DataFrame:
+    """Whether the titles of films that follow each other are equal, or one begins with the other."""
+    k = F.col("p_partkey")
+    t = read(spark, sf, "part").select(k.alias("id"), F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise("").alias("title"))
+    after = t.select((F.col("id") - 1).alias("id"), F.col("title").alias("after"))
+    return t.join(after, "id").select("id", evaluate.has_title(F.col("title"), F.col("after")).alias("same"))
+
+
 @query()
 def name_matches_romanized(spark, sf) -> DataFrame:
     """Each customer's Hangul syllable against its neighbour's in Roman letters."""
