@@ -339,7 +339,7 @@ def test_intersections(spark):
     assert [(r.qid, r.id) for r in resolve.people_intersection(people, edges, films).collect()] == [(1, "m")]  # who has no films shares none
 
 
-@pytest.mark.parametrize("name", ["graph_degree", "bridge_2hop_budgeted", "bridge_dropped_counts", "bm25_search_topk", "recall_by_grouping_sets", "chunk_documents", "density_report", "film_focus", "find_seeds", "pipeline_trace", "answer_grades"])
+@pytest.mark.parametrize("name", ["graph_degree", "bridge_2hop_budgeted", "bridge_dropped_counts", "bm25_search_topk", "recall_by_grouping_sets", "chunk_documents", "density_report", "film_focus", "find_seeds", "pipeline_trace", "answer_grades", "card_quotes", "document_summaries", "bm25_stored_search", "movie_trace", "movie_evidence_block", "movie_conversations", "run_log_stages"])
 def test_sql(spark, name):
     import os
 
