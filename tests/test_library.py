@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,22 @@ def test_access(movie):
     assert graph.top_credits(edges.where("dst = '기생충'"), 2).orderBy("pos").first().src == "봉준호"
 
 
+def test_isolated_in_all_credits(spark, tmp_path):
+    """A node with one credit of any kind and place is not isolated; against the query's SQL."""
+    db, sf = duckdb.connect(), str(tmp_path)
+    rows = {
+        "part": "select i as p_partkey, 'p' || i as p_name, 'T' as p_type, 1.0 as p_retailprice, 1 as p_size, 'B' as p_brand from range(1, 6) r(i)",
+        "customer": "select i as c_custkey, 'c' || i as c_name, 0.0 as c_acctbal from range(1, 6) r(i)",
+        "orders": "select i as o_orderkey, i as o_custkey from range(1, 5) r(i)",
+        "lineitem": "select * from (values (1, 1, 'N', 1), (2, 2, 'A', 1), (3, 3, 'R', 2), (4, 4, 'R', 5)) t(l_orderkey, l_partkey, l_returnflag, l_linenumber)",
+    }
+    for name, sql in rows.items():
+        db.execute(f"copy ({sql}) to '{sf}/{name}.parquet' (format parquet)")
+        db.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    got = sorted(r.id for r in registry.QUERIES["graph_isolated"](spark, sf).collect())
+    assert got == ["movie:5", "person:5"] == sorted(r[0] for r in db.execute(registry.ORACLE["graph_isolated"]).fetchall())
+
+
 def test_walk_with_budgets(spark, movie):
     r = walk(spark, movie, "기생충")
     path = {t.id: [(h.via, h.dst) for h in t.path] for t in r.taken}
