@@ -87,6 +87,27 @@ def test_simhashes(spark, monkeypatch):
     assert [decontaminate.window_size(n) for n in (5, 10, 11, 22, 23, 46, 47)] == [4, 4, 8, 8, 16, 16, 32]
 
 
+def test_block_lookups(spark, monkeypatch):
+    """Windows within 2 * BLOCKS - 1 bits meet, and others hardly ever: else each window of the corpus is compared with many."""
+    rnd = random.Random(5)
+    word = lambda: rnd.randrange(2**64)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    prints = [simhash([word() for _ in range(8)]) for _ in range(1500)]
+    items = spark.createDataFrame([(i, 8, signed(g)) for i, g in enumerate(prints)], "item int, size int, g long")
+
+    def met(fingerprints, size=8):
+        windows = spark.createDataFrame([(i, size, signed(f)) for i, f in enumerate(fingerprints)], "doc int, size int, f long")
+        return decontaminate.probes_of(windows).join(decontaminate.entries_of(items), "block")
+
+    far = [simhash([word() for _ in range(8)]) for _ in range(1500)]
+    near = [g ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(2 * decontaminate.BLOCKS))) for g in prints]
+    assert met(far).count() < 15
+    assert met(near).where("doc = item").select("doc").distinct().count() == len(prints)
+    assert met(near, 4).count() == 0
+    monkeypatch.setattr(decontaminate, "BLOCKS", 4)
+    assert met(far).count() > 1500
+
+
 def test_contaminated(spark):
     rnd = random.Random(6)
     say = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]

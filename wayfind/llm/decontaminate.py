@@ -7,9 +7,11 @@ item (see sure_window). The windows' 64-bit SimHashes
 (the majority of their words' hashes, bit by bit) are looked up among those of all
 windows of the items of that size. Both sides are split into BLOCKS blocks; the item
 side also has each block with one bit flipped, which guarantees all fingerprints within
-2 * BLOCKS - 1 bits. A hit tells about where the item would begin; around it, each start
-that a shared shingle names is tried, and the share of the item's weighted shingles in
-as many words is computed exactly.
+2 * BLOCKS - 1 bits. The whole window that a passage holds has equal fingerprints, so
+that what is found does not depend on the number of blocks: few wide ones are looked up
+less often and hardly ever met by chance. A hit tells about where the item would begin;
+around it, each start that a shared shingle names is tried, and the share of the item's
+weighted shingles in as many words is computed exactly.
 
 The majority over a window is computed by adding bit-sliced counters: the k-th plane of
 a counter is a number that holds bit k of 64 counts.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from wayfind.llm.common import broadcast_if_small, cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, BITS = 4, 64
+BLOCKS, BITS = 2, 64
 #: Windows of up to that many words are summed in generated code.
 UNROLLED = 64
 #: Entries of the item side that are broadcast at most; beyond it the join is shuffled.
@@ -54,13 +56,15 @@ def _sum(x: list[Column], y: list[Column]) -> list[Column]:
 
 
 def _majorities(windows: DataFrame, ids: list[str], largest: int) -> DataFrame:
-    """ids, size, at, f of rows (ids, size, at, w): the SimHash of the words w of each, up to `largest`, in generated code.
+    """ids, size, at, f of rows (ids, h, size, at): the SimHash of each window of h, of up to `largest` words, in generated code.
 
     One projection for each level of the sum, so that no plane is computed twice; missing
     words of smaller windows add nothing.
     """
     keep, counters = [*ids, "size", "at"], [[f"c{k}"] for k in range(largest)]
-    df = windows.select(*keep, *(F.coalesce(F.get("w", F.lit(k)), F.lit(0).cast("long")).alias(f"c{k}") for k in range(largest)))
+    df = windows.select(*keep, "h", (F.col("at") * F.shiftright("size", 1)).alias("first"))
+    word = lambda k: F.when(F.col("size") > k, F.get("h", F.col("first") + k))
+    df = df.select(*keep, *(F.coalesce(word(k), F.lit(0).cast("long")).alias(f"c{k}") for k in range(largest)))
     while len(counters) > 1:
         made = [_sum([F.col(c) for c in x], [F.col(c) for c in y]) for x, y in zip(counters[::2], counters[1::2])]
         level = len(made[0])
@@ -104,11 +108,6 @@ def _large_windows(df: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame
     return df.select(*ids, F.inline(F.concat(*made)))
 
 
-def _cut_at(size: int):
-    half = size // 2
-    return lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.slice("h", i * half + 1, size).alias("w"))
-
-
 def simhashes(df: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
     """ids, size, at, f of df (ids, h: array of word hashes): SimHashes of its windows of each size at half its stride.
 
@@ -117,9 +116,13 @@ def simhashes(df: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
     small, large = [s for s in sizes if s <= UNROLLED], [s for s in sizes if s > UNROLLED]
     parts = []
     if small:
-        none = F.array().cast("array<struct<size int, at int, w array<bigint>>>")
-        cuts = [F.when(F.size("h") >= s, F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - s) / (s // 2)).cast("int")), _cut_at(s))).otherwise(none) for s in small]
-        parts.append(_majorities(df.select(*ids, F.inline(F.concat(*cuts))), ids, max(small)))
+        # a window is one number, at * len(small) + the place of its size: no array is built for each
+        n, none = len(small), F.array().cast("array<bigint>")
+        last = [F.floor((F.size("h") - s) / (s // 2)) for s in small]
+        cuts = [F.when(F.size("h") >= s, F.sequence(F.lit(k).cast("long"), last[k] * n + k, F.lit(n).cast("long"))).otherwise(none) for k, s in enumerate(small)]
+        windows = df.select(*ids, "h", F.explode(F.concat(*cuts)).alias("window"))
+        size = reduce(lambda c, k: F.when(F.col("window") % n == k, F.lit(small[k])).otherwise(c), range(1, n), F.lit(small[0]))
+        parts.append(_majorities(windows.select(*ids, "h", size.alias("size"), F.floor(F.col("window") / n).cast("int").alias("at")), ids, max(small)))
     if large:
         parts.append(_large_windows(df, ids, large))
     return reduce(DataFrame.unionByName, parts)
@@ -185,8 +188,26 @@ def shingles_of(h: Column, shingle: int) -> Column:
     return F.array_distinct(shingles_at(h, shingle))
 
 
-def _block(f: Column | str, k: int) -> Column:
-    return F.shiftrightunsigned(f, BITS // BLOCKS * k).bitwiseAND(F.lit((1 << BITS // BLOCKS) - 1))
+def _keys(f: str) -> Column:
+    """size, number and value of each block of f as one number: joins on it take the quicker table."""
+    width = BITS // BLOCKS
+    value = lambda k: F.shiftrightunsigned(f, width * k).bitwiseAND(F.lit((1 << width) - 1))
+    return F.array(*(F.shiftleft(F.col("size").cast("long") * BLOCKS + k, width).bitwiseOR(value(k)) for k in range(BLOCKS)))
+
+
+def probes_of(windows: DataFrame) -> DataFrame:
+    """windows (size, f, ...) once for each block of f."""
+    return windows.select("*", F.explode(_keys("f")).alias("block"))
+
+
+def entries_of(prints: DataFrame) -> DataFrame:
+    """prints (size, g, ...) once for each block of g as it is, and with each of its bits flipped.
+
+    A probe meets by chance about one entry where there are 10^7 windows of eight words.
+    """
+    flips = F.array(*(F.lit(x).cast("long") for x in [0, *(1 << b for b in range(BITS // BLOCKS))]))
+    blocks = prints.select("*", F.explode(_keys("g")).alias("block")).drop("size")
+    return blocks.select(*(c for c in blocks.columns if c != "block"), F.explode(F.transform(flips, lambda x: F.col("block").bitwiseXOR(x))).alias("block"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,13 +231,9 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simi
     shifted = sized.select("item_id", "key", "n", "own", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("own") + 1)).alias("from"), "h")
     parts = shifted.select("item_id", "key", "n", "own", (F.col("from") - 1).alias("offset"), F.slice("h", F.col("from"), F.col("own")).alias("h"))
     prints = simhashes(parts, ["item_id", "key", "n", "own", "offset"], sizes).where("size = own and at = 0").select("item_id", "key", "n", "size", "offset", F.col("f").alias("g")).distinct()
-    flips = F.array(*(F.lit(x) for x in [0, *(1 << b for b in range(BITS // BLOCKS))]))
-    entries = prints.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block("g", k).alias("value")) for k in range(BLOCKS)))).alias("b"))
-    entries = cut(entries.select("item_id", "key", "n", "size", "offset", "g", "b.block", F.explode(F.transform(flips, lambda x: F.col("b.value").bitwiseXOR(x))).alias("value")))
+    entries = cut(entries_of(prints))
 
-    windows = simhashes(hashed, ["doc_id"], sizes)
-    probes = windows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block("f", k).alias("value")) for k in range(BLOCKS)))).alias("b")).select("doc_id", "size", "at", "f", "b.block", "b.value")
-    met = probes.join(broadcast_if_small(entries, entries.count(), BROADCAST_ROWS), ["size", "block", "value"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= 2 * BLOCKS - 1)
+    met = probes_of(simhashes(hashed, ["doc_id"], sizes)).join(broadcast_if_small(entries, entries.count(), BROADCAST_ROWS), "block").where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= 2 * BLOCKS - 1)
     # a passage that holds the window begins up to n - own words before or after; beginnings are taken together by n words
     cell = F.floor((F.col("at") * F.col("size") / 2 - F.col("offset")) / F.col("n")).cast("int")
     places = cut(met.select("doc_id", "item_id", "key", "n", "size", cell.alias("cell")).distinct())
