@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from wayfind.llm import embedding_dedup, minhash_dedup, substring_dedup
+from wayfind.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,3 +175,40 @@ def test_embeddings(spark):
     assert got[9005].component_id == got[9006].component_id == 9005 and got[9006].n_links == 1 and not got[9006].kept
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in (9000, 9001, 9002, 9003, 9004, 9007)) and got[None].kept
     assert embedding_dedup.dedup(table.limit(0)).collect() == []
+
+
+def tasks_of(spark, group, run):
+    """What run() gives, and how many tasks Spark had to run for it."""
+    spark.sparkContext.setJobGroup(group, group)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = run()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+
+def test_components_stop_at_stars(spark):
+    """Stars are components already: one round, not another that finds nothing to change; a chain and nothing at all still come out right."""
+    stars = [(i, i % 7) for i in range(7, 400)]
+    for name, links, most in (("stars", stars, 80), ("chain", [(i, i + 1) for i in range(40)], 290), ("none", [], 20)):
+        df = spark.createDataFrame(links, "a long, b long").repartition(4)
+        got, tasks = tasks_of(spark, f"components-{name}", lambda df=df: sorted(map(tuple, connected_components(df).collect())))
+        ids = {x for e in links for x in e}
+        assert got == sorted(components(ids, links).items())
+        assert tasks <= most
+
+
+def test_near_shuffles_no_more_than_it_needs(spark):
+    """Groups with outsiders, so that all steps run: every task of a step is kept account of in the driver's memory."""
+    rnd = random.Random(5)
+    rows, base = [], [f"w{i}" for i in range(120)]
+    for group in range(3):
+        words = [f"g{group}{w}" for w in base]
+        rows += [(len(rows) + i, " ".join(edited(rnd, words, 1 + i % 9))) for i in range(60)]
+    got, tasks = tasks_of(spark, "near", lambda: sorted(map(tuple, minhash_dedup.dedup(frame(spark, rows).repartition(4), shingle=5).collect())))
+    assert got == near_brute(rows, 5)
+    assert tasks <= 700

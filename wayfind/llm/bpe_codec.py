@@ -186,8 +186,11 @@ def open_mapped(blob: bytes) -> Lexicon:
     return _mapped[key]
 
 
-def frequent_words(docs: DataFrame, vocab: str, words: int = WORDS, text_col: str = "text") -> list[str]:
-    """The most frequent pieces over all texts: at most `words`, all that reach some count, which is over 1."""
+def frequent_words(docs: DataFrame, vocab: str, words: int = WORDS, text_col: str = "text") -> dict[bytes, list[int]]:
+    """The most frequent pieces over all texts, with their ids: at most `words`, all that reach some count, which is over 1.
+
+    Tasks merge them, so that the driver never holds the vocabulary.
+    """
 
     def count(batches):
         bpe, seen = bpe_vocab.load(vocab), Counter()
@@ -206,6 +209,15 @@ def frequent_words(docs: DataFrame, vocab: str, words: int = WORDS, text_col: st
                 yield flush()
         yield flush()
 
+    def merge(batches):
+        bpe = bpe_vocab.load(vocab)
+        for batch in batches:
+            ids = [bpe.merge(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "ids"])
+
+    def merged(pieces: DataFrame) -> dict[bytes, list[int]]:
+        return {row.piece.encode(): row.ids for row in pieces.select("piece").mapInArrow(merge, "piece string, ids array<int>").collect()}
+
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "piece string, n long")
     totals = cut(counts.where(F.length("piece") <= LONGEST).groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
     # the least count that at most `words` pieces reach, by steps of an eighth of a doubling
@@ -217,9 +229,9 @@ def frequent_words(docs: DataFrame, vocab: str, words: int = WORDS, text_col: st
             break
         least = r.step
     if least is not None:
-        return [r.piece for r in totals.where(step >= least).orderBy("piece").collect()]  # at most `words` rows
+        return merged(totals.where(step >= least))  # at most `words` rows
     # the first step alone has more: the first by count and name
-    return [r.piece for r in totals.orderBy(F.desc("n"), "piece").limit(words).collect()]
+    return merged(totals.orderBy(F.desc("n"), "piece").limit(words))
 
 
 class Codec:
@@ -265,9 +277,8 @@ def encode_decode(docs: DataFrame, vocab: str = "byte_bpe_50k.json", words: int
     over all texts; the encoding pass is narrow. Bytes that aren't UTF-8 (an id
     sequence cut inside a character) decode to U+FFFD, as the usual decoder does.
     """
-    spark = docs.sparkSession
-    bpe = bpe_vocab.load(vocab)
-    blob = spark.sparkContext.broadcast(pack(compile_lexicon({w.encode(): bpe.merge(w) for w in frequent_words(docs, vocab, words, text_col)})))
+    spark = tune(docs.sparkSession)
+    blob = spark.sparkContext.broadcast(pack(compile_lexicon(frequent_words(docs, vocab, words, text_col))))
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(kinds + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * 1 if with_ids else kinds)
 
@@ -290,6 +301,5 @@ def encode_decode(docs: DataFrame, vocab: str = "byte_bpe_50k.json", words: int
             columns = list(zip(*done)) or [[]] * (len(schema) - 1)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k.type) for c, k in zip(columns, list(schema)[1:]))], schema=schema)
 
-    tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)

@@ -76,21 +76,22 @@ def fresh(df: DataFrame, name: str) -> str:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b).
 
-    Alternates large-star and small-star steps until the edge set is stable. Each step
+    Alternates large-star and small-star steps until the edges are stars, which a further
+    round would leave as they are. Each step
     is a map-side combined minimum and an equi-join, so that a node with a large
     share of all links is dealt with by partial aggregation and skew splitting. Nodes
     without links do not occur. Null ends and self links are ignored.
     """
+    ends = lambda x, y: F.inline(F.array(F.struct(F.col("u").alias(x), F.col("v").alias(y)), F.struct(F.col("v").alias(x), F.col("u").alias(y))))
     edges = cut(
         links.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    before = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(ends("u", "v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go below
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").select(
@@ -101,10 +102,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         edges = cut(small)
-        after = edges.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38, 0))"))).first()
-        if after == before:
+        # stars: no node has two edges down, or edges both up and down
+        places = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).cast("long").alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).cast("long").alias("down"), F.lit(1).alias("up")))))
+        node = places.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if not node.agg(F.max((F.col("down") + F.col("up") > 1) & (F.col("down") > 0))).first()[0]:
             break
-        before = after
     else:
         raise RuntimeError(f"components are not stable after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -111,10 +111,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             nodes = [int.from_bytes(blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), binary(sets)], names=["node", "shingles"])
 
-    ids = cut(wanted.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
+    wanted = cut(wanted.select("node", "rep"))
+    texts = docs.join(broadcast_if_small(wanted.select(F.col("rep").alias("doc_id")), wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
     found = texts.select("text").mapInArrow(run, "node long, shingles binary")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -128,19 +128,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in FAR values at most, and in how many (differ)."""
+    """The pairs (a, b, star) whose signatures differ in FAR values at most, and in how many (differ)."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (3, 4))
                 differ = (x != y).sum(1)
                 ok = pa.array(differ <= FAR)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(differ, pa.int32()).filter(ok)], names=["a", "b", "differ"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(ok) for k in range(3)), pa.array(differ, pa.int32()).filter(ok)], names=["a", "b", "star", "differ"])
 
     s = classes.select("node", "signature")
     full = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, differ int")
+    return full.select("a", "b", "star", "sa", "sb").mapInArrow(run, "a long, b long, star boolean, differ int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,12 +209,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     large = shared.where(F.col("n") > SMALL)
     centre = large.groupBy("node").agg(F.sum("n").alias("weight"))
     pivots = large.join(centre, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("b"))
-    star = _near(large.join(pivots, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), linkable)
-    nearest = star.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("differ", "b"))).where(F.col("rank") <= PIVOTS)
-    both = _near(small.distinct(), linkable).select("a", "b").unionByName(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = cut(both.distinct())
+    star = large.join(pivots, "key").select(F.col("node").alias("a"), "b").where("a <> b")
+    # both kinds go through the same joins: each would otherwise be shuffled by itself
+    near = _near(small.withColumn("star", F.lit(False)).unionByName(star.withColumn("star", F.lit(True))).distinct(), linkable)
+    nearest = near.withColumn("rank", F.row_number().over(Window.partitionBy("a", "star").orderBy("differ", "b"))).where(~F.col("star") | (F.col("rank") <= PIVOTS))
+    pairs = cut(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _sets(docs, classes.join(ends, "node", "left_semi"), shingle)
     components = cut(connected_components(_confirmed(pairs, sets, percent)))
 
@@ -226,9 +227,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     homes = strays.select("home").distinct()
     rest = components.join(homes, F.col("component") == F.col("home")).select("home", "node", "component")
     alone = homes.join(components.select(F.col("component").alias("home")).distinct(), "home", "left_anti").select("home", F.col("home").alias("node"), F.col("home").alias("component"))
-    sides = strays.unionByName(rest).unionByName(alone).distinct()
-    wanted = classes.join(sides.select("node").distinct(), "node", "left_semi")
-    full = wanted.select("node", "signature").join(_sets(docs, wanted, shingle), "node")
+    # each kept once: both sides of the blocks are made of them
+    sides = cut(strays.unionByName(rest).unionByName(alone).distinct())
+    wanted = classes.join(sides.select("node"), "node", "left_semi")
+    full = cut(wanted.select("node", "signature").join(_sets(docs, wanted, shingle), "node"))
     more = cut(_across(strays.join(full, "node"), sides.join(full, "node"), percent))
     if more.isEmpty():
         return components
