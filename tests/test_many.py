@@ -2,7 +2,7 @@
 
 import random
 
-from wayfind.operators import answer, bm25, resolve
+from wayfind.operators import answer, bm25, resolve, traverse
 from wayfind.operators import seeds as seed_sources
 
 
@@ -56,3 +56,51 @@ def test_common_roles(spark):
     columns = ["qid", "cand", "dst", "src", "seq", "as_role", "rank"]
     rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
     assert rows(got) == rows(want) and len(rows(got)) > 20
+
+
+def test_reach_past_large_nodes(spark):
+    rng = random.Random(3)
+    links = {(f"a{i}", f"b{rng.randrange(40)}") for i in range(120)} | {(f"a{i}", f"n{i % 3}") for i in range(120)} | {(f"a{i}", "n1") for i in range(0, 120, 4)} | {(f"b{i}", f"n{i % 2}") for i in range(40)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    hubs = ["n2"]
+    want = {a: len(near[a] | {c for b in near[a] if b not in hubs for c in near[b]} - {a}) for a in near if a[0] == "a"}
+    edges = spark.createDataFrame([(a, b) for a, v in near.items() for b in v], "src string, target string")
+    begin = spark.createDataFrame([(a,) for a in want], "id string")
+    for large in (1, 20, 1000):
+        got = traverse.reach_two_hops(begin, edges, spark.createDataFrame([(h,) for h in hubs], "id string"), large)
+        assert {r.id: r.reached for r in got.collect()} == want
+
+
+def test_walk_past_large_nodes(spark):
+    """Walks through nodes of more edges than a hop needs equal sequential ones; what lies beyond is counted, not listed."""
+    rng = random.Random(11)
+    nodes = [f"n{i:03}" for i in range(90)]
+    links = sorted({(rng.choice(nodes), rng.choice("AB"), rng.choice(nodes)) for _ in range(120)} | {(f"n{h:03}", "A", n) for h in (0, 1) for n in rng.sample(nodes, 50)} | {(n, "B", "n002") for n in rng.sample(nodes, 50)} | {("n000", "A", "n001"), ("n001", "B", "n000"), ("n002", "A", "n001")})
+    near = {n: [(k, b) for a, k, b in links if a == n] + [(k, a) for a, k, b in links if b == n] for n in nodes}
+    asked = {q: rng.sample(nodes[:30], rng.randrange(1, 4)) for q in range(30)}
+    n = spark.createDataFrame([(x,) for x in nodes], "id string")
+    e = spark.createDataFrame([(*x, i) for i, x in enumerate(links)], "src string, kind string, dst string, seq long")
+    s = spark.createDataFrame([(q, i, x) for q, v in asked.items() for i, x in enumerate(v)], "qid long, pos int, id string")
+    got = {r.qid: r for r in traverse.expand_undirected(s, n, e, n.limit(0), max_hops=2, max_nodes=14, per_kind=4).collect()}
+    listed = traverse.ranked_edges(traverse.near_edges(e)).where("nth <= 18 and src = 'n000'").count()
+    assert listed < len({(k, b) for k, b in near["n000"]})
+    for q, first in asked.items():
+        order, used, dropped, front = list(first), {}, 0, list(first)
+        for _ in range(2):
+            if len(order) >= 14:
+                break
+            new = []
+            for kind, other in (x for cur in front for x in near[cur]):
+                if other in order:
+                    continue
+                if len(order) >= 14 or used.get(kind, 0) >= 4:
+                    dropped += 1
+                    continue
+                used[kind] = used.get(kind, 0) + 1
+                order.append(other)
+                new.append(other)
+            front = new
+        assert (got[q].ids, got[q].dropped) == (order, dropped), q
